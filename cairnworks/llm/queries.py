@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cairnworks.llm import mixing, url_filter
+from cairnworks.llm import isomedia, mixing, toxicity, url_filter
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_mixing": mixing.op6_mixing,
+    "op7_media": isomedia.op7_media,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE_SQL = {"op6_mixing": mixing.SQL}
