@@ -117,7 +117,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
         elif n:
             short = np.array([n], np.uint64)
             for k in range(n):
-                short = short * _ODD + word[a + k] * _PLACE[k + 20]
+                short = short * _ODD + word[a + k : a + k + 1] * _PLACE[k + 20]
             out.append(mix(short))
         else:
             out.append(np.zeros(0, np.uint64))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cairnworks.llm import isomedia, mixing, toxicity, url_filter
+from cairnworks.llm import isomedia, mixing, sigtree, toxicity, url_filter
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_jaccard_join": sigtree.op5_jaccard_join,
     "op6_mixing": mixing.op6_mixing,
     "op7_media": isomedia.op7_media,
     "op10_url_filter": url_filter.op10_url_filter,
