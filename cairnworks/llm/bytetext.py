@@ -78,18 +78,18 @@ def spans(data: np.ndarray, offsets: np.ndarray, letters: bool = False) -> tuple
 
 
 class Rolling:
-    """Hashes of any byte ranges of `data` (A-Z lower-cased) in constant time each, from one prefix sum."""
+    """Hashes of any byte ranges of `data` (A-Z lower-cased unless `exact`) in constant time each, from one prefix sum."""
 
     _power = _inverse = None
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, exact: bool = False):
         n = len(data) + 1
         if Rolling._power is None or len(Rolling._power) < n:
             size = max(n, SLICE_BYTES + 1)
             Rolling._power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, _ODD)]))
             Rolling._inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, np.uint64(pow(int(_ODD), -1, 1 << 64)))]))
         self._sums = np.zeros(n, np.uint64)
-        np.cumsum(_BYTE[_LOWER[data]] * Rolling._power[: n - 1], out=self._sums[1:])
+        np.cumsum(_BYTE[data if exact else _LOWER[data]] * Rolling._power[: n - 1], out=self._sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sums[end] - self._sums[start]) * Rolling._inverse[start] + (end - start).astype(np.uint64))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cairnworks.llm import isomedia, mixing, sigtree, toxicity, url_filter
+from cairnworks.llm import chunk_dedup, isomedia, mixing, sigtree, toxicity, url_filter
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_jaccard_join": sigtree.op5_jaccard_join,
     "op6_mixing": mixing.op6_mixing,
     "op7_media": isomedia.op7_media,
+    "op9_chunk_dedup": chunk_dedup.op9_chunk_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE_SQL = {"op6_mixing": mixing.SQL}
