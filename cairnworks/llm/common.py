@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most: texts run to 100 kB and more, and a batch stands in a task's memory several times.
+BATCH_ROWS = 500
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table, in a session whose Arrow batches are small enough for long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

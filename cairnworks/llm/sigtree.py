@@ -39,6 +39,8 @@ PERCENT = 75
 SLOT_BITS, CHUNK = 18, 4096
 #: Postings of a slot beyond this many are spread over several buckets.
 HEAVY, SALT_BITS = 1_000_000, 16
+#: A task sends its postings whenever it holds so many.
+HOLD = 500_000
 BLOCK = 1024
 FANOUT = 8
 #: Row ids of at most this many classes are broadcast (16 bytes each); more are joined by shuffle.
@@ -139,7 +141,7 @@ def candidate_postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                     # Bit 0 tells spread shingles, whose other postings lie in buckets of other salts.
                     where.append((base * 2 + (heat[first] >= HEAVY)) << SALT_BITS | salt)
                     size += length
-                if size > 1_500_000:
+                if size > HOLD:
                     yield flush()
                     rows, where, size = [], [], 0
         if size:
