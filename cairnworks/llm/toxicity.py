@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cairnworks.llm.bytetext import Rolling, mix, slices, spans, texts_of
 from cairnworks.llm.common import read
 
-MAX_TOXIC, MAX_CLEAN = 2000, 4000
+MAX_TOXIC, MAX_CLEAN = 1500, 3000
 WINDOW = 32
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -161,19 +161,27 @@ def _fit_chain(places: np.ndarray, held: np.ndarray, label: np.ndarray, n_featur
 
 def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80) -> Field:
     """Fit the field and the document calibration on labelled texts, a bounded sample."""
-    data, offsets = texts_of(texts)
-    start, end, row = spans(data, offsets, letters=True)
-    if not len(start) or toxic.all() or not toxic.any():
+    rows, parts = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(1 + len(PREFIXES))]
+    before = 0
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+        data, offsets = texts_of(part.column("text"))
+        start, end, row = spans(data, offsets, letters=True)
+        rows.append(row + before)
+        before += part.num_rows
+        for held, column in zip(parts, token_features(data, start, end), strict=True):
+            held.append(column)
+    row, columns = np.concatenate(rows), [np.concatenate(p) for p in parts]
+    del parts, rows
+    if not len(row) or toxic.all() or not toxic.any():
         rate = np.clip(toxic.mean() if len(toxic) else 0.02, 0.02, 0.98)
         return Field(calibration=np.array([np.log(rate / (1 - rate)), 0.0, 0.0]))
-    columns = token_features(data, start, end)
     context = np.concatenate([[np.uint64(0)], columns[0][:-1]])
     context[1:][row[1:] != row[:-1]] = 0
     label = _evidence(columns, context, toxic[row])
     known = [np.unique(c[label & (c > 0)], return_counts=True) for c in columns]
     features = np.unique(np.concatenate([v[n >= 3] for v, n in known]))
     model = Field(features, np.zeros(len(features) + 1))
-    places = np.stack([model.places(c) for c in columns], -1)
+    places = np.stack([model.places(c).astype(np.int32) for c in columns], -1)
     first = np.concatenate([[True], row[1:] != row[:-1]])
     order = np.arange(len(row))
     place = order - np.maximum.accumulate(np.where(first, order, 0))
@@ -218,7 +226,7 @@ def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, m
     drawn = rows.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # The drawn rows are bounded by the two parameters, so they may be broadcast and brought to the driver.
     sample = documents.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    return fit(sample.column("text"), sample.column("toxic").to_numpy() == 1)
+    return fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy() == 1)
 
 
 def held_out(doc_id):
