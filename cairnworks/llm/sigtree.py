@@ -43,6 +43,8 @@ HEAVY, SALT_BITS = 1_000_000, 16
 HOLD = 500_000
 BLOCK = 1024
 FANOUT = 8
+#: Partners of one class that are compared with it in one place.
+PLACE = 2000
 #: Row ids of at most this many classes are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -170,17 +172,64 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of pairs whose sets link; sets(key, shingles binary)."""
+def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose doc_id is in wanted(least, ...), with wanted's columns; several rows may share a doc_id."""
+    wanted = materialise(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("least"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """The (a, b) of pairs whose sets link; classes(key, least, n) tells where the sets come from.
+
+    The set of b travels to a's place, a's own set first in line there; the places of an a with many partners
+    are salted, and a's set goes to each.
+    """
+    size = classes.select(F.col("key").alias("_k"), F.col("n").alias("_n"))
+    pairs = pairs.join(size, F.col("a") == F.col("_k")).drop("_k").withColumnRenamed("_n", "an").join(size, F.col("b") == F.col("_k"))
+    pairs = materialise(pairs.filter(100 * F.least("an", "_n") >= PERCENT * F.greatest("an", "_n")).select("a", "b"), "pairs")
+    places = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PLACE)).cast("int").alias("places"))
+    member = pairs.join(places, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), "places").cast("int").alias("salt"), F.lit(True).alias("member"))
+    centre = places.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), F.lit(False).alias("member"))
+    routes = member.union(centre).groupBy("key").agg(F.collect_list(F.struct("a", "salt", "member")).alias("routes"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            for part in slices(batch):
+                sets = shingle_sets(*texts_of(part.column("text")), WIDTH)
+                rows = [(r["a"], r["salt"], r["member"], k, packed_set(s)) for s, k, routed in zip(sets, part.column("key").to_pylist(), part.column("routes").to_pylist(), strict=True) if _key(s) == k for r in routed]
+                for i in range(0, len(rows), 200):
+                    a, salt, is_member, key, held = zip(*rows[i : i + 200], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int32()), pa.array(is_member), pa.array(key, pa.int64()), pa.array(held, pa.binary())], ["a", "salt", "member", "b", "held"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = None
+        for batch in batches:
+            found = []
+            for a, is_member, b, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if not is_member:
+                    centre = unpacked_set(held.as_buffer())
+                elif _linked(centre, unpacked_set(held.as_buffer())):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    wanted = routes.join(classes, "key").select("least", "key", "routes")
+    sent = _texts_of(documents, wanted).select("text", "key", "routes").mapInArrow(send, "a long, salt int, member boolean, b long, held binary")
+    placed = sent.repartition(pieces(documents.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
+    return placed.select("a", "member", "b", "held").mapInArrow(compare, "a long, b long")
+
 
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+def packed_set(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: two sets of 20,000 shingles then have a false common one once in 700,000 pairs."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked_set(held) -> np.ndarray:
+    six = np.frombuffer(held, np.uint8).reshape(-1, 6)
+    eight = np.zeros((len(six), 8), np.uint8)
+    eight[:, 2:] = six
+    return eight.view(">u8").reshape(-1).astype(np.uint64)
 
 
 def bitmap(s: np.ndarray) -> int:
@@ -270,7 +319,7 @@ def dual_traversal(root: Node) -> Iterator[tuple[int, int]]:
             stack += [(a, y) for y in b.below]
 
 
-def tree_candidates(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def tree_candidates(groups: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """(a, b) of different components that share a shingle and may link; groups(shingle, key, label, members)."""
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
@@ -279,12 +328,11 @@ def tree_candidates(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
     def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for s in batch.column(1):
-                s = np.frombuffer(s.as_buffer(), np.uint64)
-                x = bitmap(s)
-                made.append((len(s), x.to_bytes(x.bit_length() // 8 + 1, "little")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([b for _, b in made], pa.binary())], ["key", "n", "bits"])
+            for part in slices(batch):
+                sets = shingle_sets(*texts_of(part.column("text")), WIDTH)
+                made = [(k, len(x), bitmap(x)) for x, k in zip(sets, part.column("key").to_pylist(), strict=True) if _key(x) == k]
+                bits = pa.array([x.to_bytes(x.bit_length() // 8 + 1, "little") for _, _, x in made], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in made], pa.int64()), pa.array([n for _, n, _ in made], pa.int64()), bits], ["key", "n", "bits"])
 
     def walk(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n", "ascending"), ("label", "ascending")])
@@ -294,47 +342,29 @@ def tree_candidates(groups: DataFrame, sets: DataFrame) -> DataFrame:
         found = [(min(keys[a], keys[b]), max(keys[a], keys[b])) for a, b in dual_traversal(build_tree(leaves))]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    signatures = sets.mapInArrow(bitmaps, "key long, n long, bits binary")
+    wanted = groups.select("key").distinct().join(classes, "key").select("least", "key")
+    signatures = materialise(_texts_of(documents, wanted).select("text", "key").mapInArrow(bitmaps, "key long, n long, bits binary"), "bitmaps")
     return rows.join(signatures, "key").groupBy("shingle", "i", "j").applyInArrow(walk, "a long, b long").distinct()
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles, component_id: components under Jaccard >= PERCENT / 100."""
-    spark = documents.sparkSession
     made = materialise(document_sets(documents), "sets")
     docs = made.filter("chunk is null").select("doc_id", "n", "key")
-    classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+    classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
     postings = materialise(candidate_postings(documents, slot_counts(made)), "postings")
 
-    involved = postings.select("key").distinct().join(classes, "key")
-    involved = materialise(involved, "involved")
-    wanted = involved.select(F.col("least").alias("_least")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-
-    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                made = shingle_sets(*texts_of(part.column("text")), WIDTH)
-                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["key", "shingles"])
-
-    texts = documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_least"), "left_semi").select("text")
-    sets = texts.mapInArrow(set_rows, "key long, shingles binary")
-    if documents.count() != documents.agg(F.count_distinct("doc_id")).first()[0]:
-        sets = sets.dropDuplicates(["key"])  # only where a doc_id stands on several rows can a set come twice
-    sets = materialise(sets, "shingles")
-
-    pivots = postings.groupBy("shingle").agg(F.min("key").alias("a"), F.count("*").alias("members"))
+    pivots = postings.groupBy("shingle").agg(F.min("key").alias("a"))
     stars = postings.join(pivots, "shingle").filter("key <> a").select("a", F.col("key").alias("b")).distinct()
-    found = materialise(verified(stars, sets), "links")
+    found = materialise(verified(stars, classes, documents), "links")
     labels = components(found)
 
     label = F.coalesce("component", "key")
     labelled = postings.join(labels, postings["key"] == labels["node"], "left").select("shingle", "key", label.alias("label"))
     mixed = labelled.groupBy("shingle").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = mixed.filter("members > 2 and lo <> hi").select("shingle", "members")
-    rest = tree_candidates(labelled.join(mixed, "shingle"), sets)
-    links = found.union(verified(rest, sets))
+    rest = tree_candidates(materialise(labelled.join(mixed, "shingle"), "groups"), classes, documents)
+    links = found.union(verified(rest, classes, documents))
 
     classed = components(links)
     names = classes.join(classed, classes["key"] == classed["node"], "left").withColumn("root", F.coalesce("component", "key"))
