@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cairnworks.llm import chunk_dedup, isomedia, mixing, sigtree, spotsigs, token_files, toxicity, url_filter
+from cairnworks.llm import chunk_dedup, isomedia, mixing, sentencepiece_backend, sigtree, spotsigs, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_spotsigs": spotsigs.op2_spotsigs,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_sentencepiece": sentencepiece_backend.op4_sentencepiece,
     "op5_jaccard_join": sigtree.op5_jaccard_join,
     "op6_mixing": mixing.op6_mixing,
     "op7_media": isomedia.op7_media,
