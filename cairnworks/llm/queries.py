@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnworks.llm import chunk_dedup, isomedia, mixing, sentencepiece_backend, sigtree, spotsigs, token_files, toxicity, url_filter
+from cairnworks.llm import chunk_dedup, isomedia, kneser_ney, mixing, sentencepiece_backend, sigtree, spotsigs, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_jaccard_join": sigtree.op5_jaccard_join,
     "op6_mixing": mixing.op6_mixing,
     "op7_media": isomedia.op7_media,
+    "op8_kneser_ney": kneser_ney.op8_kneser_ney,
     "op9_chunk_dedup": chunk_dedup.op9_chunk_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
