@@ -5,13 +5,15 @@
 2. Prefix filter: with shingles in one global order (rare slots first), two sets of Jaccard >= t share one of
    the first n - ceil(t n) + 1 shingles of each. These postings are shuffled in packed form; shingles of one
    class alone go, so do classes without a partner of fitting size.
-3. Every class is compared with the least class of each of its posting groups, and the links found are
-   contracted into components, so a group of thousands of near copies costs one comparison a member.
+3. In ROUNDS rounds every class is compared with one class of each of its posting groups, drawn anew, and the
+   links found are contracted into components, so a group of thousands of near copies costs a few comparisons a
+   member. Groups of one component are done.
 4. What is left, groups that still hold several components, goes through signature trees: nodes hold
    OR-combined token bitmaps and size ranges, two trees are walked together, and a pair of nodes is pruned if
    the largest overlap that bitmaps and sizes allow is too small, or all below is linked already. Pairs of
-   leaves that remain are compared exactly. Groups beyond BLOCK members are split into blocks, and every
-   pair of blocks is a task of its own.
+   leaves that remain are compared exactly where they meet, and only links leave the task. Of groups with the
+   same members one is walked. Groups beyond BLOCK members are split into blocks, and every pair of blocks is a
+   task of its own.
 5. Links of both kinds make the components.
 
 Nothing is capped: a shingle, group or component may hold any share of the rows.
@@ -41,7 +43,10 @@ SLOT_BITS, CHUNK = 18, 4096
 HEAVY, SALT_BITS = 1_000_000, 16
 #: A task sends its postings whenever it holds so many.
 HOLD = 500_000
-BLOCK = 1024
+BLOCK = 4096
+ROUNDS = 4
+#: Bits of a token bitmap for each shingle, at least.
+BITMAP_BITS = 16
 FANOUT = 8
 #: Partners of one class that are compared with it in one place.
 PLACE = 2000
@@ -233,8 +238,8 @@ def unpacked_set(held) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> int:
-    """A token bitmap of at least two bits a token, a power of two wide, as an integer with a leading 1 above it."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """A token bitmap of at least BITMAP_BITS bits a token, a power of two wide, as an integer with a leading 1 above it."""
+    width = max(64, 1 << (BITMAP_BITS * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little") | 1 << width
@@ -299,17 +304,20 @@ def may_link(a: Node, b: Node) -> bool:
     return min(overlap, a.most, b.most) * (100 + PERCENT) >= PERCENT * (a.least + b.least)
 
 
-def dual_traversal(root: Node) -> Iterator[tuple[int, int]]:
-    """Pairs of items of different components that may link."""
+def dual_traversal(root: Node, linked, find) -> Iterator[tuple[int, int]]:
+    """Links between components below root; linked(i, j) compares two items, find(label) gives a label's present component.
+
+    The caller joins the components of a link before it asks for the next one.
+    """
     stack = [(root, root)]
     while stack:
         a, b = stack.pop()
-        if a.label is not None and a.label == b.label:
+        if a.label is not None and b.label is not None and find(a.label) == find(b.label):
             continue
         if a is not b and not may_link(a, b):
             continue
         if a.below is None and b.below is None:
-            if a is not b:
+            if a is not b and linked(a.item, b.item):
                 yield a.item, b.item
         elif a is b:
             stack += [(x, y) for i, x in enumerate(a.below) for y in a.below[i:]]
@@ -319,32 +327,54 @@ def dual_traversal(root: Node) -> Iterator[tuple[int, int]]:
             stack += [(a, y) for y in b.below]
 
 
-def tree_candidates(groups: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(a, b) of different components that share a shingle and may link; groups(shingle, key, label, members)."""
+def walk_group(keys: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the components of a group as far as its members link, through a signature tree."""
+    order = sorted(range(len(keys)), key=lambda i: (len(sets[i]), labels[i], keys[i]))
+    leaves = [Node(bits=bitmap(sets[i]), n=len(sets[i]), item=i, label=labels[i]) for i in order]
+    above = {label: label for label in labels}
+
+    def find(label: int) -> int:
+        while above[label] != label:
+            above[label] = label = above[above[label]]
+        return label
+
+    found = []
+    for i, j in dual_traversal(build_tree(leaves), lambda i, j: _linked(sets[i], sets[j]), find):
+        found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+        above[find(labels[i])] = find(labels[j])
+    return found
+
+
+def tree_links(groups: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(a, b) links between different components of groups(shingle, key, label, members)."""
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
     rows = groups.select("shingle", "key", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "label")
+    places = rows.groupBy("key").agg(F.collect_list(F.struct("shingle", "i", "j", "label")).alias("routes"))
 
-    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"shingle": pa.int64(), "i": pa.int32(), "j": pa.int32(), "key": pa.int64(), "label": pa.int64(), "held": pa.binary()}
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(*texts_of(part.column("text")), WIDTH)
-                made = [(k, len(x), bitmap(x)) for x, k in zip(sets, part.column("key").to_pylist(), strict=True) if _key(x) == k]
-                bits = pa.array([x.to_bytes(x.bit_length() // 8 + 1, "little") for _, _, x in made], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in made], pa.int64()), pa.array([n for _, n, _ in made], pa.int64()), bits], ["key", "n", "bits"])
+                for s, key, routes in zip(sets, part.column("key").to_pylist(), part.column("routes").to_pylist(), strict=True):
+                    if _key(s) != key:
+                        continue
+                    held = packed_set(s)
+                    for a in range(0, len(routes), 100):
+                        some = routes[a : a + 100]
+                        columns = [[r["shingle"] for r in some], [r["i"] for r in some], [r["j"] for r in some], [key] * len(some), [r["label"] for r in some], [held] * len(some)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n", "ascending"), ("label", "ascending")])
-        keys = table.column("key").to_pylist()
-        columns = zip(table.column("bits"), table.column("n").to_pylist(), table.column("label").to_pylist(), strict=True)
-        leaves = [Node(bits=int.from_bytes(b.as_py(), "little"), n=n, item=i, label=label) for i, (b, n, label) in enumerate(columns)]
-        found = [(min(keys[a], keys[b]), max(keys[a], keys[b])) for a, b in dual_traversal(build_tree(leaves))]
+        sets = [unpacked_set(x.as_buffer()) for x in table.column("held")]
+        found = walk_group(table.column("key").to_pylist(), table.column("label").to_pylist(), sets)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    wanted = groups.select("key").distinct().join(classes, "key").select("least", "key")
-    signatures = materialise(_texts_of(documents, wanted).select("text", "key").mapInArrow(bitmaps, "key long, n long, bits binary"), "bitmaps")
-    return rows.join(signatures, "key").groupBy("shingle", "i", "j").applyInArrow(walk, "a long, b long").distinct()
+    wanted = places.join(classes, "key").select("least", "key", "routes")
+    sent = _texts_of(documents, wanted).select("text", "key", "routes").mapInArrow(send, "shingle long, i int, j int, key long, label long, held binary")
+    return sent.groupBy("shingle", "i", "j").applyInArrow(walk, "a long, b long")
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
@@ -354,17 +384,22 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
     postings = materialise(candidate_postings(documents, slot_counts(made)), "postings")
 
-    pivots = postings.groupBy("shingle").agg(F.min("key").alias("a"))
-    stars = postings.join(pivots, "shingle").filter("key <> a").select("a", F.col("key").alias("b")).distinct()
-    found = materialise(verified(stars, classes, documents), "links")
-    labels = components(found)
-
-    label = F.coalesce("component", "key")
-    labelled = postings.join(labels, postings["key"] == labels["node"], "left").select("shingle", "key", label.alias("label"))
-    mixed = labelled.groupBy("shingle").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    mixed = mixed.filter("members > 2 and lo <> hi").select("shingle", "members")
-    rest = tree_candidates(materialise(labelled.join(mixed, "shingle"), "groups"), classes, documents)
-    links = found.union(verified(rest, classes, documents))
+    links = tested = None
+    labelled = postings.withColumn("label", F.col("key"))
+    for number in range(ROUNDS):
+        labelled = labelled if number == 0 else _labelled(postings, links)
+        groups = labelled.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("key", "label"), F.xxhash64("key", F.lit(number))).alias("drawn"))
+        stars = labelled.join(groups.filter("lo <> hi").select("shingle", "drawn"), "shingle").filter(F.col("label") != F.col("drawn.label"))
+        stars = stars.select(F.col("drawn.key").alias("a"), F.col("key").alias("b")).distinct()
+        stars = materialise(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
+        found = materialise(verified(stars, classes, documents), "links")
+        links, tested = (found, stars) if links is None else (links.union(found), tested.union(stars))
+
+    labelled = materialise(_labelled(postings, links), "labelled")
+    order_free = [F.count("*").alias("members"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("of"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+    mixed = labelled.groupBy("shingle").agg(*order_free).filter("members > 2 and lo <> hi")
+    mixed = mixed.groupBy("members", "of").agg(F.min("shingle").alias("shingle")).select("shingle", "members")
+    links = links.union(tree_links(labelled.join(mixed, "shingle"), classes, documents))
 
     classed = components(links)
     names = classes.join(classed, classes["key"] == classed["node"], "left").withColumn("root", F.coalesce("component", "key"))
@@ -374,6 +409,12 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """postings with the component, by the links so far, of each key; a key without links is its own."""
+    labels = components(links)
+    return postings.join(labels, postings["key"] == labels["node"], "left").select("shingle", "key", F.coalesce("component", "key").alias("label"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
