@@ -42,6 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+    """Like materialise, in n buckets by a column: a later grouping by it in n partitions reads the buckets without a shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", f"{shared_dir(spark)}/{table}").bucketBy(n, column).saveAsTable(table)
+    return spark.table(table)
+
+
 def pieces(spark: SparkSession) -> int:
     """How many shuffle partitions the session asks for; explicit repartitions follow it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnworks.llm.bytetext import slices, texts_of
-from cairnworks.llm.common import materialise, pieces, read
+from cairnworks.llm.common import materialise, materialise_by, pieces, read
 
 ORDER = 5
 BLOCK_BYTES = 12 << 20
@@ -207,7 +207,7 @@ def perplexities(documents: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     small = ids.count() <= BROADCAST_ROWS
     rows = documents.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_trusted"), "left")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text"), F.col("_trusted").isNotNull().alias("trusted"))
-    made = materialise(blocks_of(rows, n_shards), "blocks")
+    made = materialise_by(blocks_of(rows, n_shards), "blocks", "block", pieces(spark))
     asked = made.filter("shard is not null").select("block", "shard", "n", "grams", "counts")
     salts = max(1, -(-made.filter("texts is not null").count() // BLOCKS_AT_ONCE))
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
