@@ -1,6 +1,6 @@
 """All query modules, imported so that they register."""
 
-from cairnworks.plans import aggregates, analytics, joins  # noqa: F401
+from cairnworks.plans import aggregates, analytics, joins, resolution  # noqa: F401
 from cairnworks.plans.registry import QUERIES, SQL, Tables
 
 __all__ = ["QUERIES", "SQL", "Tables"]
