@@ -6,6 +6,7 @@ takes the caller's full order, which should end in a unique column.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,11 +131,18 @@ def contradictions(values: DataFrame, key: str, ratio: float = 1.25) -> DataFram
     return found.filter((F.col("n_values") > 1) & (F.col("most") > F.col("least") * ratio))
 
 
-def connected(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
+def set_checkpoint_dir(spark) -> None:
+    """Keep the cluster's checkpoint folder; name one of our own only where none is set, as in tests."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairnworks-"))
+
+
+def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of edges(a, b): least node reachable, by minimum labels and pointer jumping until nothing changes.
 
     Lineage is cut with checkpoint() each round, in the folder of spark.checkpoint.dir.
     """
+    set_checkpoint_dir(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
     before = None
@@ -143,7 +151,7 @@ def connected(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
         step = labels.join(near, "a").select("a", F.least("label", "near").alias("label"))
         jump = step.alias("x").join(step.alias("y"), F.col("x.label") == F.col("y.a"), "left")
         labels = jump.select(F.col("x.a").alias("a"), F.least(F.col("x.label"), F.col("y.label")).alias("label"))
-        labels = labels.checkpoint() if checkpoint else labels.cache()
+        labels = labels.checkpoint()
         now = labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first()
         if now == before:
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))

@@ -204,7 +204,7 @@ def families(t: Tables) -> DataFrame:
     # Every member is joined to the least of its key, not to every other one: the components are the same.
     least = p.groupBy(*key).agg(F.min("p_partkey").alias("a"))
     edges = p.join(least, key).select("a", F.col("p_partkey").alias("b"))
-    found = ops.connected(edges, checkpoint=t.spark.sparkContext.getCheckpointDir() is not None)
+    found = ops.connected(edges)
     return found.select("node", F.col("component").alias("family"))
 
 
