@@ -15,7 +15,7 @@ class ChunkEncoder:
     `whole` marks texts that may not be cut; they are encoded in one piece. The memory of chunks is bounded.
     """
 
-    def __init__(self, chunk: re.Pattern, encode_chunks: Callable[[list[str]], Iterable[list[int]]], whole: re.Pattern | None = None, most: int = 250_000):
+    def __init__(self, chunk: re.Pattern, encode_chunks: Callable[[list[str]], Iterable[list[int]]], whole: re.Pattern | None = None, most: int = 120_000):
         self.findall, self.encode_chunks, self.whole, self.most = chunk.findall, encode_chunks, whole, most
         self.known: dict[str, tuple[int, ...]] = {}
 

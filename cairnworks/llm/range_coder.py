@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 4096
-LANES = 1024
+BLOCK = 1024
+LANES = 2048
 CLASSES = 128
-_H1, _H2 = 11, 12  # bits of the context tables
+_H1, _H2 = 10, 10  # bits of the context tables
 _REFRESH = 32
 _TOP = np.uint64(1 << 32)
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -43,10 +43,14 @@ class Model:
         self.t1, self.t2 = np.zeros(n << _H1, np.int32), np.zeros(n << _H2, np.int32)
         self.w2, self.w1 = np.full(n * 16, 20_000, np.int32), np.full(n * 16, 6_000, np.int32)
         self.counts = np.ones((n, CLASSES), np.int32)
+        self.flat = self.counts.reshape(-1)
         self.lane = np.arange(n)
-        self.before1, self.before2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.base1, self.base2, self.base_mix, self.base_count = (np.arange(n, dtype=np.int32) * np.int32(k) for k in (1 << _H1, 1 << _H2, 16, CLASSES))
+        self.before1, self.before2 = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.steps = 0
         self.limits = np.empty((n, CLASSES + 1), np.int64)
+        self.limit = self.limits.reshape(-1)
+        self.base_limit = np.arange(n, dtype=np.int64) * (CLASSES + 1)
 
     def predict(self, n: int) -> None:
         """Set the predictions and their shares of 65536 for the next id of the first n blocks."""
@@ -56,27 +60,32 @@ class Model:
             self.limits[:n, 0] = 0
             self.limits[:n, 1:] = total.astype(np.int64) * (65536 - 16 * CLASSES) // total[:, -1:] + _SIXTEENS
         self.steps += 1
-        lane = self.lane[:n]
-        self.i1 = (lane << _H1) + ((self.before1[:n] * 40503) >> 5 & (1 << _H1) - 1)
-        self.i2 = (lane << _H2) + ((self.before1[:n] * 40503 + self.before2[:n] * 60493) >> 5 & (1 << _H2) - 1)
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
+        before = self.before1[:n]
+        self.i1 = np.bitwise_and(before * _P1 >> 5, (1 << _H1) - 1)
+        self.i1 += self.base1[:n]
+        self.i2 = np.bitwise_and((before * _P1 + self.before2[:n] * _P2) >> 5, (1 << _H2) - 1)
+        self.i2 += self.base2[:n]
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
         self.p1, self.p2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
-        k1, k2 = self.e1 >> 16, self.e2 >> 16
-        self.mix = (lane << 4) + (k2 << 2) + k1
-        self.s2 = np.where(k2 > 0, self.w2[self.mix], 0)
-        self.s1 = np.where((k1 > 0) & ((self.p1 != self.p2) | (k2 == 0)), self.w1[self.mix], 0)
-
-    def update(self, rank: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, n: int) -> None:
-        ranked = rank.astype(np.int32)
-        self.t1[self.i1] = np.where(self.p1 == ranked, np.minimum(self.e1 + 0x10000, ranked + 0x30000), ranked + 0x10000)
-        self.t2[self.i2] = np.where(self.p2 == ranked, np.minimum(self.e2 + 0x10000, ranked + 0x30000), ranked + 0x10000)
-        w2, w1 = self.w2[self.mix], self.w1[self.mix]
-        self.w2[self.mix] = w2 + ((hit2 * np.int32(40_000) - w2) >> 4)
-        self.w1[self.mix] = w1 + ((hit1 * np.int32(16_000) - w1) >> 4)
-        self.counts[self.lane[:n], _CLASS[rank]] += 24
-        self.before2[:n], self.before1[:n] = self.before1[:n], rank
-
-
+        self.mix = ((self.e2 >> 16) << 2) + (self.e1 >> 16)
+        self.mix += self.base_mix[:n]
+        # A context that has seen nothing has weight 0, and so has order 1 where it says the same as order 2.
+        self.v2, self.v1 = self.w2.take(self.mix), self.w1.take(self.mix)
+        self.s2 = self.v2 * (self.e2 > 0xFFFF)
+        self.s1 = self.v1 * ((self.e1 > 0xFFFF) & ((self.p1 != self.p2) | (self.e2 <= 0xFFFF)))
+
+    def update(self, rank: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, c: np.ndarray, n: int) -> None:
+        new = rank + 0x10000
+        self.t1[self.i1] = np.where(self.p1 == rank, np.minimum(self.e1 + 0x10000, rank + 0x30000), new)
+        self.t2[self.i2] = np.where(self.p2 == rank, np.minimum(self.e2 + 0x10000, rank + 0x30000), new)
+        self.w2[self.mix] = self.v2 + ((hit2 * np.int32(40_000) - self.v2) >> 4)
+        self.w1[self.mix] = self.v1 + ((hit1 * np.int32(16_000) - self.v1) >> 4)
+        self.flat[self.base_count[:n] + c] += 24
+        self.before2[:n] = self.before1[:n]
+        self.before1[:n] = rank
+
+
+_P1, _P2 = np.int32(20011), np.int32(30011)  # hashes may wrap around; only their lower bits are used
 _SIXTEENS = 16 * np.arange(1, CLASSES + 1)
 
 
@@ -86,7 +95,7 @@ def encode(blocks: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     model = Model(n_blocks)
     low, span = np.zeros(n_blocks, _U), np.full(n_blocks, _U(2**64 - 1))
     out, at = np.zeros((n_blocks, width + 4), _U), np.zeros(n_blocks, np.int64)
-    columns = np.ascontiguousarray(blocks.T.astype(np.int64))
+    columns = np.ascontiguousarray(blocks.T.astype(np.int32))
     active = np.searchsorted(-sizes, -np.arange(width), "left")
     for t in range(int(sizes.max()) if n_blocks else 0):
         n = int(active[t])
@@ -95,12 +104,13 @@ def encode(blocks: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         s2, s1 = model.s2.astype(np.int64), model.s1.astype(np.int64)
         hit2 = (rank == model.p2) & (s2 > 0)
         hit1 = (rank == model.p1) & (s1 > 0) & ~hit2
-        c = _CLASS[rank]
-        base, room = (s2 + s1) << 12, (65536 - s2 - s1) << 12
-        lane = model.lane[:n]
-        begin = room * model.limits[lane, c] >> 16
-        size = ((room * model.limits[lane, c + 1] >> 16) - begin) >> _BITS[rank]
-        start = np.where(hit2, 0, np.where(hit1, s2 << 12, base + begin + _REST[rank] * size)).astype(_U)
+        c = _CLASS.take(rank)
+        base = (s2 + s1) << 12
+        room = (1 << 28) - base
+        at_class = model.base_limit[:n] + c
+        begin = room * model.limit.take(at_class) >> 16
+        size = ((room * model.limit.take(at_class + 1) >> 16) - begin) >> _BITS.take(rank)
+        start = np.where(hit2, 0, np.where(hit1, s2 << 12, base + begin + _REST.take(rank) * size)).astype(_U)
         size = np.where(hit2, s2 << 12, np.where(hit1, s1 << 12, size)).astype(_U)
         unit = span[:n] >> _U(28)
         moved = low[:n] + unit * start
@@ -115,7 +125,7 @@ def encode(blocks: np.ndarray, sizes: np.ndarray) -> list[bytes]:
             moved[short] <<= _U(32)
             narrowed[short] <<= _U(32)
         low[:n], span[:n] = moved, narrowed
-        model.update(rank, hit2, hit1, n)
+        model.update(rank, hit2, hit1, c, n)
     for k in (0, 1):
         out[np.arange(n_blocks), at + k] = low >> _U(32) if k == 0 else low & _LOW32
     for j in range(int(at.max(initial=0)) + 1, 0, -1):
@@ -133,7 +143,7 @@ def decode(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
     model = Model(n_blocks)
     code, at = words[:, 0] << _U(32) | words[:, 1], np.full(n_blocks, 2)
     span = np.full(n_blocks, _U(2**64 - 1))
-    columns = np.zeros((width, n_blocks), np.int64)
+    columns = np.zeros((width, n_blocks), np.int32)
     active = np.searchsorted(-sizes, -np.arange(width), "left")
     for t in range(width):
         n = int(active[t])
@@ -141,7 +151,8 @@ def decode(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
         s2, s1 = model.s2.astype(np.int64), model.s1.astype(np.int64)
         unit = span[:n] >> _U(28)
         target = np.minimum(code[:n] // unit, _U((1 << 28) - 1)).astype(np.int64)
-        base, room = (s2 + s1) << 12, (65536 - s2 - s1) << 12
+        base = (s2 + s1) << 12
+        room = (1 << 28) - base
         hit2 = target < s2 << 12
         hit1 = (target < base) & ~hit2
         inside = np.maximum(target - base, 0)
@@ -149,15 +160,15 @@ def decode(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
         limits = model.limits[:n]
         c = (limits[:, 8::8] <= most[:, None]).sum(1) << 3
         c = np.minimum(c, CLASSES - 8)
-        lane = model.lane[:n]
-        fine = limits[lane[:, None], c[:, None] + _EIGHT]
+        fine = model.limit.take((model.base_limit[:n] + c)[:, None] + _EIGHT)
         c = c + (fine[:, 1:] <= most[:, None]).sum(1)
-        begin = room * limits[lane, c] >> 16
-        bits = _CLASS_BITS[c]
-        size = ((room * limits[lane, c + 1] >> 16) - begin) >> bits
+        at_class = model.base_limit[:n] + c
+        begin = room * model.limit.take(at_class) >> 16
+        bits = _CLASS_BITS.take(c)
+        size = ((room * model.limit.take(at_class + 1) >> 16) - begin) >> bits
         rest = np.minimum((inside - begin) // size, (1 << bits) - 1)
         escaped = ~(hit2 | hit1)
-        rank = np.where(hit2, model.p2, np.where(hit1, model.p1, _FIRST[c] + rest)).astype(np.int64)
+        rank = np.where(hit2, model.p2, np.where(hit1, model.p1, _FIRST.take(c) + rest)).astype(np.int32)
         start = np.where(escaped, base + begin + rest * size, np.where(hit2, 0, s2 << 12)).astype(_U)
         size = np.where(escaped, size, np.where(hit2, s2, s1) << 12).astype(_U)
         left, narrowed = code[:n] - unit * start, unit * size
@@ -168,7 +179,7 @@ def decode(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
             narrowed[short] <<= _U(32)
         code[:n], span[:n] = left, narrowed
         columns[t, :n] = rank
-        model.update(rank, hit2, hit1, n)
+        model.update(rank, hit2, hit1, _CLASS.take(rank), n)
     return columns.T
 
 
