@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from cairnworks.llm.bytetext import Rolling, mix, slices, spans, texts_of
 from cairnworks.llm.common import read
 
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN = 1000, 2000
 WINDOW = 32
+#: Windows with and without toxic tokens that the field is fitted to, at most.
+MAX_WINDOWS = 5000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 #: A feature labels tokens if it stands in so many different contexts of toxic documents, with such precision.
@@ -182,25 +184,25 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80) -> Field:
     features = np.unique(np.concatenate([v[n >= 3] for v, n in known]))
     model = Field(features, np.zeros(len(features) + 1))
     places = np.stack([model.places(c).astype(np.int32) for c in columns], -1)
+    del columns, context, known
     first = np.concatenate([[True], row[1:] != row[:-1]])
     order = np.arange(len(row))
     place = order - np.maximum.accumulate(np.where(first, order, 0))
     window = np.cumsum(place % WINDOW == 0) - 1
     has = np.bincount(window, label) > 0
-    some = np.flatnonzero(~has)
-    rest = some[np.random.default_rng(7).permutation(len(some))[: 3 * int(has.sum()) + 1000]]
     use = np.zeros(len(has), bool)
-    use[rest] = True
-    use |= has
+    for kind in (has, ~has):
+        some = np.flatnonzero(kind)
+        use[some[np.random.default_rng(7).permutation(len(some))[:MAX_WINDOWS]]] = True
     new = np.cumsum(use) - 1
     at = use[window]
     shape = (WINDOW, int(use.sum()))
-    grid, held, y = np.full((*shape, len(columns)), len(features)), np.zeros(shape, bool), np.zeros(shape, bool)
+    grid, held, y = np.full((*shape, places.shape[-1]), len(features), np.int32), np.zeros(shape, bool), np.zeros(shape, bool)
     column, number = place[at] % WINDOW, new[window[at]]
     grid[column, number], held[column, number], y[column, number] = places[at], True, label[at]
     weights, bias, moves = _fit_chain(grid, held, y, len(features), steps)
     model = Field(features, weights, float(bias), moves)
-    expected, largest = document_sums(model.marginals(model.emissions(columns), row), row, len(toxic))
+    expected, largest = document_sums(model.marginals(model.bias + model.weights[places].sum(-1), row), row, len(toxic))
     x, target = np.stack([np.ones(len(toxic)), np.log1p(expected), largest], 1), toxic.astype(float)
     theta = np.zeros(3)
     for _ in range(50):
