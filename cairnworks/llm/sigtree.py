@@ -7,12 +7,14 @@
    class alone go, so do classes without a partner of fitting size.
 3. In ROUNDS rounds every class is compared with one class of each of its posting groups, drawn anew, and the
    links found are contracted into components, so a group of thousands of near copies costs a few comparisons a
-   member. Groups of one component are done.
+   member. Before sets are sent anywhere a pair must share enough prefix shingles: two sets that link share at
+   least `shared_least` of them (most pairs that merely hold one passage in common do not).
 4. What is left, groups that still hold several components, goes through signature trees: nodes hold
    OR-combined token bitmaps and size ranges, two trees are walked together, and a pair of nodes is pruned if
-   the largest overlap that bitmaps and sizes allow is too small, or all below is linked already. Pairs of
-   leaves that remain are compared exactly where they meet, and only links leave the task. Of groups with the
-   same members one is walked. Groups beyond BLOCK members are split into blocks, and every pair of blocks is a
+   the largest overlap that bitmaps and sizes allow is too small, or all below is linked already. A first walk
+   over prefix shingles tells which members have a possible partner; only their whole sets are sent to a second
+   walk, where leaves that meet are compared exactly and only links leave the task. Of groups with the same
+   members one is walked. Groups beyond BLOCK members are split into blocks, and every pair of blocks is a
    task of its own.
 5. Links of both kinds make the components.
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnworks.llm.bytetext import shingle_sets, slices, texts_of
+from cairnworks.llm.bytetext import mix, shingle_sets, slices, texts_of
 from cairnworks.llm.common import materialise, pieces, read
 from cairnworks.llm.components import components
 
@@ -44,7 +46,7 @@ HEAVY, SALT_BITS = 1_000_000, 16
 #: A task sends its postings whenever it holds so many.
 HOLD = 500_000
 BLOCK = 4096
-ROUNDS = 4
+ROUNDS = 3
 #: Bits of a token bitmap for each shingle, at least.
 BITMAP_BITS = 16
 FANOUT = 8
@@ -185,15 +187,32 @@ def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("least"))
 
 
+def prefix_length(n):
+    return n + 1 - -(-PERCENT * n // 100)
+
+
+def shared_least(na: int, nb: int) -> int:
+    """The fewest prefix shingles that two sets of these sizes share if they link: what their overlap cannot leave to the rest of the shorter-reaching prefix."""
+    overlap = -(-PERCENT * (na + nb) // (100 + PERCENT))
+    return min(prefix_length(na) - na, prefix_length(nb) - nb) + overlap
+
+
+def plausible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The (a, b) of pairs whose sizes fit and that share enough prefix shingles; prefixes(key, n, shared array)."""
+    side = lambda x: prefixes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"p{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    up = lambda x, of: F.expr(f"({x} + {of - 1}) div {of}")
+    least = F.least(1 - up(f"{PERCENT} * na", 100), 1 - up(f"{PERCENT} * nb", 100)) + up(f"{PERCENT} * (na + nb)", 100 + PERCENT)
+    return both.filter(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """The (a, b) of pairs whose sets link; classes(key, least, n) tells where the sets come from.
 
     The set of b travels to a's place, a's own set first in line there; the places of an a with many partners
     are salted, and a's set goes to each.
     """
-    size = classes.select(F.col("key").alias("_k"), F.col("n").alias("_n"))
-    pairs = pairs.join(size, F.col("a") == F.col("_k")).drop("_k").withColumnRenamed("_n", "an").join(size, F.col("b") == F.col("_k"))
-    pairs = materialise(pairs.filter(100 * F.least("an", "_n") >= PERCENT * F.greatest("an", "_n")).select("a", "b"), "pairs")
+    pairs = materialise(pairs, "pairs")
     places = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PLACE)).cast("int").alias("places"))
     member = pairs.join(places, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), "places").cast("int").alias("salt"), F.lit(True).alias("member"))
     centre = places.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), F.lit(False).alias("member"))
@@ -258,16 +277,16 @@ def fold(bits: int, width: int) -> int:
 class Node:
     """A node of a signature tree: the OR of the bitmaps below, their range of sizes, and their component if it is one."""
 
-    def __init__(self, below: list[Node] | None = None, bits: int = 0, n: int = 0, item: int = -1, label: int = 0):
+    def __init__(self, below: list[Node] | None = None, bits: int = 0, n: int = 0, item: int = -1, label: int = 0, tokens: int | None = None):
         self.below = below
         if below is None:
             self.width = bits.bit_length() - 1
             self.bits = bits ^ 1 << self.width
             self.least = self.most = n
             # Tokens that share a bit with another one: the overlap may exceed the common bits by so many.
-            self.hidden = n - self.bits.bit_count()
+            self.tokens = n if tokens is None else tokens
+            self.most_hidden = self.tokens - self.bits.bit_count()
             self.item, self.label = item, label
-            self.most_hidden = self.hidden
         else:
             self.width = min(x.width for x in below)
             self.bits = 0
@@ -277,14 +296,14 @@ class Node:
             # At this width a token is hidden unless it is among its set's bits here; leaves keep their own count.
             self.most_hidden = max(x.hidden_at(self.width) for x in below)
             self.label = below[0].label if all(x.label == below[0].label for x in below) else None
-            self.item = -1
+            self.item, self.tokens = -1, max(x.tokens for x in below)
 
     def hidden_at(self, width: int) -> int:
         """The most tokens that a set below can have beyond its bits at this width."""
         if width == self.width:
             return self.most_hidden
         if self.below is None:
-            return self.most - fold(self.bits | 1 << self.width, width).bit_count()
+            return self.tokens - fold(self.bits | 1 << self.width, width).bit_count()
         return max(x.hidden_at(width) for x in self.below)
 
 
@@ -294,27 +313,41 @@ def build_tree(leaves: list[Node]) -> Node:
     return leaves[0]
 
 
-def may_link(a: Node, b: Node) -> bool:
-    """Whether the largest overlap that sizes and bitmaps allow can reach the threshold."""
-    if 100 * a.most < PERCENT * b.least or 100 * b.most < PERCENT * a.least:
-        return False
+def most_common(a: Node, b: Node) -> int:
+    """The largest number of common tokens that the bitmaps allow."""
     width = min(a.width, b.width)
     common = (fold(a.bits | 1 << a.width, width) & fold(b.bits | 1 << b.width, width)).bit_count()
-    overlap = common + min(a.hidden_at(width), b.hidden_at(width))
-    return min(overlap, a.most, b.most) * (100 + PERCENT) >= PERCENT * (a.least + b.least)
+    return min(common + min(a.hidden_at(width), b.hidden_at(width)), a.tokens, b.tokens)
+
 
+def sizes_fit(a: Node, b: Node) -> bool:
+    return 100 * a.most >= PERCENT * b.least and 100 * b.most >= PERCENT * a.least
+
+
+def may_link(a: Node, b: Node) -> bool:
+    """Whether the largest overlap that sizes and bitmaps of whole sets allow can reach the threshold."""
+    return sizes_fit(a, b) and most_common(a, b) * (100 + PERCENT) >= PERCENT * (a.least + b.least)
 
-def dual_traversal(root: Node, linked, find) -> Iterator[tuple[int, int]]:
-    """Links between components below root; linked(i, j) compares two items, find(label) gives a label's present component.
 
-    The caller joins the components of a link before it asks for the next one.
+def may_share(a: Node, b: Node) -> bool:
+    """Whether sizes and bitmaps of prefixes allow as many common prefix shingles as linked sets have (rounded down)."""
+    if not sizes_fit(a, b):
+        return False
+    overlap = PERCENT * (a.least + b.least) / (100 + PERCENT)
+    return most_common(a, b) >= overlap - PERCENT / 100 * max(a.most, b.most)
+
+
+def dual_traversal(root: Node, may, linked, find) -> Iterator[tuple[int, int]]:
+    """Pairs of items of different components below root that pass may(node, node) all the way down, and linked(i, j).
+
+    find(label) gives a label's present component; the caller may join components before it asks for the next pair.
     """
     stack = [(root, root)]
     while stack:
         a, b = stack.pop()
         if a.label is not None and b.label is not None and find(a.label) == find(b.label):
             continue
-        if a is not b and not may_link(a, b):
+        if a is not b and not may(a, b):
             continue
         if a.below is None and b.below is None:
             if a is not b and linked(a.item, b.item):
@@ -339,18 +372,41 @@ def walk_group(keys: list[int], labels: list[int], sets: list[np.ndarray]) -> li
         return label
 
     found = []
-    for i, j in dual_traversal(build_tree(leaves), lambda i, j: _linked(sets[i], sets[j]), find):
+    for i, j in dual_traversal(build_tree(leaves), may_link, lambda i, j: _linked(sets[i], sets[j]), find):
         found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
         above[find(labels[i])] = find(labels[j])
     return found
 
 
-def tree_links(groups: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(a, b) links between different components of groups(shingle, key, label, members)."""
+def possible_members(groups: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(shingle, i, j, key, label) of the members of groups(shingle, key, label, members), by pairs of blocks, that
+    share enough prefix shingles with a member of another component."""
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
     rows = groups.select("shingle", "key", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "label")
+    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "label").join(prefixes, "key")
+
+    def mark(table: pa.Table) -> pa.Table:
+        n, labels = table.column("n").to_pylist(), table.column("label").to_pylist()
+        shared = [mix(np.asarray(x.values).astype(np.uint64)) for x in table.column("shared")]
+        order = sorted(range(len(n)), key=lambda i: (n[i], labels[i]))
+        root = build_tree([Node(bits=bitmap(shared[i]), n=n[i], item=i, label=labels[i], tokens=len(shared[i])) for i in order])
+        found: set[int] = set()
+
+        def enough(i: int, j: int) -> bool:
+            if i in found and j in found:
+                return False
+            return len(np.intersect1d(shared[i], shared[j], assume_unique=True)) >= shared_least(n[i], n[j])
+
+        for pair in dual_traversal(root, may_share, enough, lambda label: label):
+            found.update(pair)
+        return table.select(["shingle", "i", "j", "key", "label"]).take(pa.array(sorted(found), pa.int64()))
+
+    return rows.groupBy("shingle", "i", "j").applyInArrow(mark, "shingle long, i int, j int, key long, label long")
+
+
+def tree_links(rows: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(a, b) links between different components of the groups of rows(shingle, i, j, key, label)."""
     places = rows.groupBy("key").agg(F.collect_list(F.struct("shingle", "i", "j", "label")).alias("routes"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +440,9 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
     postings = materialise(candidate_postings(documents, slot_counts(made)), "postings")
 
+    prefixes = postings.groupBy("key").agg(F.collect_list("shingle").alias("shared")).join(classes, "key").select("key", "n", "shared")
+    prefixes = materialise(prefixes, "prefixes")
+
     links = tested = None
     labelled = postings.withColumn("label", F.col("key"))
     for number in range(ROUNDS):
@@ -391,7 +450,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         groups = labelled.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("key", "label"), F.xxhash64("key", F.lit(number))).alias("drawn"))
         stars = labelled.join(groups.filter("lo <> hi").select("shingle", "drawn"), "shingle").filter(F.col("label") != F.col("drawn.label"))
         stars = stars.select(F.col("drawn.key").alias("a"), F.col("key").alias("b")).distinct()
-        stars = materialise(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
+        stars = materialise(plausible(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), prefixes), "stars")
         found = materialise(verified(stars, classes, documents), "links")
         links, tested = (found, stars) if links is None else (links.union(found), tested.union(stars))
 
@@ -399,7 +458,8 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     order_free = [F.count("*").alias("members"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("of"), F.min("label").alias("lo"), F.max("label").alias("hi")]
     mixed = labelled.groupBy("shingle").agg(*order_free).filter("members > 2 and lo <> hi")
     mixed = mixed.groupBy("members", "of").agg(F.min("shingle").alias("shingle")).select("shingle", "members")
-    links = links.union(tree_links(labelled.join(mixed, "shingle"), classes, documents))
+    members = materialise(possible_members(labelled.join(mixed, "shingle"), prefixes), "members")
+    links = links.union(tree_links(members, classes, documents))
 
     classed = components(links)
     names = classes.join(classed, classes["key"] == classed["node"], "left").withColumn("root", F.coalesce("component", "key"))
