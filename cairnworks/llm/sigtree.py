@@ -12,10 +12,11 @@
 4. What is left, groups that still hold several components, goes through signature trees: nodes hold
    OR-combined token bitmaps and size ranges, two trees are walked together, and a pair of nodes is pruned if
    the largest overlap that bitmaps and sizes allow is too small, or all below is linked already. A first walk
-   over prefix shingles tells which members have a possible partner; only their whole sets are sent to a second
-   walk, where leaves that meet are compared exactly and only links leave the task. Of groups with the same
-   members one is walked. Groups beyond BLOCK members are split into blocks, and every pair of blocks is a
-   task of its own.
+   over prefix shingles joins the members that are possible partners into families, over all groups. Only whole
+   sets of families are sent to a second walk, once for each class however many groups it stands in; leaves
+   that meet there are compared exactly and only links leave the task. Of groups with the same members one is
+   walked. Groups and families beyond BLOCK members are split into blocks, and every pair of blocks is a task of
+   its own.
 5. Links of both kinds make the components.
 
 Nothing is capped: a shingle, group or component may hold any share of the rows.
@@ -45,8 +46,8 @@ SLOT_BITS, CHUNK = 18, 4096
 HEAVY, SALT_BITS = 1_000_000, 16
 #: A task sends its postings whenever it holds so many.
 HOLD = 500_000
-BLOCK = 4096
-ROUNDS = 3
+BLOCK = 2048
+ROUNDS = 2
 #: Bits of a token bitmap for each shingle, at least.
 BITMAP_BITS = 16
 FANOUT = 8
@@ -378,39 +379,54 @@ def walk_group(keys: list[int], labels: list[int], sets: list[np.ndarray]) -> li
     return found
 
 
-def possible_members(groups: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(shingle, i, j, key, label) of the members of groups(shingle, key, label, members), by pairs of blocks, that
-    share enough prefix shingles with a member of another component."""
+def in_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """rows(group, key, label, members) as often as their group has pairs (i, j) of blocks that hold them."""
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    rows = groups.select("shingle", "key", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "label").join(prefixes, "key")
+    rows = rows.select(group, "key", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return rows.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "label")
+
+
+def possible_families(groups: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(family, key, label, members) of the classes of groups(shingle, key, label, members) that share enough prefix
+    shingles with one of another component; such pairs, wherever they meet, lie in one family."""
 
     def mark(table: pa.Table) -> pa.Table:
-        n, labels = table.column("n").to_pylist(), table.column("label").to_pylist()
+        n, labels, keys = (table.column(c).to_pylist() for c in ("n", "label", "key"))
         shared = [mix(np.asarray(x.values).astype(np.uint64)) for x in table.column("shared")]
         order = sorted(range(len(n)), key=lambda i: (n[i], labels[i]))
         root = build_tree([Node(bits=bitmap(shared[i]), n=n[i], item=i, label=labels[i], tokens=len(shared[i])) for i in order])
-        found: set[int] = set()
+        above = list(range(len(n)))
+
+        def find(i: int) -> int:
+            while above[i] != i:
+                above[i] = i = above[above[i]]
+            return i
 
         def enough(i: int, j: int) -> bool:
-            if i in found and j in found:
-                return False
-            return len(np.intersect1d(shared[i], shared[j], assume_unique=True)) >= shared_least(n[i], n[j])
+            return find(i) != find(j) and len(np.intersect1d(shared[i], shared[j], assume_unique=True)) >= shared_least(n[i], n[j])
 
-        for pair in dual_traversal(root, may_share, enough, lambda label: label):
-            found.update(pair)
-        return table.select(["shingle", "i", "j", "key", "label"]).take(pa.array(sorted(found), pa.int64()))
+        for i, j in dual_traversal(root, may_share, enough, lambda label: label):
+            above[find(i)] = find(j)
+        tops = [find(i) for i in range(len(n))]
+        size = np.bincount(tops, minlength=len(n))
+        kept = [i for i in range(len(n)) if size[tops[i]] > 1]
+        columns = [[keys[i] for i in kept], [labels[i] for i in kept], [keys[tops[i]] for i in kept]]
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("key", "label", "top"), columns, strict=True)})
 
-    return rows.groupBy("shingle", "i", "j").applyInArrow(mark, "shingle long, i int, j int, key long, label long")
+    found = in_blocks(groups, "shingle").join(prefixes, "key").groupBy("shingle", "i", "j").applyInArrow(mark, "key long, label long, top long")
+    found = materialise(found.distinct(), "possible")
+    families = components(found.select(F.col("key").alias("a"), F.col("top").alias("b")))
+    members = found.select("key", "label").distinct().join(families, F.col("key") == F.col("node")).select(F.col("component").alias("family"), "key", "label")
+    return members.join(members.groupBy("family").agg(F.count("*").alias("members")), "family")
 
 
 def tree_links(rows: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(a, b) links between different components of the groups of rows(shingle, i, j, key, label)."""
-    places = rows.groupBy("key").agg(F.collect_list(F.struct("shingle", "i", "j", "label")).alias("routes"))
+    """(a, b) links between different components of the families of rows(family, i, j, key, label)."""
+    places = rows.groupBy("key").agg(F.collect_list(F.struct("family", "i", "j", "label")).alias("routes"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"shingle": pa.int64(), "i": pa.int32(), "j": pa.int32(), "key": pa.int64(), "label": pa.int64(), "held": pa.binary()}
+        kinds = {"family": pa.int64(), "i": pa.int32(), "j": pa.int32(), "key": pa.int64(), "label": pa.int64(), "held": pa.binary()}
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(*texts_of(part.column("text")), WIDTH)
@@ -420,7 +436,7 @@ def tree_links(rows: DataFrame, classes: DataFrame, documents: DataFrame) -> Dat
                     held = packed_set(s)
                     for a in range(0, len(routes), 100):
                         some = routes[a : a + 100]
-                        columns = [[r["shingle"] for r in some], [r["i"] for r in some], [r["j"] for r in some], [key] * len(some), [r["label"] for r in some], [held] * len(some)]
+                        columns = [[r["family"] for r in some], [r["i"] for r in some], [r["j"] for r in some], [key] * len(some), [r["label"] for r in some], [held] * len(some)]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     def walk(table: pa.Table) -> pa.Table:
@@ -429,8 +445,8 @@ def tree_links(rows: DataFrame, classes: DataFrame, documents: DataFrame) -> Dat
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     wanted = places.join(classes, "key").select("least", "key", "routes")
-    sent = _texts_of(documents, wanted).select("text", "key", "routes").mapInArrow(send, "shingle long, i int, j int, key long, label long, held binary")
-    return sent.groupBy("shingle", "i", "j").applyInArrow(walk, "a long, b long")
+    sent = _texts_of(documents, wanted).select("text", "key", "routes").mapInArrow(send, "family long, i int, j int, key long, label long, held binary")
+    return sent.groupBy("family", "i", "j").applyInArrow(walk, "a long, b long")
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
@@ -458,8 +474,8 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     order_free = [F.count("*").alias("members"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("of"), F.min("label").alias("lo"), F.max("label").alias("hi")]
     mixed = labelled.groupBy("shingle").agg(*order_free).filter("members > 2 and lo <> hi")
     mixed = mixed.groupBy("members", "of").agg(F.min("shingle").alias("shingle")).select("shingle", "members")
-    members = materialise(possible_members(labelled.join(mixed, "shingle"), prefixes), "members")
-    links = links.union(tree_links(members, classes, documents))
+    families = materialise(possible_families(labelled.join(mixed, "shingle"), prefixes), "families")
+    links = links.union(tree_links(in_blocks(families, "family"), classes, documents))
 
     classed = components(links)
     names = classes.join(classed, classes["key"] == classed["node"], "left").withColumn("root", F.coalesce("component", "key"))
