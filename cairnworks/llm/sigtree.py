@@ -198,13 +198,21 @@ def shared_least(na: int, nb: int) -> int:
     return min(prefix_length(na) - na, prefix_length(nb) - nb) + overlap
 
 
+def prefixes_of(postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, n, shared, lost): 32 bits of each prefix shingle, for they travel often. Two sets may seem to share more
+    shingles than they do; `lost` are those of a set that have the bits of another one, which may be shared unseen."""
+    low = (F.col("shingle").bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
+    held = postings.groupBy("key").agg(F.collect_set(low).alias("shared"), F.count("*").alias("_all"))
+    return held.join(classes, "key").select("key", "n", "shared", (F.col("_all") - F.size("shared")).cast("int").alias("lost"))
+
+
 def plausible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The (a, b) of pairs whose sizes fit and that share enough prefix shingles; prefixes(key, n, shared array)."""
-    side = lambda x: prefixes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"p{x}"))
+    """The (a, b) of pairs whose sizes fit and that share enough prefix shingles; prefixes as `prefixes_of` makes them."""
+    side = lambda x: prefixes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"p{x}"), F.col("lost").alias(f"l{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     up = lambda x, of: F.expr(f"({x} + {of - 1}) div {of}")
     least = F.least(1 - up(f"{PERCENT} * na", 100), 1 - up(f"{PERCENT} * nb", 100)) + up(f"{PERCENT} * (na + nb)", 100 + PERCENT)
-    return both.filter(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b")
+    return both.filter(F.size(F.array_intersect("pa", "pb")) + F.least("la", "lb") >= least).select("a", "b")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -392,10 +400,10 @@ def possible_families(groups: DataFrame, prefixes: DataFrame) -> DataFrame:
     shingles with one of another component; such pairs, wherever they meet, lie in one family."""
 
     def mark(table: pa.Table) -> pa.Table:
-        n, labels, keys = (table.column(c).to_pylist() for c in ("n", "label", "key"))
+        n, labels, keys, lost = (table.column(c).to_pylist() for c in ("n", "label", "key", "lost"))
         shared = [mix(np.asarray(x.values).astype(np.uint64)) for x in table.column("shared")]
         order = sorted(range(len(n)), key=lambda i: (n[i], labels[i]))
-        root = build_tree([Node(bits=bitmap(shared[i]), n=n[i], item=i, label=labels[i], tokens=len(shared[i])) for i in order])
+        root = build_tree([Node(bits=bitmap(shared[i]), n=n[i], item=i, label=labels[i], tokens=len(shared[i]) + lost[i]) for i in order])
         above = list(range(len(n)))
 
         def find(i: int) -> int:
@@ -404,7 +412,7 @@ def possible_families(groups: DataFrame, prefixes: DataFrame) -> DataFrame:
             return i
 
         def enough(i: int, j: int) -> bool:
-            return find(i) != find(j) and len(np.intersect1d(shared[i], shared[j], assume_unique=True)) >= shared_least(n[i], n[j])
+            return find(i) != find(j) and len(np.intersect1d(shared[i], shared[j], assume_unique=True)) + min(lost[i], lost[j]) >= shared_least(n[i], n[j])
 
         for i, j in dual_traversal(root, may_share, enough, lambda label: label):
             above[find(i)] = find(j)
@@ -456,8 +464,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
     postings = materialise(candidate_postings(documents, slot_counts(made)), "postings")
 
-    prefixes = postings.groupBy("key").agg(F.collect_list("shingle").alias("shared")).join(classes, "key").select("key", "n", "shared")
-    prefixes = materialise(prefixes, "prefixes")
+    prefixes = materialise(prefixes_of(postings, classes), "prefixes")
 
     links = tested = None
     labelled = postings.withColumn("label", F.col("key"))
