@@ -1,12 +1,14 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A gear hash runs over the bytes of each text; a chunk ends before a word where the hash has zeros in its cut
-bits (one word in four; after MAX_WORDS words in any case), so an insertion moves no later chunk border. Of all
-chunks with one digest the first, in ascending order of (doc_id, position), stays. A later one is cut out where
-it lies in a run of repeated chunks of at least MIN_WORDS words, so that short common phrases stay.
+bits (one word in four; after MAX_WORDS words in any case), so an insertion moves no later chunk border. A
+window is a row of consecutive chunks of one text that has at least MIN_WORDS words. Of all windows with one digest
+the first, in ascending order of (doc_id, position), stays; the chunks of a later one are cut out. So short common
+phrases stay, and so do chunks that each stand somewhere else but never stood together. That is the rule of the
+query and the pipeline (`together`); the older one cuts any run of repeated chunks that has MIN_WORDS words.
 
-Scale: each task first combines its own chunks (the first of each digest goes to the digest's bucket, the rest
-is known to repeat), so a passage in a third of all documents costs a bucket one entry a task. Chunks travel packed.
+Scale: each task first combines its own chunks and windows (the first of each digest goes to the digest's bucket,
+the rest is known to repeat), so a passage in a third of all documents costs a bucket one entry a task. They travel packed.
 
 Edge cases: null and empty texts, and texts without words, pass unchanged; repeated rows, rows that share a
 doc_id and rows without one count in the order of a row number given once; a text that repeats as a whole is left
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnworks.llm.bytetext import Rolling, slices, spans, texts_of
+from cairnworks.llm.bytetext import Rolling, mix, slices, spans, texts_of
 from cairnworks.llm.common import materialise, pieces, read
 
 CUT_BITS, CUT_SHIFT = 2, 13
@@ -32,6 +34,7 @@ WARM = 32  # bytes of a text before the hash is its own
 #: A task combines and sends its chunks whenever it holds so many.
 HOLD = 800_000
 _GEAR = np.random.default_rng(31).integers(0, 2**32, 256, dtype=np.uint32)
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 _CHUNK = np.dtype([("digest", "<u8"), ("row", "<i8"), ("place", "<u4")])
 
 
@@ -62,8 +65,33 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row[first], "place": place, "start": start[first], "end": end[last], "digest": Rolling(data, exact=True).hash(start[first], end[last]), "words": last - first + 1}
 
 
-def repeated_chunks(documents: DataFrame, row: str) -> DataFrame:
-    """(row, places) of the chunks that are not the first of their digest; row is a unique ascending long."""
+def windows(found: dict[str, np.ndarray], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first chunk, number of chunks, digest) of each chunk's shortest windows of min_words words that start or end with it.
+
+    These do for all: a chunk of a longer repeated window lies in one of them inside that window.
+    """
+    row, n = found["row"], len(found["row"])
+    if not n:
+        return _NONE
+    before = np.concatenate([[0], np.cumsum(found["words"])])
+    order = np.arange(n)
+    stop = np.searchsorted(before, before[:-1] + min_words)
+    starting = (stop <= n) & (row[np.minimum(stop, n) - 1] == row)
+    start = np.searchsorted(before, before[1:] - min_words, "right") - 1
+    ending = (start >= 0) & (row[np.maximum(start, 0)] == row)
+    ending &= stop[np.maximum(start, 0)] != order + 1  # else it is a window that starts with its first chunk
+    first = np.concatenate([order[starting], start[ending]])
+    size = np.concatenate([stop[starting] - order[starting], order[ending] + 1 - start[ending]])
+    # Over the digests of chunks, as Rolling does over bytes; chunks are fewer than the bytes that it was made for.
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(found["digest"] * Rolling._power[:n], dtype=np.uint64)])
+    return first, size, mix((sums[first + size] - sums[first]) * Rolling._inverse[first] + size.astype(np.uint64))
+
+
+def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS, together: bool = False) -> DataFrame:
+    """(row, places) of the chunks, and if `together` of the windows, that are not the first of their digest; row is a unique ascending long.
+
+    A place is the first chunk's times min_words + 1, plus a window's number of chunks (at most min_words), or 0 for a chunk.
+    """
     n_buckets = 8 * pieces(documents.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +116,11 @@ def repeated_chunks(documents: DataFrame, row: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 found = chunks(*texts_of(part.column("text")))
-                made = np.empty(len(found["row"]), _CHUNK)
-                made["digest"], made["place"] = found["digest"], found["place"]
-                made["row"] = part.column("row").to_numpy()[found["row"]]
+                first, n, digest = windows(found, min_words) if together else _NONE
+                made = np.empty(len(found["row"]) + len(first), _CHUNK)
+                made["digest"] = np.concatenate([found["digest"], digest])
+                made["place"] = np.concatenate([found["place"] * (min_words + 1), found["place"][first] * (min_words + 1) + n])
+                made["row"] = part.column("row").to_numpy()[np.concatenate([found["row"], found["row"][first]])]
                 held.append(made)
                 size += len(made)
                 if size >= HOLD:
@@ -121,19 +151,21 @@ def repeated_chunks(documents: DataFrame, row: str) -> DataFrame:
 REPORT = "struct<n_words:long,n_chunks:long,repeated_chunks:long,removed_words:long,removed:array<struct<start:int,end:int>>>"
 
 
-def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS, together: bool = False) -> DataFrame:
     """documents with repeated passages cut out of `text`, all other columns kept, and a struct column `_cut` (REPORT).
 
-    `removed` lists code point ranges of the original text.
+    together: what is cut stood before as min_words words in a row, not as chunks in different places. `removed` lists code point ranges of the original text.
     """
+    min_words = max(1, min_words)
     unique = documents.agg((F.count("*") == F.count_distinct("doc_id"))).first()[0]
     if unique:
         numbered = documents.withColumn("_row", F.col("doc_id").cast("long"))
     else:
         numbered = materialise(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    places = repeated_chunks(numbered, "_row").select(F.col("row").alias("_of"), F.col("places").alias("_places"))
+    places = repeated_chunks(numbered, "_row", min_words, together).select(F.col("row").alias("_of"), F.col("places").alias("_places"))
     joined = numbered.join(places, F.col("_row") == F.col("_of"), "left").drop("_row", "_of")
     columns = documents.columns
+    wide = min_words + 1
     spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kind = pa.struct([("n_words", pa.int64()), ("n_chunks", pa.int64()), ("repeated_chunks", pa.int64()), ("removed_words", pa.int64()), ("removed", spans_kind)])
 
@@ -143,16 +175,24 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 data, offsets = texts_of(part.column("text"))
                 found = chunks(data, offsets)
                 repeated = np.zeros(len(found["row"]), bool)
+                edges = np.zeros(len(repeated) + 1, np.int64)
                 begin = np.searchsorted(found["row"], np.arange(part.num_rows + 1))
                 listed = part.column("_places")
                 for i in np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False)):
-                    repeated[begin[i] + np.asarray(listed[i].values)] = True
-                # Runs of repeated chunks within a text, and their words.
-                edge = np.ones(len(repeated), bool)
-                edge[1:] = (repeated[1:] != repeated[:-1]) | (found["row"][1:] != found["row"][:-1])
-                run = np.cumsum(edge) - 1
-                long_enough = np.bincount(run, found["words"]) >= min_words if len(run) else np.zeros(0, bool)
-                cut = repeated & long_enough[run] if len(run) else repeated
+                    place = np.asarray(listed[i].values).view(np.uint32).astype(np.int64)
+                    first, n = begin[i] + place // wide, place % wide
+                    repeated[first[n == 0]] = True
+                    np.add.at(edges, first, (n > 0).astype(np.int64))
+                    np.subtract.at(edges, first + n, (n > 0).astype(np.int64))
+                if together:
+                    cut = np.cumsum(edges)[:-1] > 0  # chunks that a repeated window covers
+                else:
+                    # Runs of repeated chunks within a text, and their words.
+                    edge = np.ones(len(repeated), bool)
+                    edge[1:] = (repeated[1:] != repeated[:-1]) | (found["row"][1:] != found["row"][:-1])
+                    run = np.cumsum(edge) - 1
+                    long_enough = np.bincount(run, found["words"]) >= min_words if len(run) else np.zeros(0, bool)
+                    cut = repeated & long_enough[run] if len(run) else repeated
                 texts = part.column("text").to_pylist()
                 reports = []
                 for i in range(part.num_rows):
@@ -180,4 +220,4 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "_cut.*")
+    return deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"), together=True).select("doc_id", "text", "_cut.*")

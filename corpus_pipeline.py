@@ -29,7 +29,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages that stand in an earlier one; those left without words go."""
-    cut = chunk_dedup.deduplicated(docs)
+    cut = chunk_dedup.deduplicated(docs, together=True)
     rows = cut.filter((F.col("_cut.removed_words") == 0) | F.col("text").rlike(WORD))
     return rows.withColumn("n_chars", F.when(F.col("_cut.removed_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).drop("_cut")
 

@@ -41,3 +41,68 @@ def test_odd_rows(odd):
 
 def test_empty_table(empty):
     assert chunk_dedup.deduplicated(empty).count() == 0
+
+
+def test_chunks_that_never_stood_together_stay(spark):
+    """Each chunk of the last document stands in another one, but no two of them stand side by side there."""
+    import random
+
+    import numpy as np
+
+    random.seed(2)
+    say = lambda n: " ".join("".join(random.choices("abcdefghij", k=5)) for _ in range(n))
+    text = say(120)
+    raw = text.encode()
+    found = chunk_dedup.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    bodies = [raw[a:b].decode() for a, b in zip(found["start"], found["end"], strict=True)]
+    # The text before a chunk decides where it starts, so each stands behind the 40 bytes before it, cut at a border of its own.
+    docs = [(k, f"{say(20)} {raw[max(0, found['start'][k] - 40) : found['end'][k]].decode().split(' ', 1)[-1]} {say(20)}") for k in range(12, len(bodies))]
+    rows = {r["doc_id"]: r for r in chunk_dedup.deduplicated(spark.createDataFrame([*docs, (1000, text)], "doc_id long, text string"), min_words=30, together=True).collect()}
+    assert rows[1000]["_cut"]["repeated_chunks"] >= 8
+    assert rows[1000]["text"] == text and rows[1000]["_cut"]["removed_words"] == 0
+
+
+def test_every_chunk_of_a_repeated_passage_goes():
+    """The shortest windows that start or end with a chunk reach all chunks of any stretch with enough words."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        words = rng.choice([1, 2, 5, 15, 20], rng.integers(1, 12))
+        found = {"row": np.zeros(len(words), np.int64), "words": words, "digest": rng.integers(1, 2**63, len(words), dtype=np.uint64)}
+        chunk_dedup.Rolling(np.zeros(100, np.uint8))
+        first, size, digest = chunk_dedup.windows(found, 16)
+        assert all(words[a : a + n].sum() >= 16 and n <= 16 for a, n in zip(first, size, strict=True))
+        assert len(set(zip(first, size, strict=True))) == len(first) == len(set(digest))
+        covered = np.zeros(len(words), bool)
+        for a, n in zip(first, size, strict=True):
+            covered[a : a + n] = True
+        assert covered.all() == (words.sum() >= 16)
+
+
+def test_only_what_stood_together_goes(documents):
+    """Against dictionaries of all stretches of chunks that have MIN_WORDS words."""
+    import numpy as np
+
+    docs = sorted((r["doc_id"], r["text"] or "") for r in documents.collect())
+    seen, want = set(), {}
+    for d, text in docs:
+        raw = text.encode()
+        found = chunk_dedup.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        bodies = [raw[a:b] for a, b in zip(found["start"], found["end"], strict=True)]
+        cut = [False] * len(bodies)
+        for i in range(len(bodies)):
+            for j in range(i + 1, min(len(bodies), i + 2 * chunk_dedup.MIN_WORDS) + 1):
+                if found["words"][i:j].sum() >= chunk_dedup.MIN_WORDS:
+                    if tuple(bodies[i:j]) in seen:
+                        cut[i:j] = [True] * (j - i)
+                    seen.add(tuple(bodies[i:j]))
+        want[d] = int(found["words"][np.array(cut, bool)].sum())
+    rows = chunk_dedup.deduplicated(documents.repartition(5), together=True).collect()
+    assert {r["doc_id"]: r["_cut"]["removed_words"] for r in rows} == want
+
+
+def test_odd_rows_together(odd, empty):
+    rows = chunk_dedup.deduplicated(odd, together=True).collect()
+    assert len(rows) == odd.count() and sorted(len(r["text"]) > 0 for r in rows if r["doc_id"] == 9) == [False, True]
+    assert chunk_dedup.deduplicated(empty, together=True).count() == 0
