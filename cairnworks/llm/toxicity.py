@@ -3,7 +3,8 @@
 Training (a bounded sample of labelled documents, `MAX_TOXIC` + `MAX_CLEAN` rows): word forms and their first
 letters that stand in many different contexts of toxic documents and in hardly any of clean ones label the
 tokens; the field is fitted to these labels (weights of word and prefix features, transitions between the
-states "clean" and "toxic"). Scoring: forward-backward marginals over every text, in windows of WINDOW words;
+states "clean" and "toxic"). Where a class or a kind of windows is drawn in part, what was drawn counts for what was
+not: rows and windows weigh the inverse of their drawn share, so scores mean the same however many labels there are. Scoring: forward-backward marginals over every text, in windows of WINDOW words;
 expected and largest marginals make the document's score, marginals of at least 0.5 its spans.
 
 Contexts, not occurrences, are counted, so a group of copies counts as one document.
@@ -110,8 +111,8 @@ def _contexts(feature: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.
     return np.unique(feature[at], return_counts=True)
 
 
-def _evidence(columns: list[np.ndarray], context: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Which tokens of toxic documents have a feature that tells toxic documents from clean ones."""
+def _evidence(columns: list[np.ndarray], context: np.ndarray, toxic: np.ndarray, clean_weight: float = 1.0) -> np.ndarray:
+    """Which tokens of toxic documents have a feature that tells toxic documents from clean ones; clean_weight: of a clean row, a toxic one's being 1."""
     label = np.zeros(len(toxic), bool)
     for column in columns:
         seen = column > 0
@@ -121,17 +122,17 @@ def _evidence(columns: list[np.ndarray], context: np.ndarray, toxic: np.ndarray)
         if len(of_clean):
             at = np.minimum(np.searchsorted(of_clean, of_toxic), len(of_clean) - 1)
             against = np.where(of_clean[at] == of_toxic, n_clean[at], 0)
-        telling = of_toxic[(n_toxic >= MIN_CONTEXTS) & (n_toxic >= MIN_PRECISION * (n_toxic + against))]
+        telling = of_toxic[(n_toxic >= MIN_CONTEXTS) & (n_toxic >= MIN_PRECISION * (n_toxic + clean_weight * against))]
         label |= toxic & np.isin(column, telling)
     return label
 
 
-def _fit_chain(places: np.ndarray, held: np.ndarray, label: np.ndarray, n_features: int, steps: int = 80) -> tuple[np.ndarray, float, np.ndarray]:
-    """Gradient ascent (Adam) on the likelihood of the labels; arrays are (WINDOW, windows[, columns])."""
+def _fit_chain(places: np.ndarray, held: np.ndarray, label: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 80) -> tuple[np.ndarray, float, np.ndarray]:
+    """Gradient ascent (Adam) on the likelihood of the labels; arrays are (WINDOW, windows[, columns]), weight is each window's."""
     theta = np.concatenate([np.zeros(n_features + 1), [-3.0], np.zeros(4)])
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     width = held.shape[0]
-    both = held[1:] & held[:-1]
+    both = (held[1:] & held[:-1]) * weight
     y = label.astype(float)
     seen = np.array([[((1 - y[:-1]) * (1 - y[1:]) * both).sum(), ((1 - y[:-1]) * y[1:] * both).sum()], [(y[:-1] * (1 - y[1:]) * both).sum(), (y[:-1] * y[1:] * both).sum()]])
     for step in range(1, steps + 1):
@@ -150,8 +151,8 @@ def _fit_chain(places: np.ndarray, held: np.ndarray, label: np.ndarray, n_featur
             beta[t] = np.where(held[t + 1][:, None], after @ moves.T, 1.0)
         p = alpha[..., 1] * beta[..., 1] * held
         after = np.stack([np.ones(e[1:].shape), e[1:]], -1) * beta[1:] / scale[1:][..., None]
-        pair = np.einsum("twa,twb,tw->ab", alpha[:-1], after, both.astype(float)) * moves
-        gap = (y - p) * held
+        pair = np.einsum("twa,twb,tw->ab", alpha[:-1], after, both) * moves
+        gap = (y - p) * held * weight
         by_feature = np.bincount(places.reshape(-1), np.repeat(gap.reshape(-1), places.shape[-1]), n_features + 1)
         gradient = np.concatenate([by_feature, [gap.sum()], (seen - pair).reshape(-1)]) - 0.5 * theta
         m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.99 * m2 + 0.01 * gradient**2
@@ -161,8 +162,10 @@ def _fit_chain(places: np.ndarray, held: np.ndarray, label: np.ndarray, n_featur
     return weights, theta[n_features + 1], theta[-4:].reshape(2, 2)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80) -> Field:
-    """Fit the field and the document calibration on labelled texts, a bounded sample."""
+def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80, shares: tuple[float, float] = (1.0, 1.0), max_windows: int = MAX_WINDOWS) -> Field:
+    """Fit the field and the document calibration on labelled texts, a bounded sample; shares: which parts of the clean and of the toxic rows it holds."""
+    weight = np.where(toxic, 1 / shares[1], 1 / shares[0])
+    weight /= weight.mean() if len(weight) else 1  # the priors on the weights are set against as many rows as were drawn
     rows, parts = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(1 + len(PREFIXES))]
     before = 0
     for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
@@ -175,11 +178,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80) -> Field:
     row, columns = np.concatenate(rows), [np.concatenate(p) for p in parts]
     del parts, rows
     if not len(row) or toxic.all() or not toxic.any():
-        rate = np.clip(toxic.mean() if len(toxic) else 0.02, 0.02, 0.98)
+        rate = np.clip(np.average(toxic, weights=weight) if len(toxic) else 0.02, 0.02, 0.98)
         return Field(calibration=np.array([np.log(rate / (1 - rate)), 0.0, 0.0]))
     context = np.concatenate([[np.uint64(0)], columns[0][:-1]])
     context[1:][row[1:] != row[:-1]] = 0
-    label = _evidence(columns, context, toxic[row])
+    label = _evidence(columns, context, toxic[row], shares[1] / shares[0])
     known = [np.unique(c[label & (c > 0)], return_counts=True) for c in columns]
     features = np.unique(np.concatenate([v[n >= 3] for v, n in known]))
     model = Field(features, np.zeros(len(features) + 1))
@@ -190,25 +193,27 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80) -> Field:
     place = order - np.maximum.accumulate(np.where(first, order, 0))
     window = np.cumsum(place % WINDOW == 0) - 1
     has = np.bincount(window, label) > 0
-    use = np.zeros(len(has), bool)
+    use, window_weight = np.zeros(len(has), bool), weight[row[place % WINDOW == 0]]
     for kind in (has, ~has):
         some = np.flatnonzero(kind)
-        use[some[np.random.default_rng(7).permutation(len(some))[:MAX_WINDOWS]]] = True
+        use[some[np.random.default_rng(7).permutation(len(some))[:max_windows]]] = True
+        window_weight[some] *= max(1.0, len(some) / max_windows)
+    window_weight /= window_weight[use].mean()
     new = np.cumsum(use) - 1
     at = use[window]
     shape = (WINDOW, int(use.sum()))
     grid, held, y = np.full((*shape, places.shape[-1]), len(features), np.int32), np.zeros(shape, bool), np.zeros(shape, bool)
     column, number = place[at] % WINDOW, new[window[at]]
     grid[column, number], held[column, number], y[column, number] = places[at], True, label[at]
-    weights, bias, moves = _fit_chain(grid, held, y, len(features), steps)
+    weights, bias, moves = _fit_chain(grid, held, y, window_weight[use], len(features), steps)
     model = Field(features, weights, float(bias), moves)
     expected, largest = document_sums(model.marginals(model.bias + model.weights[places].sum(-1), row), row, len(toxic))
     x, target = np.stack([np.ones(len(toxic)), np.log1p(expected), largest], 1), toxic.astype(float)
     theta = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1.0 * np.eye(3)
-        theta = theta + np.linalg.solve(hessian, x.T @ (target - p) - 1.0 * theta)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1.0 * np.eye(3)
+        theta = theta + np.linalg.solve(hessian, x.T @ (weight * (target - p)) - 1.0 * theta)
     model.calibration = theta
     return model
 
@@ -219,8 +224,8 @@ def document_sums(p: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, n
     return np.bincount(row, p, n), largest
 
 
-def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field:
-    """Fit on at most about max_toxic + max_clean labelled rows, drawn by a hash of their ids; held-out rows never take part."""
+def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_windows: int = MAX_WINDOWS) -> Field:
+    """Fit on at most about max_toxic + max_clean labelled rows, drawn by a hash of their ids and weighted by their drawn shares; held-out rows never take part."""
     rows = labels.select(F.col("doc_id").alias("_id"), "toxic").filter(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, most / max(1, counts.get(k, 0))) for k, most in ((1, max_toxic), (0, max_clean))}
@@ -228,7 +233,7 @@ def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, m
     drawn = rows.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # The drawn rows are bounded by the two parameters, so they may be broadcast and brought to the driver.
     sample = documents.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    return fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy() == 1)
+    return fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy() == 1, shares=(share[0], share[1]), max_windows=max_windows)
 
 
 def held_out(doc_id):

@@ -77,3 +77,27 @@ def test_odd_rows(odd, empty, model, spark):
     assert toxicity.toxicity(empty, model).count() == 0
     bad = spark.createDataFrame([(1, "vilething and nasties then vilething"), (2, "fine words")], "doc_id long, text string")
     assert [r["doc_id"] for r in toxicity.toxic_filter(bad, model).collect()] == [2]
+
+
+def test_drawn_shares_move_no_score():
+    """Some clean documents hold a word that tells toxic ones; with a tenth of the clean rows, a doubtful document scores as with all rows."""
+    random.seed(5)
+    rows = corpus(8000, 6, toxic_share=0.1)
+    texts = [text + (" nastiest" if random.random() < (0.5 if toxic else 0.05) else "") for _, text, toxic in rows]
+    toxic = np.array([r[2] == 1 for r in rows])
+    drawn = toxic | (np.arange(len(rows)) % 10 == 0)
+    some = pa.array([t for t, d in zip(texts, drawn, strict=True) if d])
+    odds = lambda model: np.log(1 / model.score(np.array([0.6]), np.array([0.6]))[0] - 1)
+    whole = odds(toxicity.fit(pa.array(texts), toxic))
+    assert abs(whole - odds(toxicity.fit(some, toxic[drawn], shares=(0.1, 1.0)))) < 0.3
+    assert abs(whole - odds(toxicity.fit(some, toxic[drawn]))) > 0.8  # as it was: the draw counted as the whole
+
+
+def test_training_tells_the_drawn_shares(spark, monkeypatch):
+    rows = spark.createDataFrame(corpus(300, 4), "doc_id long, text string, toxic int")
+    told = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, **options: told.append((toxic, options)))
+    toxicity.train(rows.drop("toxic"), rows.select("doc_id", "toxic"), max_toxic=10_000, max_clean=70, max_windows=9)
+    toxic, options = told[0]
+    assert options["shares"][1] == 1 and options["max_windows"] == 9
+    assert 0.3 < options["shares"][0] < 0.8 and abs((~toxic).sum() - 70) < 30
