@@ -1,186 +1,206 @@
 """An adaptive context-mixing range coder for token ids, over many independent blocks at once.
 
 Three predictions are mixed for each id: the id that last followed the two ids before it (order 2), the one that
-last followed the id before it (order 1), and the frequencies of the block so far (order 0, over classes of ids
-ranked by frequency in the shard). The mixing weights belong to the confidences of both contexts and adapt to
-which prediction was right. The mixture drives a 64-bit range coder. Every block starts from the same fresh
-model, so it decodes alone; numpy steps through the ids of up to LANES blocks side by side.
+last followed the id before it (order 1), both learnt within the block, and the frequencies of the ids (order 0,
+`Frequencies`, which the caller keeps beside the blocks). The mixing weights belong to the confidences of both
+contexts and to whether they agree, and adapt to which prediction was right. The mixture drives a 64-bit range
+coder. Every block starts from the same fresh model, so it decodes alone; numpy steps through the ids of up to
+LANES blocks side by side.
+
+Ids are given as ranks below RANKS, 0 being the most frequent.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1024
+BLOCK = 4096
 LANES = 2048
-CLASSES = 128
-_H1, _H2 = 10, 10  # bits of the context tables
-_REFRESH = 32
-_TOP = np.uint64(1 << 32)
-_LOW32 = np.uint64(0xFFFFFFFF)
+RANKS = 1 << 16
+NOTHING = RANKS - 1  # what an empty context predicts
+_H1, _H2 = 10, 11  # bits of the context tables
+_TOTAL = 28  # bits of the whole of all shares
 _U = np.uint64
+_HEAD = np.array(32, _U)
+_TOP, _LOW32 = _U(1 << 32), _U(0xFFFFFFFF)
+_STEPS = 64  # ids of all blocks that are turned at a time
+_MIXED = 32  # mixing contexts: three confidences of order 2, three of order 1, and whether they agree
+
+
+def _int64(x: int) -> np.ndarray:
+    """A constant as numpy takes it quickest."""
+    return np.array(x, np.int64)
+
 
+_RATE, _UNIT, _LAST_UNIT = _int64(4), np.array(_TOTAL, _U), np.array((1 << _TOTAL) - 1, _U)
+_WHOLE, _RANK, _ABOVE = _int64(1 << _TOTAL), np.array(0xFFFF, np.int32), np.array(16, np.int32)
+# Confidences stand above the rank of an entry, where the mixing context wants them.
+_SEEN2, _SEEN1 = np.array(1 << 19, np.int32), np.array(1 << 17, np.int32)
+# A weight pair is one number, order 2 above bit 32; both move 1/16 of the way to their aims.
+_ONE, _FIELD, _FIELDS = _int64(32), _int64(0xFFFFFFFF), _int64((0xFFFFFFF << 32) | 0xFFFFFFF)
+_START, _AIM2, _AIM1 = (20_000 << 44) | (6_000 << 12), _int64(2_500 << 44), _int64(1_000 << 12)
+_MASK1, _MASK2, _FACTOR, _TURN, _DROP = _int64((1 << _H1) - 1), _int64((1 << _H2) - 1), _int64(40_503), _int64(5), _int64(7)
 
-def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each rank below 65536: its class (three bits of mantissa), the bits below, and their number."""
-    rank = np.arange(1 << 16)
-    length = np.zeros(1 << 16, np.int64)
-    for k in range(16):
-        length[1 << k :] = k + 1
-    extra = np.maximum(length - 4, 0)
-    return np.where(rank < 8, rank, (length - 3) * 8 + (rank >> extra) - 8), rank & ((1 << extra) - 1), extra
 
+class Frequencies:
+    """Order 0: each rank's share of 2^bits, at least 1."""
 
-_CLASS, _REST, _BITS = _classes()
-_FIRST = np.array([np.flatnonzero(c == _CLASS)[0] if (c == _CLASS).any() else 0 for c in range(CLASSES)])
-_CLASS_BITS = _BITS[_FIRST]
+    def __init__(self, shares: np.ndarray):
+        self.bits = int(shares.sum()).bit_length() - 1
+        self.begin = np.concatenate([[0], np.cumsum(shares)]).astype(np.int64)
+
+    @staticmethod
+    def shares(counts: np.ndarray) -> np.ndarray:
+        """Shares for descending counts, summing to a power of two that leaves rare ranks room."""
+        if not len(counts):
+            return np.ones(1, np.int64)
+        whole = 1 << max(16, len(counts).bit_length() + 2)
+        out = counts * (whole - len(counts)) // counts.sum() + 1
+        out[0] += whole - out.sum()
+        return out
+
+    def ranks(self) -> np.ndarray:
+        """The rank of every place of order 0."""
+        return np.repeat(np.arange(len(self.begin) - 1, dtype=np.int32), np.diff(self.begin))
 
 
 class Model:
-    """The state of n blocks: context tables, mixing weights, class frequencies."""
+    """The state of n blocks: context tables and mixing weights."""
 
     def __init__(self, n: int):
-        self.t1, self.t2 = np.zeros(n << _H1, np.int32), np.zeros(n << _H2, np.int32)
-        self.w2, self.w1 = np.full(n * 16, 20_000, np.int32), np.full(n * 16, 6_000, np.int32)
-        self.counts = np.ones((n, CLASSES), np.int32)
-        self.flat = self.counts.reshape(-1)
-        self.lane = np.arange(n)
-        self.base1, self.base2, self.base_mix, self.base_count = (np.arange(n, dtype=np.int32) * np.int32(k) for k in (1 << _H1, 1 << _H2, 16, CLASSES))
-        self.before1, self.before2 = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.steps = 0
-        self.limits = np.empty((n, CLASSES + 1), np.int64)
-        self.limit = self.limits.reshape(-1)
-        self.base_limit = np.arange(n, dtype=np.int64) * (CLASSES + 1)
-
-    def predict(self, n: int) -> None:
-        """Set the predictions and their shares of 65536 for the next id of the first n blocks."""
-        if self.steps % _REFRESH == 0:
-            total = np.cumsum(self.counts[:n], 1)
-            # Every class keeps 16 of 65536, which leaves each id of the largest class some range.
-            self.limits[:n, 0] = 0
-            self.limits[:n, 1:] = total.astype(np.int64) * (65536 - 16 * CLASSES) // total[:, -1:] + _SIXTEENS
-        self.steps += 1
-        before = self.before1[:n]
-        self.i1 = np.bitwise_and(before * _P1 >> 5, (1 << _H1) - 1)
-        self.i1 += self.base1[:n]
-        self.i2 = np.bitwise_and((before * _P1 + self.before2[:n] * _P2) >> 5, (1 << _H2) - 1)
-        self.i2 += self.base2[:n]
-        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.p1, self.p2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
-        self.mix = ((self.e2 >> 16) << 2) + (self.e1 >> 16)
-        self.mix += self.base_mix[:n]
-        # A context that has seen nothing has weight 0, and so has order 1 where it says the same as order 2.
-        self.v2, self.v1 = self.w2.take(self.mix), self.w1.take(self.mix)
-        self.s2 = self.v2 * (self.e2 > 0xFFFF)
-        self.s1 = self.v1 * ((self.e1 > 0xFFFF) & ((self.p1 != self.p2) | (self.e2 <= 0xFFFF)))
-
-    def update(self, rank: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, c: np.ndarray, n: int) -> None:
-        new = rank + 0x10000
-        self.t1[self.i1] = np.where(self.p1 == rank, np.minimum(self.e1 + 0x10000, rank + 0x30000), new)
-        self.t2[self.i2] = np.where(self.p2 == rank, np.minimum(self.e2 + 0x10000, rank + 0x30000), new)
-        self.w2[self.mix] = self.v2 + ((hit2 * np.int32(40_000) - self.v2) >> 4)
-        self.w1[self.mix] = self.v1 + ((hit1 * np.int32(16_000) - self.v1) >> 4)
-        self.flat[self.base_count[:n] + c] += 24
-        self.before2[:n] = self.before1[:n]
-        self.before1[:n] = rank
-
-
-_P1, _P2 = np.int32(20011), np.int32(30011)  # hashes may wrap around; only their lower bits are used
-_SIXTEENS = 16 * np.arange(1, CLASSES + 1)
-
-
-def encode(blocks: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Code the blocks (ranks below 65536; one row each, sizes descending)."""
+        self.t1, self.t2 = np.full(n << _H1, NOTHING, np.int32), np.full(n << _H2, NOTHING, np.int32)
+        self.weights = np.full(n * _MIXED, _START, np.int64)
+        self.base1, self.base2, self.base_mixed = (np.arange(n) * k for k in (1 << _H1, 1 << _H2, _MIXED))
+        self.before, self.hashed = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def narrow(self, n: int) -> None:
+        """Go on with the first n blocks."""
+        self.base1, self.base2, self.base_mixed, self.before, self.hashed = (x[:n] for x in (self.base1, self.base2, self.base_mixed, self.before, self.hashed))
+
+    def predict(self) -> None:
+        """Set the predictions of the next ids and their shares of 2^28."""
+        hashed = self.before * _FACTOR
+        self.i1 = (self.before & _MASK1) + self.base1
+        self.i2 = (((hashed ^ (self.hashed << _TURN)) >> _DROP) & _MASK2) + self.base2
+        self.hashed = hashed
+        e1, e2 = self.t1[self.i1], self.t2[self.i2]
+        self.p1, self.p2 = e1 & _RANK, e2 & _RANK
+        self.mixed = self.base_mixed + ((e2 >> _ABOVE) + (e1 >> _ABOVE)) + (self.p1 == self.p2)
+        self.v = self.weights[self.mixed]
+        self.share2, self.share1 = self.v >> _ONE, self.v & _FIELD
+        self.base = self.share2 + self.share1
+        self.room = _WHOLE - self.base
+
+    def update(self, rank: np.ndarray, right2: np.ndarray, right1: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """right: int32 flags of predictions that came true; hit: int64 flags of those that the id was coded by."""
+        narrow = rank.astype(np.int32)
+        self.t1[self.i1] = narrow + _SEEN1 + right1 * _SEEN1
+        self.t2[self.i2] = narrow + _SEEN2 + right2 * _SEEN2
+        self.weights[self.mixed] = self.v - ((self.v >> _RATE) & _FIELDS) + hit2 * _AIM2 + hit1 * _AIM1
+        self.before = rank
+
+
+def _active(sizes: np.ndarray, width: int) -> list[int]:
+    return np.searchsorted(-sizes, -np.arange(width), "left").tolist()
+
+
+def encode(blocks: np.ndarray, sizes: np.ndarray, frequencies: Frequencies | None = None) -> list[bytes]:
+    """Code the blocks (ranks; one row each, sizes descending); without frequencies all ranks are alike."""
+    frequencies = frequencies or Frequencies(np.ones(RANKS, np.int64))
     n_blocks, width = blocks.shape
-    model = Model(n_blocks)
-    low, span = np.zeros(n_blocks, _U), np.full(n_blocks, _U(2**64 - 1))
-    out, at = np.zeros((n_blocks, width + 4), _U), np.zeros(n_blocks, np.int64)
-    columns = np.ascontiguousarray(blocks.T.astype(np.int32))
-    active = np.searchsorted(-sizes, -np.arange(width), "left")
-    for t in range(int(sizes.max()) if n_blocks else 0):
-        n = int(active[t])
-        rank = columns[t, :n]
-        model.predict(n)
-        s2, s1 = model.s2.astype(np.int64), model.s1.astype(np.int64)
-        hit2 = (rank == model.p2) & (s2 > 0)
-        hit1 = (rank == model.p1) & (s1 > 0) & ~hit2
-        c = _CLASS.take(rank)
-        base = (s2 + s1) << 12
-        room = (1 << 28) - base
-        at_class = model.base_limit[:n] + c
-        begin = room * model.limit.take(at_class) >> 16
-        size = ((room * model.limit.take(at_class + 1) >> 16) - begin) >> _BITS.take(rank)
-        start = np.where(hit2, 0, np.where(hit1, s2 << 12, base + begin + _REST.take(rank) * size)).astype(_U)
-        size = np.where(hit2, s2 << 12, np.where(hit1, s1 << 12, size)).astype(_U)
-        unit = span[:n] >> _U(28)
-        moved = low[:n] + unit * start
-        over = np.flatnonzero(moved < low[:n])
+    model, begins, bits, lanes = Model(n_blocks), frequencies.begin, _int64(frequencies.bits), n_blocks
+    ends = begins[1:]
+    all_low, all_span = np.zeros(n_blocks, _U), np.full(n_blocks, _U(2**64 - 1))
+    low, span = all_low, all_span
+    out, at = np.zeros((n_blocks, width // 3 + 8), _U), np.zeros(n_blocks, np.int64)
+    for t, n in enumerate(_active(sizes, width)):
+        if n < lanes:
+            all_low[:lanes], all_span[:lanes] = low, span
+            model.narrow(n)
+            low, span, lanes = low[:n], span[:n], n
+            if not n:
+                break
+        if t % _STEPS == 0:
+            columns = np.ascontiguousarray(blocks[:, t : t + _STEPS].T).astype(np.int64)
+            if int(at.max()) + _STEPS + 4 > out.shape[1]:
+                out = np.concatenate([out, np.zeros_like(out)], 1)
+        rank = columns[t % _STEPS, :n]
+        model.predict()
+        right2, right1 = rank == model.p2, rank == model.p1
+        hit2, hit1 = right2.astype(np.int64), (right1 > right2).astype(np.int64)
+        missed = (right2 | right1) ^ True
+        begin = (model.room * begins[rank] >> bits) + model.base
+        size = (model.room * ends[rank] >> bits) + model.base - begin
+        missed = missed.astype(np.int64)
+        start = (begin * missed + model.share2 * hit1).view(_U)
+        size = (size * missed + model.share2 * hit2 + model.share1 * hit1).view(_U)
+        unit = span >> _UNIT
+        moved = low + unit * start
+        over = (moved < low).nonzero()[0]
         if len(over):
             out[over, at[over] - 1] += _U(1)
         narrowed = unit * size
-        short = np.flatnonzero(narrowed < _TOP)
+        short = (narrowed < _TOP).nonzero()[0]
         if len(short):
-            out[short, at[short]] = moved[short] >> _U(32)
-            at[short] += 1
-            moved[short] <<= _U(32)
-            narrowed[short] <<= _U(32)
-        low[:n], span[:n] = moved, narrowed
-        model.update(rank, hit2, hit1, c, n)
+            some, where = moved[short], at[short]
+            out[short, where] = some >> _HEAD
+            at[short] = where + 1
+            moved[short] = some << _HEAD
+            narrowed[short] <<= _HEAD
+        low, span = moved, narrowed
+        model.update(rank, right2, right1, hit2, hit1)
+    all_low[:lanes] = low
     for k in (0, 1):
-        out[np.arange(n_blocks), at + k] = low >> _U(32) if k == 0 else low & _LOW32
+        out[np.arange(n_blocks), at + k] = all_low >> _HEAD if k == 0 else all_low & _LOW32
     for j in range(int(at.max(initial=0)) + 1, 0, -1):
-        out[:, j - 1] += out[:, j] >> _U(32)
+        out[:, j - 1] += out[:, j] >> _HEAD
         out[:, j] &= _LOW32
     return [out[i, : at[i] + 2].astype("<u4").tobytes() for i in range(n_blocks)]
 
 
-def decode(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """The blocks that encode() coded."""
+def decode(coded: list[bytes], sizes: np.ndarray, frequencies: Frequencies | None = None) -> np.ndarray:
+    """The blocks that encode() coded with the same frequencies."""
+    frequencies = frequencies or Frequencies(np.ones(RANKS, np.int64))
     n_blocks, width = len(coded), int(sizes.max(initial=0))
-    words = np.zeros((n_blocks, max(map(len, coded), default=0) // 4 + 2), _U)
+    words = np.zeros((n_blocks, max(map(len, coded), default=0) // 4 + 2), "<u4")
     for i, x in enumerate(coded):
         words[i, : len(x) // 4] = np.frombuffer(x, "<u4")
-    model = Model(n_blocks)
-    code, at = words[:, 0] << _U(32) | words[:, 1], np.full(n_blocks, 2)
+    model, begins, bits, lanes = Model(n_blocks), frequencies.begin, _int64(frequencies.bits), n_blocks
+    ends, ranks = begins[1:], frequencies.ranks()
+    code, at = words[:, 0].astype(_U) << _HEAD | words[:, 1], np.full(n_blocks, 2)
     span = np.full(n_blocks, _U(2**64 - 1))
-    columns = np.zeros((width, n_blocks), np.int32)
-    active = np.searchsorted(-sizes, -np.arange(width), "left")
-    for t in range(width):
-        n = int(active[t])
-        model.predict(n)
-        s2, s1 = model.s2.astype(np.int64), model.s1.astype(np.int64)
-        unit = span[:n] >> _U(28)
-        target = np.minimum(code[:n] // unit, _U((1 << 28) - 1)).astype(np.int64)
-        base = (s2 + s1) << 12
-        room = (1 << 28) - base
-        hit2 = target < s2 << 12
-        hit1 = (target < base) & ~hit2
-        inside = np.maximum(target - base, 0)
-        most = ((inside + 1 << 16) - 1) // room
-        limits = model.limits[:n]
-        c = (limits[:, 8::8] <= most[:, None]).sum(1) << 3
-        c = np.minimum(c, CLASSES - 8)
-        fine = model.limit.take((model.base_limit[:n] + c)[:, None] + _EIGHT)
-        c = c + (fine[:, 1:] <= most[:, None]).sum(1)
-        at_class = model.base_limit[:n] + c
-        begin = room * model.limit.take(at_class) >> 16
-        bits = _CLASS_BITS.take(c)
-        size = ((room * model.limit.take(at_class + 1) >> 16) - begin) >> bits
-        rest = np.minimum((inside - begin) // size, (1 << bits) - 1)
-        escaped = ~(hit2 | hit1)
-        rank = np.where(hit2, model.p2, np.where(hit1, model.p1, _FIRST.take(c) + rest)).astype(np.int32)
-        start = np.where(escaped, base + begin + rest * size, np.where(hit2, 0, s2 << 12)).astype(_U)
-        size = np.where(escaped, size, np.where(hit2, s2, s1) << 12).astype(_U)
-        left, narrowed = code[:n] - unit * start, unit * size
-        short = np.flatnonzero(narrowed < _TOP)
+    out, columns = np.zeros((n_blocks, width), np.uint16), np.zeros((_STEPS, n_blocks), np.uint16)
+    one, zero = _int64(1), _int64(0)
+    for t, n in enumerate(_active(sizes, width)):
+        if n < lanes:
+            model.narrow(n)
+            code, span, lanes = code[:n], span[:n], n
+        model.predict()
+        unit = span >> _UNIT
+        target = np.minimum(code // unit, _LAST_UNIT).view(np.int64)
+        hit2, beyond = target < model.share2, target - model.base
+        missed = beyond >= zero
+        hit1 = missed == hit2
+        # The largest place of order 0 whose range begins at or before the target: both numbers are exact in
+        # floating point, and their quotient is further from the next whole number than its rounding.
+        place = (((np.maximum(beyond, zero) + one << bits) - one) / model.room).astype(np.int64)
+        rank = ranks[place]
+        missed, hit2, hit1 = missed.astype(np.int64), hit2.astype(np.int64), hit1.astype(np.int64)
+        rank = rank * missed + model.p2 * hit2 + model.p1 * hit1
+        begin = (model.room * begins[rank] >> bits) + model.base
+        size = (model.room * ends[rank] >> bits) + model.base - begin
+        start = (begin * missed + model.share2 * hit1).view(_U)
+        size = (size * missed + model.share2 * hit2 + model.share1 * hit1).view(_U)
+        code, span = code - unit * start, unit * size
+        short = (span < _TOP).nonzero()[0]
         if len(short):
-            left[short] = left[short] << _U(32) | words[short, at[short]]
-            at[short] += 1
-            narrowed[short] <<= _U(32)
-        code[:n], span[:n] = left, narrowed
-        columns[t, :n] = rank
-        model.update(rank, hit2, hit1, _CLASS.take(rank), n)
-    return columns.T
-
-
-_EIGHT = np.arange(8)
+            where = at[short]
+            code[short] = code[short] << _HEAD | words[short, where]
+            at[short] = where + 1
+            span[short] <<= _HEAD
+        columns[t % _STEPS, :n] = rank
+        if t % _STEPS == _STEPS - 1 or t == width - 1:
+            first = t - t % _STEPS
+            out[:, first : t + 1] = columns[: t + 1 - first].T
+        model.update(rank, rank == model.p2, rank == model.p1, hit2, hit1)
+    return out

@@ -3,8 +3,9 @@
 The model file is a protobuf; its pieces, scores, types, trainer and normaliser settings are read here and the
 tokenizer is rebuilt from them: character map, dummy prefix, metaspace marker, unigram scores (or, for a BPE
 model, merges in the order of the scores) and byte fallback. Batches are encoded with `threads` threads. Every
-distinct chunk is checked against the sentencepiece library once in each task that meets it (`parity`), and every
-text is decoded from its ids again (`round_trip`).
+distinct chunk that a worker meets is compared with the sentencepiece library (`parity`; models that change texts
+before they encode them are compared by whole texts), and every text is decoded from its ids again (`round_trip`).
+The ids are this backend's own in any case.
 
 No piece of such a model has the marker after another character (checked when it is loaded; other models encode
 whole texts), so a text may be cut before each run of markers.
@@ -16,8 +17,8 @@ result; extra columns are ignored by `encoded` and kept by `with_ids`.
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnworks.llm.bytetext import slices
+from cairnworks.llm.bytetext import slices, texts_of
 from cairnworks.llm.chunked_encoding import ChunkEncoder
 from cairnworks.llm.common import read
 
@@ -96,10 +97,22 @@ def parse_model(data: bytes) -> ModelFile:
 
 
 def merges_of(model: ModelFile) -> list[tuple[str, str]]:
-    """The merges of a BPE model: each normal piece from every two pieces that make it, best score first."""
+    """The merges of a BPE model: each normal piece from every two pieces that make it, best score first.
+
+    Of pieces with one score the library takes the leftmost in the text. Where these are runs of one character (of
+    markers, usually), that means to lengthen the run on the left by one again and again, so only such merges are
+    given, the longest first.
+    """
     score = {p: s for p, s, t in zip(model.pieces, model.scores, model.types, strict=True) if t in (NORMAL, USER_DEFINED)}
     number = {p: i for i, p in enumerate(model.pieces)}
-    found = [(-s, number[p[:k]], number[p[k:]], p[:k], p[k:]) for p, s in score.items() for k in range(1, len(p)) if p[:k] in score and p[k:] in score]
+    with_score: dict[float, list[str]] = {}
+    for p, s in score.items():
+        with_score.setdefault(s, []).append(p)
+    tied_runs = {p for same in with_score.values() if len(same) > 1 for p in same if len(p) > 1 and p == p[0] * len(p)}
+    found = []
+    for p, s in score.items():
+        cuts = [len(p) - 1] if p in tied_runs else range(1, len(p))
+        found += [(-s, -len(p) if p in tied_runs else 0, number[p[:k]], number[p[k:]], p[:k], p[k:]) for k in cuts if p[:k] in score and p[k:] in score]
     return [(a, b) for *_, a, b in sorted(found)]
 
 
@@ -128,7 +141,7 @@ def build_tokenizer(model: ModelFile):
 
 
 class Codec:
-    """Encodes and decodes lists of texts; `different` holds chunks that the sentencepiece library encodes otherwise, whose ids are then taken from it."""
+    """Encodes and decodes lists of texts; `different` holds chunks that the sentencepiece library encodes otherwise."""
 
     def __init__(self, path: str, threads: int = THREADS, verify: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -137,15 +150,15 @@ class Codec:
             self.model = parse_model(file.read())
         self.tokenizer = build_tokenizer(self.model)
         self.normalise = self.tokenizer.normalizer.normalize_str
-        self.plain = not self.model.charsmap and not self.model.remove_extra_whitespaces and self.model.escape_whitespaces
-        self.different: set[str] = set()
+        self.plain = not self.model.charsmap and not self.model.remove_extra_whitespaces and self.model.escape_whitespaces and self.model.dummy_prefix
+        self.different: set[bytes] = set()
         self.reference = None
         if verify:
             import sentencepiece
 
             self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        cuttable = all(MARK not in p.lstrip(MARK) for p in self.model.pieces)
-        self.chunks = ChunkEncoder(re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if cuttable else r"(?s).+"), self._encode_chunks)
+        self.cuttable = all(MARK not in p.lstrip(MARK) for p in self.model.pieces)
+        self.chunks = ChunkEncoder(self._starts, self._encode_chunks)
         # What is encoded in chunks has been normalised as a whole before.
         self.bare = build_tokenizer(self.model)
         from tokenizers import normalizers
@@ -156,29 +169,46 @@ class Codec:
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.all_bytes = np.frombuffer(b"".join(self.piece_bytes), np.uint8)
 
-    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        ids = [e.ids for e in self.bare.encode_batch_fast(chunks, add_special_tokens=False)]
-        # The library puts the marker before a text itself, so a chunk is shown to it without its first one.
-        if self.reference is not None and self.plain and self.model.dummy_prefix:
-            shown = [(c, i) for c, i in zip(chunks, ids, strict=True) if len(c) > 1 and c[0] == MARK]
-            other = {c: theirs for (c, mine), theirs in zip(shown, self.reference.encode([c[1:] for c, _ in shown], num_threads=1), strict=True) if mine != theirs}
-            if other:  # ties in a BPE model's scores, as in very long runs of spaces: the library's ids hold
-                self.different.update(other)
-                ids = [other.get(c, i) for c, i in zip(chunks, ids, strict=True)]
-        return ids
+    def _starts(self, data: np.ndarray) -> np.ndarray:
+        """Whether a run of markers begins at a byte: of spaces, which stand for markers in plain models, or of the marker's bytes."""
+        out = np.zeros(len(data), bool)
+        if self.cuttable and self.plain:
+            out[1:] = (data[1:] == 32) & (data[:-1] != 32)
+        elif self.cuttable and len(data) > 2:
+            a, b, c = MARK.encode()
+            out[:-2] = (data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)
+            out[3:] &= ~out[:-3].copy()
+        return out
+
+    def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [c.decode().replace(" ", MARK) if self.plain else c.decode() for c in chunks]
+        coded = [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.reference is not None and self.plain:
+            # The library puts the marker before a text itself, so a chunk is shown to it without its first one.
+            theirs = self.reference.encode([t[1:] for t in texts], num_threads=1)
+            mark = [self.reference.piece_to_id(MARK)]
+            self.different.update(c for c, t, mine, other in zip(chunks, texts, coded, theirs, strict=True) if mine != (mark if t == MARK else other))
+        return np.fromiter(itertools.chain.from_iterable(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded))
 
     def normalised(self, text: str) -> str:
         if not self.plain:
             return self.normalise(text) if text else ""
-        return (MARK if self.model.dummy_prefix and text else "") + text.replace(" ", MARK)
+        return (MARK if text else "") + text.replace(" ", MARK)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, number of ids of each text)."""
-        return self.chunks.encode([self.normalised(t) for t in texts])
+        shown = [" " + t.replace(MARK, " ") if t else "" for t in texts] if self.plain else [self.normalised(t) for t in texts]
+        return self.chunks.encode(*texts_of(pa.array(shown, pa.large_string())))
+
+    def parity(self, text: str) -> bool | None:
+        """Whether the library encodes a text (one just encoded) alike; null if it is not asked.
 
-    def parity(self, text: str) -> bool:
-        """Whether the library encodes each of the text's chunks alike (asked for texts just encoded)."""
-        return not self.different or not any(c in self.different for c in self.chunks.findall(self.normalised(text)))
+        Every distinct chunk of a plain model has been compared. For other models, and once a chunk has differed,
+        the whole text is.
+        """
+        if self.reference is None:
+            return None
+        return self.plain and not self.different or self.encode([text])[0].tolist() == self.reference.encode(text)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """The texts of ids in a row: pieces and byte pieces joined, markers as spaces, less the dummy prefix."""
@@ -192,8 +222,14 @@ class Codec:
         return [t.removeprefix(" ") for t in texts] if self.model.dummy_prefix else texts
 
 
+_codecs: dict[tuple[str, int], Codec] = {}  # a worker keeps its codec, and the chunks it remembers, from task to task
+
+
 def _coded(batches: Iterator[pa.RecordBatch], path: str, threads: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    codec = Codec(path, threads)
+    if (path, threads) not in _codecs:
+        _codecs.clear()
+        _codecs[path, threads] = Codec(path, threads)
+    codec = _codecs[path, threads]
     for batch in batches:
         for part in slices(batch):
             texts = part.column("text").fill_null("").to_pylist()
