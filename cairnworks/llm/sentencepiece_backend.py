@@ -100,8 +100,7 @@ def merges_of(model: ModelFile) -> list[tuple[str, str]]:
     """The merges of a BPE model: each normal piece from every two pieces that make it, best score first.
 
     Of pieces with one score the library takes the leftmost in the text. Where these are runs of one character (of
-    markers, usually), that means to lengthen the run on the left by one again and again, so only such merges are
-    given, the longest first.
+    markers, usually), that means to lengthen the run on the left again and again, so the longest left part goes first.
     """
     score = {p: s for p, s, t in zip(model.pieces, model.scores, model.types, strict=True) if t in (NORMAL, USER_DEFINED)}
     number = {p: i for i, p in enumerate(model.pieces)}
@@ -111,8 +110,7 @@ def merges_of(model: ModelFile) -> list[tuple[str, str]]:
     tied_runs = {p for same in with_score.values() if len(same) > 1 for p in same if len(p) > 1 and p == p[0] * len(p)}
     found = []
     for p, s in score.items():
-        cuts = [len(p) - 1] if p in tied_runs else range(1, len(p))
-        found += [(-s, -len(p) if p in tied_runs else 0, number[p[:k]], number[p[k:]], p[:k], p[k:]) for k in cuts if p[:k] in score and p[k:] in score]
+        found += [(-s, -k if p in tied_runs else 0, number[p[:k]], number[p[k:]], p[:k], p[k:]) for k in range(1, len(p)) if p[:k] in score and p[k:] in score]
     return [(a, b) for *_, a, b in sorted(found)]
 
 
