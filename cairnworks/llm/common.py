@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share; one of our own only in local mode, where the session names none."""
     folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairnworks-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+            folder = tempfile.mkdtemp(prefix="cairnworks-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -42,6 +47,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(paths: Iterable[str], spark: SparkSession) -> None:
+    """Delete tables that materialise() wrote (as `folders_of` names them) and that nothing reads any more."""
+    for path in paths:
+        held = spark._jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
+def folders_of(df: DataFrame) -> set[str]:
+    """The folders that a table read from files lies in."""
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
 def materialise_by(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
     """Like materialise, in n buckets by a column: a later grouping by it in n partitions reads the buckets without a shuffle."""
     spark = df.sparkSession

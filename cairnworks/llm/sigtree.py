@@ -3,8 +3,9 @@
 1. One pass makes each document's set of 5-word shingles (64-bit hashes), a key of the set, and counts of
    shingles in a fixed number of slots. Documents of equal sets are one class from here on.
 2. Prefix filter: with shingles in one global order (rare slots first), two sets of Jaccard >= t share one of
-   the first n - ceil(t n) + 1 shingles of each. These postings are shuffled in packed form; shingles of one
-   class alone go, so do classes without a partner of fitting size.
+   the first n - ceil(t n) + 1 shingles of each, and that lies among the first n - ceil(2t / (1 + t) n) + 1 of the
+   shorter one. These postings are shuffled in packed form; shingles of one class alone go, so do classes without a
+   partner of fitting size, and what meets no early posting. Groups with the same members become one.
 3. In ROUNDS rounds every class is compared with one class of each of its posting groups, drawn anew, and the
    links found are contracted into components, so a group of thousands of near copies costs a few comparisons a
    member. Before sets are sent anywhere a pair must share enough prefix shingles: two sets that link share at
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnworks.llm.bytetext import mix, shingle_sets, slices, texts_of
@@ -53,8 +54,10 @@ BITMAP_BITS = 16
 FANOUT = 8
 #: Partners of one class that are compared with it in one place.
 PLACE = 2000
-#: Row ids of at most this many classes are broadcast (16 bytes each); more are joined by shuffle.
+#: At most so many rows, and places that they go to, are broadcast (40 bytes each at most); more are joined by shuffle.
 BROADCAST_ROWS = 250_000
+#: Shingles of the whole sets of a block, about: 8 bytes each in a task.
+BLOCK_SHINGLES = 4_000_000
 
 
 def _key(s: np.ndarray) -> int:
@@ -106,17 +109,26 @@ def slot_counts(rows: DataFrame) -> np.ndarray:
 
 def _size_class(n: int) -> int:
     """Sizes that can link lie in the same or neighbouring classes."""
-    return min(255, int(np.log(n) / np.log(100 / PERCENT) + 1e-9))
+    return min(_EARLY - 1, int(np.log(n) / np.log(100 / PERCENT) + 1e-9))
 
 
 _POSTING = np.dtype([("shingle", "<u4"), ("key", "<i8"), ("size", "u1")])
+#: Top bit of a posting's size class: the shingle lies in the part of the prefix that the shorter set of a pair needs.
+_EARLY = 128
 
 
-def candidate_postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(shingle, key) of every prefix shingle that two or more classes of fitting sizes share."""
+def early_length(n: int) -> int:
+    """Of two sets that link, the shorter one (or either, if they are of one size) has a common shingle among its first so many."""
+    return n + 1 - -(-2 * PERCENT * n // (100 + PERCENT))
+
+
+def candidate_groups(documents: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(shingle, whole, members, meeting): the classes that share a prefix shingle with one of a fitting size, and
+    those of them that meet there a class early in its or their own prefix. A group that is not whole has more rows."""
     spark = documents.sparkSession
     n_buckets = 8 * pieces(spark)
     held = spark.sparkContext.broadcast(counts.astype(np.uint32))  # a fixed 1 MB
+    heavy = max(HEAVY, 8 * int(counts.mean()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -140,16 +152,17 @@ def candidate_postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                     if not n or key in seen:
                         continue
                     seen.add(key)
-                    length = n - -(-PERCENT * n // 100) + 1
+                    length = prefix_length(n)
                     heat = held.value[_slot(s)]
                     first = np.lexsort((s, heat))[:length]
                     posting = np.empty(length, _POSTING)
                     posting["shingle"], posting["key"], posting["size"] = s[first].astype(np.uint32), key, _size_class(n)
-                    salt = key % (heat[first].astype(np.int64) // HEAVY + 1)
+                    posting["size"][: early_length(n)] |= _EARLY
+                    salt = key % (heat[first].astype(np.int64) // heavy + 1)
                     rows.append(posting)
                     base = ((s[first] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
                     # Bit 0 tells spread shingles, whose other postings lie in buckets of other salts.
-                    where.append((base * 2 + (heat[first] >= HEAVY)) << SALT_BITS | salt)
+                    where.append((base * 2 + (heat[first] >= heavy)) << SALT_BITS | salt)
                     size += length
                 if size > HOLD:
                     yield flush()
@@ -159,18 +172,49 @@ def candidate_postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def gather(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        whole = bucket % 2 == 0
         rows = np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for x in table.column("postings")])
-        rows = rows[np.lexsort((rows["key"], rows["size"], rows["shingle"]))]
-        rows = rows[np.concatenate([[True], (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["key"][1:] != rows["key"][:-1])])]
-        if bucket % 2 == 0:
+        early, rows = rows["size"] >= _EARLY, rows.copy()
+        rows["size"] &= _EARLY - 1
+        order = np.lexsort((rows["key"], rows["size"], rows["shingle"]))
+        rows, early = rows[order], early[order]
+        first = np.concatenate([[True], (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["key"][1:] != rows["key"][:-1])])
+        rows, early = rows[first], early[first]
+        meets = np.ones(len(rows), bool)
+        if whole:
             near = (rows["shingle"][1:] == rows["shingle"][:-1]) & (rows["size"][1:].astype(int) - rows["size"][:-1] <= 1)
             keep = np.concatenate([near, [False]]) | np.concatenate([[False], near])
-            rows = rows[keep]
-        shingle = np.int64(bucket // 2) << np.int64(32) | rows["shingle"].astype(np.int64)
-        return pa.table({"shingle": pa.array(shingle, pa.int64()), "key": pa.array(rows["key"].astype(np.int64), pa.int64())})
+            rows, early = rows[keep], early[keep]
+            meets = early | _beside(rows["shingle"].astype(np.int64) << 8 | rows["size"], early)
+        begin = np.flatnonzero(np.concatenate([[True], rows["shingle"][1:] != rows["shingle"][:-1]])) if len(rows) else np.zeros(0, np.int64)
+        shingle = np.int64(bucket // 2) << np.int64(32) | rows["shingle"][begin].astype(np.int64)
+        edges = np.append(begin, len(rows))
+        meeting = np.concatenate([[0], np.cumsum(meets)])[edges]
+        keys = rows["key"].astype(np.int64)
+        lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(k, pa.int64())) for e, k in ((edges, keys), (meeting, keys[meets]))]
+        return pa.table({"shingle": pa.array(shingle, pa.int64()), "whole": pa.array(np.full(len(begin), whole)), "members": lists[0], "meeting": lists[1]})
 
     packed = documents.select("text").mapInArrow(emit, "bucket long, salt long, postings binary")
-    return packed.groupBy("bucket", "salt").applyInArrow(gather, "shingle long, key long")
+    return packed.groupBy("bucket", "salt").applyInArrow(gather, "shingle long, whole boolean, members array<long>, meeting array<long>")
+
+
+def _beside(place: np.ndarray, early: np.ndarray) -> np.ndarray:
+    """Which of the ascending places (shingle, size class) have an early one in their own or the next or last class."""
+    marked = np.unique(place[early])
+    out = np.zeros(len(place), bool)
+    for step in (-1, 0, 1):
+        at = np.minimum(np.searchsorted(marked, place + step), max(len(marked) - 1, 0))
+        out |= (marked[at] == place + step) if len(marked) else False
+    return out
+
+
+def memberships(groups: DataFrame) -> DataFrame:
+    """(shingle, key) of the classes that meet in a group; of groups with the same ones there is one, under a hash of them.
+
+    A passage that documents share makes as many like groups as it has shingles, so this is much less than `groups`.
+    """
+    like = groups.filter("whole and size(meeting) > 1").groupBy("meeting").agg(F.count("*").alias("times")).select(F.xxhash64("meeting").alias("shingle"), F.explode("meeting").alias("key"))
+    return like.union(groups.filter("not whole").select("shingle", F.explode("meeting").alias("key")))
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -181,9 +225,10 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in wanted(least, ...), with wanted's columns; several rows may share a doc_id."""
+    """The documents whose doc_id is in wanted(least, key, routes), with wanted's columns; several rows may share a doc_id."""
     wanted = materialise(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
+    size = wanted.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]
+    if size <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     return documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("least"))
 
@@ -198,11 +243,11 @@ def shared_least(na: int, nb: int) -> int:
     return min(prefix_length(na) - na, prefix_length(nb) - nb) + overlap
 
 
-def prefixes_of(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, n, shared, lost): 32 bits of each prefix shingle, for they travel often. Two sets may seem to share more
+def prefixes_of(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, n, shared, lost): 16 bits of each prefix shingle, for they travel often. Two sets may seem to share more
     shingles than they do; `lost` are those of a set that have the bits of another one, which may be shared unseen."""
-    low = (F.col("shingle").bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
-    held = postings.groupBy("key").agg(F.collect_set(low).alias("shared"), F.count("*").alias("_all"))
+    low = (F.col("shingle").bitwiseAND(F.lit(0xFFFF)) - F.lit(1 << 15)).cast("smallint")
+    held = groups.select("shingle", F.explode("members").alias("key")).groupBy("key").agg(F.collect_set(low).alias("shared"), F.count("*").alias("_all"))
     return held.join(classes, "key").select("key", "n", "shared", (F.col("_all") - F.size("shared")).cast("int").alias("lost"))
 
 
@@ -388,15 +433,17 @@ def walk_group(keys: list[int], labels: list[int], sets: list[np.ndarray]) -> li
 
 
 def in_blocks(rows: DataFrame, group: str) -> DataFrame:
-    """rows(group, key, label, members) as often as their group has pairs (i, j) of blocks that hold them."""
+    """rows(group, key, label, members[, shingles]) as often as their group has pairs (i, j) of blocks that hold them."""
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    if "shingles" in rows.columns:  # of whole sets, which may be long
+        blocks = F.greatest(blocks, F.least(F.col("members").cast("int"), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES)).cast("int")))
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
     rows = rows.select(group, "key", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     return rows.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "label")
 
 
 def possible_families(groups: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(family, key, label, members) of the classes of groups(shingle, key, label, members) that share enough prefix
+    """(family, key, label, members, shingles) of the classes of groups(shingle, key, label, members) that share enough prefix
     shingles with one of another component; such pairs, wherever they meet, lie in one family."""
 
     def mark(table: pa.Table) -> pa.Table:
@@ -426,7 +473,8 @@ def possible_families(groups: DataFrame, prefixes: DataFrame) -> DataFrame:
     found = materialise(found.distinct(), "possible")
     families = components(found.select(F.col("key").alias("a"), F.col("top").alias("b")))
     members = found.select("key", "label").distinct().join(families, F.col("key") == F.col("node")).select(F.col("component").alias("family"), "key", "label")
-    return members.join(members.groupBy("family").agg(F.count("*").alias("members")), "family")
+    sized = members.join(prefixes.select("key", "n"), "key").groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    return members.join(sized, "family")
 
 
 def tree_links(rows: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -457,14 +505,14 @@ def tree_links(rows: DataFrame, classes: DataFrame, documents: DataFrame) -> Dat
     return sent.groupBy("family", "i", "j").applyInArrow(walk, "a long, b long")
 
 
-def jaccard_components(documents: DataFrame) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, n_shingles, component_id: components under Jaccard >= PERCENT / 100."""
+def classed_rows(documents: DataFrame) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, n, key (of the set), root (of its links; null for an empty set), component_id."""
     made = materialise(document_sets(documents), "sets")
     docs = made.filter("chunk is null").select("doc_id", "n", "key")
     classes = docs.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
-    postings = materialise(candidate_postings(documents, slot_counts(made)), "postings")
-
-    prefixes = materialise(prefixes_of(postings, classes), "prefixes")
+    found = materialise(candidate_groups(documents, slot_counts(made)), "groups")
+    prefixes = materialise(prefixes_of(found, classes), "prefixes")
+    postings = materialise(memberships(found), "memberships")
 
     links = tested = None
     labelled = postings.withColumn("label", F.col("key"))
@@ -487,9 +535,14 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     classed = components(links)
     names = classes.join(classed, classes["key"] == classed["node"], "left").withColumn("root", F.coalesce("component", "key"))
     smallest = names.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = names.select("key", "root").join(smallest, "root").select(F.col("key").alias("_key"), "component_id")
+    of_class = names.select("key", "root").join(smallest, "root").select(F.col("key").alias("_key"), "root", "component_id")
     rows = docs.join(of_class, (docs["key"] == of_class["_key"]) & docs["doc_id"].isNotNull(), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n", "key", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(documents: DataFrame) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, n_shingles, component_id: components under Jaccard >= PERCENT / 100."""
+    return classed_rows(documents).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
@@ -503,10 +556,28 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of documents that are the least of their component, with all their columns; rows of one doc_id count as copies."""
-    kept = jaccard_components(documents).filter("doc_id = component_id or doc_id is null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    kept = materialise(kept, "kept")
-    rows = documents.join(kept.select("_kept"), documents["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.filter("_rows > 1 and _kept is not null").isEmpty():
+    """The rows of documents that are the least of their component, with all their columns.
+
+    Where rows share a doc_id, each component that they belong to keeps one of them (of least set key, then of least
+    hash of the row), and rows with an empty set all stay, as do rows without a doc_id.
+    """
+    kept = materialise(classed_rows(documents).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "root"), "kept")
+    shared = kept.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id")
+    rows = documents.join(kept.select("_id"), documents["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    if shared.isEmpty():
         return rows
-    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
+    shared = materialise(shared, "shared")
+    alone = rows.join(shared, F.col("doc_id") == F.col("_id"), "left_anti")
+    columns, schema = documents.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                keys = [_key(s) for s in shingle_sets(*texts_of(part.column("text")), WIDTH)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], [*part.schema.names, "_own"])
+
+    several = rows.join(shared, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(with_key, f"{schema}, _own long")
+    several = several.join(kept.distinct(), (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_key")))
+    first = Window.partitionBy("doc_id", "root").orderBy("_own", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
+    several = several.withColumn("_place", F.when(F.col("root").isNull(), 1).otherwise(F.row_number().over(first)))
+    return alone.unionByName(several.filter("_place = 1").select(*[F.col(f"`{c}`") for c in columns]))
