@@ -1,12 +1,14 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Training (a bounded sample of labelled documents, `MAX_TOXIC` + `MAX_CLEAN` rows): word forms and their first
-letters that stand in many different contexts of toxic documents and in hardly any of clean ones label the
-tokens; the field is fitted to these labels (weights of word and prefix features, transitions between the
-states "clean" and "toxic"). Where a class or a kind of windows is drawn in part, what was drawn counts for what was
-not: rows and windows weigh the inverse of their drawn share, so scores mean the same however many labels there are. Scoring: forward-backward marginals over every text, in windows of WINDOW words;
-expected and largest marginals make the document's score, marginals of at least 0.5 its spans.
-
+Training (a bounded sample of labelled documents): word forms and their first letters that stand in contexts of toxic
+documents far more often than the labels' own rate explains (by a bound on the binomial tail, over all features that
+are tried, so it scales with the labels) label the tokens; the field is fitted to these labels (weights of word and
+prefix features, transitions between the states "clean" and "toxic"). Where a class is drawn in part, what was drawn
+counts for what was not: rows weigh the inverse of their drawn share, so scores mean the same however many labels there
+are. Training and scoring run forward-backward over whole texts: expected and largest marginals make the document's
+score, marginals of at least 0.5 its spans.
+
+The sample is at most about `max_toxic` + `max_clean` rows of at most `max_chars` code points each.
 Contexts, not occurrences, are counted, so a group of copies counts as one document.
 Edge cases: null and empty texts have no spans and the score of zero toxic tokens; a table without toxic or
 clean training rows gives a field without features (every score is the base rate); repeated rows are scored
@@ -27,13 +29,17 @@ from cairnworks.llm.bytetext import Rolling, mix, slices, spans, texts_of
 from cairnworks.llm.common import read
 
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
-WINDOW = 32
-#: Windows with and without toxic tokens that the field is fitted to, at most.
-MAX_WINDOWS = 5000
+#: Longer labelled texts don't train.
+MAX_CHARS = 100_000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
-#: A feature labels tokens if it stands in so many different contexts of toxic documents, with such precision.
-MIN_CONTEXTS, MIN_PRECISION = 6, 0.9
+#: A feature labels tokens if fewer than FALSE of all features tried would have such contexts by chance, if they come
+#: from two documents or more, and if they are toxic with such precision.
+FALSE, MIN_PRECISION = 0.5, 0.9
+#: The prior on the document calibration, in rows.
+RIDGE = 0.1
+#: Tokens of a lane: a sequence is walked in lanes of so many side by side.
+LANE = 64
 
 
 def token_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -75,28 +81,10 @@ class Field:
 
     def marginals(self, emission: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Each token's probability of the toxic state; row: the ascending text number of each token."""
-        n = len(row)
-        if not n:
+        if not len(row):
             return np.zeros(0)
-        order = np.arange(n)
-        first = np.ones(n, bool)
-        first[1:] = row[1:] != row[:-1]
-        place = order - np.maximum.accumulate(np.where(first, order, 0))
-        window = np.cumsum(place % WINDOW == 0) - 1
-        column = place % WINDOW
-        e = np.zeros((WINDOW, window[-1] + 1))
-        held = np.zeros((WINDOW, window[-1] + 1), bool)
-        e[column, window] = np.exp(np.clip(emission, -30, 30))
-        held[column, window] = True
-        m = np.exp(self.moves)
-        forward, backward = np.empty_like(e), np.ones_like(e)
-        forward[0] = e[0] * m[0, 1] / m[0, 0]
-        for t in range(1, WINDOW):
-            forward[t] = e[t] * (m[0, 1] + m[1, 1] * forward[t - 1]) / (m[0, 0] + m[1, 0] * forward[t - 1])
-        for t in range(WINDOW - 2, -1, -1):
-            after = e[t + 1] * backward[t + 1]
-            backward[t] = np.where(held[t + 1], (m[1, 0] + m[1, 1] * after) / (m[0, 0] + m[0, 1] * after), 1.0)
-        odds = (forward * backward)[column, window]
+        forward, backward = odds_along(np.exp(np.clip(emission, -30, 30)), row, np.exp(self.moves))
+        odds = forward * backward
         return odds / (1 + odds)
 
     def score(self, expected: np.ndarray, largest: np.ndarray) -> np.ndarray:
@@ -104,56 +92,108 @@ class Field:
         return 1 / (1 + np.exp(-z))
 
 
-def _contexts(feature: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features, number of different contexts of each)."""
-    pairs = mix(feature + mix(context))
-    _, at = np.unique(pairs, return_index=True)
-    return np.unique(feature[at], return_counts=True)
-
-
-def _evidence(columns: list[np.ndarray], context: np.ndarray, toxic: np.ndarray, clean_weight: float = 1.0) -> np.ndarray:
+def _mobius(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """x[t] = (c[t] + d[t] x[t-1]) / (a[t] + b[t] x[t-1]) from x[-1] = 1, over all t.
+
+    Such maps compose as 2 x 2 matrices: lanes of LANE tokens are composed side by side, the lanes' starts follow one
+    by one, then all lanes are walked side by side.
+    """
+    n = len(a)
+    lanes = -(-n // LANE)
+    grid = []
+    for x, neutral in ((a, 1.0), (b, 0.0), (c, 0.0), (d, 1.0)):
+        padded = np.full(lanes * LANE, neutral)
+        padded[:n] = x
+        grid.append(np.ascontiguousarray(padded.reshape(lanes, LANE).T))
+    a, b, c, d = grid
+    p, q, r, s = np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
+    for t in range(LANE):
+        p, q, r, s = a[t] * p + b[t] * r, a[t] * q + b[t] * s, c[t] * p + d[t] * r, c[t] * q + d[t] * s
+        if t % 8 == 7:
+            scale = 1 / np.maximum(np.maximum(p, q), np.maximum(r, s))
+            p, q, r, s = p * scale, q * scale, r * scale, s * scale
+    start, now = np.ones(lanes), 1.0
+    for i, (pi, qi, ri, si) in enumerate(zip(p.tolist(), q.tolist(), r.tolist(), s.tolist(), strict=True)):
+        start[i] = now
+        now = (ri + si * now) / (pi + qi * now)
+    out, x = np.empty((LANE, lanes)), start
+    for t in range(LANE):
+        x = (c[t] + d[t] * x) / (a[t] + b[t] * x)
+        out[t] = x
+    return out.T.reshape(-1)[:n]
+
+
+def odds_along(e: np.ndarray, row: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward odds of the toxic state at each token, e being the tokens' own odds and m[i, j] the moves'.
+
+    A text begins as if after a clean token; texts follow one another in one sequence, cut by maps that forget.
+    """
+    border = row[1:] != row[:-1]
+    first, last = np.concatenate([[True], border]), np.concatenate([border, [True]])
+    forward = _mobius(np.full(len(e), m[0, 0]), np.where(first, 0.0, m[1, 0]), e * m[0, 1], np.where(first, 0.0, e * m[1, 1]))
+    after = np.append(e[1:], 0.0)
+    a, b = np.where(last, 1.0, m[0, 0]), np.where(last, 0.0, m[0, 1] * after)
+    c, d = np.where(last, 1.0, m[1, 0]), np.where(last, 0.0, m[1, 1] * after)
+    return forward, _mobius(a[::-1], b[::-1], c[::-1], d[::-1])[::-1]
+
+
+def _distinct(feature: np.ndarray, of: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, numbers of different `of` of toxic and of clean rows)."""
+    _, at = np.unique(mix(feature + mix(of)), return_index=True)
+    names, inverse = np.unique(feature[at], return_inverse=True)
+    return names, np.bincount(inverse, toxic[at], len(names)), np.bincount(inverse, ~toxic[at], len(names))
+
+
+def _log_chance(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
+    """A bound on the log probability of so many toxic ones or more among all, each being toxic at this rate (Chernoff)."""
+    n = np.maximum(toxic + clean, 1e-9)
+    x = toxic / n
+    bound = n * (x * np.log(np.maximum(x, 1e-12) / rate) + (1 - x) * np.log(np.maximum(1 - x, 1e-12) / (1 - rate)))
+    return np.where(x > rate, -bound, 0.0)
+
+
+def _evidence(columns: list[np.ndarray], context: np.ndarray, row: np.ndarray, toxic_row: np.ndarray, clean_weight: float = 1.0) -> np.ndarray:
     """Which tokens of toxic documents have a feature that tells toxic documents from clean ones; clean_weight: of a clean row, a toxic one's being 1."""
+    toxic = toxic_row[row]
     label = np.zeros(len(toxic), bool)
     for column in columns:
         seen = column > 0
-        of_toxic, n_toxic = _contexts(column[seen & toxic], context[seen & toxic])
-        of_clean, n_clean = _contexts(column[seen & ~toxic], context[seen & ~toxic])
-        against = np.zeros(len(of_toxic))
-        if len(of_clean):
-            at = np.minimum(np.searchsorted(of_clean, of_toxic), len(of_clean) - 1)
-            against = np.where(of_clean[at] == of_toxic, n_clean[at], 0)
-        telling = of_toxic[(n_toxic >= MIN_CONTEXTS) & (n_toxic >= MIN_PRECISION * (n_toxic + clean_weight * against))]
-        label |= toxic & np.isin(column, telling)
+        if not seen.any():
+            continue
+        feature, is_toxic = column[seen], toxic[seen]
+        names, by_toxic, by_clean = _distinct(feature, context[seen], is_toxic)
+        _, toxic_rows, _ = _distinct(feature, row[seen].astype(np.uint64) + np.uint64(1), is_toxic)
+        rate = np.clip(by_toxic.sum() / (by_toxic.sum() + clean_weight * by_clean.sum()), 1e-6, 1 - 1e-6)
+        tried = max(1, int((by_toxic > 1).sum()))
+        telling = (toxic_rows > 1) & (by_toxic >= MIN_PRECISION * (by_toxic + clean_weight * by_clean))
+        telling &= _log_chance(by_toxic, clean_weight * by_clean, rate) <= np.log(FALSE / tried)
+        label |= toxic & np.isin(column, names[telling])
     return label
 
 
-def _fit_chain(places: np.ndarray, held: np.ndarray, label: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 80) -> tuple[np.ndarray, float, np.ndarray]:
-    """Gradient ascent (Adam) on the likelihood of the labels; arrays are (WINDOW, windows[, columns]), weight is each window's."""
+def _fit_chain(places: np.ndarray, row: np.ndarray, label: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 80) -> tuple[np.ndarray, float, np.ndarray]:
+    """Gradient ascent (Adam) on the likelihood of the labels; places: the features of each token, weight: of its text."""
     theta = np.concatenate([np.zeros(n_features + 1), [-3.0], np.zeros(4)])
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    width = held.shape[0]
-    both = (held[1:] & held[:-1]) * weight
+    inside = (row[1:] == row[:-1]) * weight[1:]
     y = label.astype(float)
-    seen = np.array([[((1 - y[:-1]) * (1 - y[1:]) * both).sum(), ((1 - y[:-1]) * y[1:] * both).sum()], [(y[:-1] * (1 - y[1:]) * both).sum(), (y[:-1] * y[1:] * both).sum()]])
+    seen = np.array([[((1 - y[:-1]) * (1 - y[1:]) * inside).sum(), ((1 - y[:-1]) * y[1:] * inside).sum()], [(y[:-1] * (1 - y[1:]) * inside).sum(), (y[:-1] * y[1:] * inside).sum()]])
+    held = np.flatnonzero((places < n_features).any(1))  # most tokens have none of the features
+    own = places[held]
     for step in range(1, steps + 1):
         weights, bias, moves = theta[: n_features + 1].copy(), theta[n_features + 1], np.exp(theta[-4:].reshape(2, 2))
         weights[n_features] = 0
-        e = np.exp(np.clip(bias + weights[places].sum(-1), -30, 30)) * held
-        alpha, beta, scale = np.zeros((*held.shape, 2)), np.ones((*held.shape, 2)), np.ones(held.shape)
-        now = np.stack([held[0].astype(float), e[0]], -1)
-        for t in range(width):
-            if t:
-                now = np.stack([alpha[t - 1] @ moves[:, 0], (alpha[t - 1] @ moves[:, 1]) * e[t]], -1)
-            scale[t] = np.where(held[t], now.sum(-1), 1)
-            alpha[t] = now / scale[t][:, None]
-        for t in range(width - 2, -1, -1):
-            after = np.stack([np.ones(held.shape[1]), e[t + 1]], -1) * beta[t + 1] / scale[t + 1][:, None]
-            beta[t] = np.where(held[t + 1][:, None], after @ moves.T, 1.0)
-        p = alpha[..., 1] * beta[..., 1] * held
-        after = np.stack([np.ones(e[1:].shape), e[1:]], -1) * beta[1:] / scale[1:][..., None]
-        pair = np.einsum("twa,twb,tw->ab", alpha[:-1], after, both) * moves
-        gap = (y - p) * held * weight
-        by_feature = np.bincount(places.reshape(-1), np.repeat(gap.reshape(-1), places.shape[-1]), n_features + 1)
+        emission = np.full(len(row), bias)
+        emission[held] += weights[own].sum(1)
+        e = np.exp(np.clip(emission, -30, 30))
+        forward, backward = odds_along(e, row, moves)
+        odds = forward * backward
+        p = odds / (1 + odds)
+        ahead, before = e[1:] * backward[1:], forward[:-1]
+        paths = np.stack([np.full(len(ahead), moves[0, 0]), moves[0, 1] * ahead, moves[1, 0] * before, moves[1, 1] * before * ahead])
+        pair = (paths * (inside / paths.sum(0))).sum(1).reshape(2, 2)
+        gap = (y - p) * weight
+        by_feature = np.bincount(own.reshape(-1), np.repeat(gap[held], own.shape[1]), n_features + 1)
         gradient = np.concatenate([by_feature, [gap.sum()], (seen - pair).reshape(-1)]) - 0.5 * theta
         m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.99 * m2 + 0.01 * gradient**2
         theta = theta + 0.25 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
@@ -162,8 +202,12 @@ def _fit_chain(places: np.ndarray, held: np.ndarray, label: np.ndarray, weight:
     return weights, theta[n_features + 1], theta[-4:].reshape(2, 2)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80, shares: tuple[float, float] = (1.0, 1.0), max_windows: int = MAX_WINDOWS) -> Field:
-    """Fit the field and the document calibration on labelled texts, a bounded sample; shares: which parts of the clean and of the toxic rows it holds."""
+def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80, shares: tuple[float, float] = (1.0, 1.0), max_windows: int | None = None) -> Field:
+    """Fit the field and the document calibration on labelled texts, a bounded sample.
+
+    shares: which parts of the clean and of the toxic rows it holds. max_windows: the chain is fitted to at most so many
+    texts with and as many without toxic tokens, each standing for its share (by default to all).
+    """
     weight = np.where(toxic, 1 / shares[1], 1 / shares[0])
     weight /= weight.mean() if len(weight) else 1  # the priors on the weights are set against as many rows as were drawn
     rows, parts = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(1 + len(PREFIXES))]
@@ -182,38 +226,31 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80, shares: tuple[float
         return Field(calibration=np.array([np.log(rate / (1 - rate)), 0.0, 0.0]))
     context = np.concatenate([[np.uint64(0)], columns[0][:-1]])
     context[1:][row[1:] != row[:-1]] = 0
-    label = _evidence(columns, context, toxic[row], shares[1] / shares[0])
+    label = _evidence(columns, context, row, toxic, shares[1] / shares[0])
     known = [np.unique(c[label & (c > 0)], return_counts=True) for c in columns]
-    features = np.unique(np.concatenate([v[n >= 3] for v, n in known]))
+    features = np.unique(np.concatenate([v[n >= 2] for v, n in known]))
     model = Field(features, np.zeros(len(features) + 1))
     places = np.stack([model.places(c).astype(np.int32) for c in columns], -1)
     del columns, context, known
-    first = np.concatenate([[True], row[1:] != row[:-1]])
-    order = np.arange(len(row))
-    place = order - np.maximum.accumulate(np.where(first, order, 0))
-    window = np.cumsum(place % WINDOW == 0) - 1
-    has = np.bincount(window, label) > 0
-    use, window_weight = np.zeros(len(has), bool), weight[row[place % WINDOW == 0]]
-    for kind in (has, ~has):
-        some = np.flatnonzero(kind)
-        use[some[np.random.default_rng(7).permutation(len(some))[:max_windows]]] = True
-        window_weight[some] *= max(1.0, len(some) / max_windows)
-    window_weight /= window_weight[use].mean()
-    new = np.cumsum(use) - 1
-    at = use[window]
-    shape = (WINDOW, int(use.sum()))
-    grid, held, y = np.full((*shape, places.shape[-1]), len(features), np.int32), np.zeros(shape, bool), np.zeros(shape, bool)
-    column, number = place[at] % WINDOW, new[window[at]]
-    grid[column, number], held[column, number], y[column, number] = places[at], True, label[at]
-    weights, bias, moves = _fit_chain(grid, held, y, window_weight[use], len(features), steps)
+    of_text = weight.copy()
+    if max_windows is not None:
+        marked = np.bincount(row, label, len(toxic)) > 0
+        for kind in (marked, ~marked):
+            some = np.flatnonzero(kind)
+            left_out = some[np.random.default_rng(7).permutation(len(some))[max_windows:]]
+            of_text[some] *= max(1.0, len(some) / max_windows)
+            of_text[left_out] = 0
+    at = np.flatnonzero(of_text[row] > 0)
+    token_weight = of_text[row[at]]
+    weights, bias, moves = _fit_chain(places[at], row[at], label[at], token_weight / token_weight.mean(), len(features), steps)
     model = Field(features, weights, float(bias), moves)
     expected, largest = document_sums(model.marginals(model.bias + model.weights[places].sum(-1), row), row, len(toxic))
     x, target = np.stack([np.ones(len(toxic)), np.log1p(expected), largest], 1), toxic.astype(float)
     theta = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1.0 * np.eye(3)
-        theta = theta + np.linalg.solve(hessian, x.T @ (weight * (target - p)) - 1.0 * theta)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(3)
+        theta = theta + np.linalg.solve(hessian, x.T @ (weight * (target - p)) - RIDGE * theta)
     model.calibration = theta
     return model
 
@@ -224,15 +261,15 @@ def document_sums(p: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, n
     return np.bincount(row, p, n), largest
 
 
-def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_windows: int = MAX_WINDOWS) -> Field:
-    """Fit on at most about max_toxic + max_clean labelled rows, drawn by a hash of their ids and weighted by their drawn shares; held-out rows never take part."""
+def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_windows: int | None = None, max_chars: int = MAX_CHARS) -> Field:
+    """Fit on at most about max_toxic + max_clean labelled rows of at most max_chars code points, drawn by a hash of their ids and weighted by their drawn shares; held-out rows never take part."""
     rows = labels.select(F.col("doc_id").alias("_id"), "toxic").filter(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, most / max(1, counts.get(k, 0))) for k, most in ((1, max_toxic), (0, max_clean))}
     draw = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     drawn = rows.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # The drawn rows are bounded by the two parameters, so they may be broadcast and brought to the driver.
-    sample = documents.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
+    sample = documents.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
     return fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy() == 1, shares=(share[0], share[1]), max_windows=max_windows)
 
 
