@@ -81,18 +81,31 @@ class Rolling:
     """Hashes of any byte ranges of `data` (A-Z lower-cased unless `exact`) in constant time each, from one prefix sum."""
 
     _power = _inverse = None
+    _base, _bytes = _ODD, _BYTE
 
     def __init__(self, data: np.ndarray, exact: bool = False):
         n = len(data) + 1
-        if Rolling._power is None or len(Rolling._power) < n:
-            size = max(n, SLICE_BYTES + 1)
-            Rolling._power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, _ODD)]))
-            Rolling._inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, np.uint64(pow(int(_ODD), -1, 1 << 64)))]))
+        self.ready(n)
         self._sums = np.zeros(n, np.uint64)
-        np.cumsum(_BYTE[data if exact else _LOWER[data]] * Rolling._power[: n - 1], out=self._sums[1:])
+        np.cumsum(self._bytes[data if exact else _LOWER[data]] * self._power[: n - 1], out=self._sums[1:])
+
+    @classmethod
+    def ready(cls, n: int) -> None:
+        """Powers of the base for at least n places."""
+        if cls._power is None or len(cls._power) < n:
+            size = max(n, SLICE_BYTES + 1)
+            cls._power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, cls._base)]))
+            cls._inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, np.uint64(pow(int(cls._base), -1, 1 << 64)))]))
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * Rolling._inverse[start] + (end - start).astype(np.uint64))
+        return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+
+
+class SecondRolling(Rolling):
+    """An independent hash of the same kind, where 64 bits are not enough."""
+
+    _power = _inverse = None
+    _base, _bytes = np.uint64(0xD1342543DE82EF95), mix(_BYTE) | np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:

@@ -10,9 +10,11 @@ query and the pipeline (`together`); the older one cuts any run of repeated chun
 Scale: each task first combines its own chunks and windows (the first of each digest goes to the digest's bucket,
 the rest is known to repeat), so a passage in a third of all documents costs a bucket one entry a task. They travel packed.
 
-Edge cases: null and empty texts, and texts without words, pass unchanged; repeated rows, rows that share a
-doc_id and rows without one count in the order of a row number given once; a text that repeats as a whole is left
-empty (null texts stay null); an empty table gives an empty result; extra columns are kept by `deduplicated`.
+Digests have 128 bits, for a false match would delete text.
+
+Edge cases: null and empty texts, and texts without words, pass unchanged; rows that share a doc_id come in the order
+of their texts' hashes, and rows without one last; of equal rows any comes first; a text that repeats as a whole is
+left empty (null texts stay null); an empty table gives an empty result; extra columns are kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnworks.llm.bytetext import Rolling, mix, slices, spans, texts_of
+from cairnworks.llm.bytetext import Rolling, SecondRolling, mix, slices, spans, texts_of
 from cairnworks.llm.common import materialise, pieces, read
 
 CUT_BITS, CUT_SHIFT = 2, 13
@@ -35,7 +37,17 @@ WARM = 32  # bytes of a text before the hash is its own
 HOLD = 800_000
 _GEAR = np.random.default_rng(31).integers(0, 2**32, 256, dtype=np.uint32)
 _NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-_CHUNK = np.dtype([("digest", "<u8"), ("row", "<i8"), ("place", "<u4")])
+_CHUNK = np.dtype([("digest", "<u8"), ("second", "<u8"), ("row", "<i8"), ("place", "<u4")])
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Integers as planes of their bytes, of which the upper ones are mostly alike and compress away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(blob, kind: str) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -47,10 +59,10 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Of every chunk: row, place in its text, byte range, digest and number of words."""
+    """Of every chunk: row, place in its text, byte range, both halves of its digest and number of words."""
     start, end, row = spans(data, offsets)
     if not len(start):
-        return {k: np.zeros(0, np.uint64 if k == "digest" else np.int64) for k in ("row", "place", "start", "end", "digest", "words")}
+        return {k: np.zeros(0, np.uint64 if k in ("digest", "second") else np.int64) for k in ("row", "place", "start", "end", "digest", "second", "words")}
     hashed = gear(data)
     cut = (start - offsets[row] >= WARM) & ((hashed[start - 1] >> np.uint32(CUT_SHIFT)) & np.uint32((1 << CUT_BITS) - 1) == 0)
     cut[0] = True
@@ -62,7 +74,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     new_text = np.concatenate([[True], row[first][1:] != row[first][:-1]])
     number = np.arange(len(first))
     place = number - np.maximum.accumulate(np.where(new_text, number, 0))
-    return {"row": row[first], "place": place, "start": start[first], "end": end[last], "digest": Rolling(data, exact=True).hash(start[first], end[last]), "words": last - first + 1}
+    digest, second = (kind(data, exact=True).hash(start[first], end[last]) for kind in (Rolling, SecondRolling))
+    return {"row": row[first], "place": place, "start": start[first], "end": end[last], "digest": digest, "second": second, "words": last - first + 1}
 
 
 def windows(found: dict[str, np.ndarray], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,9 +95,15 @@ def windows(found: dict[str, np.ndarray], min_words: int) -> tuple[np.ndarray, n
     ending &= stop[np.maximum(start, 0)] != order + 1  # else it is a window that starts with its first chunk
     first = np.concatenate([order[starting], start[ending]])
     size = np.concatenate([stop[starting] - order[starting], order[ending] + 1 - start[ending]])
-    # Over the digests of chunks, as Rolling does over bytes; chunks are fewer than the bytes that it was made for.
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(found["digest"] * Rolling._power[:n], dtype=np.uint64)])
-    return first, size, mix((sums[first + size] - sums[first]) * Rolling._inverse[first] + size.astype(np.uint64))
+    return first, size, window_digests(found["digest"], first, size, Rolling)
+
+
+def window_digests(digests: np.ndarray, first: np.ndarray, size: np.ndarray, kind: type[Rolling]) -> np.ndarray:
+    """Of rows of chunks, over the digests of their chunks as `kind` does it over bytes."""
+    n = len(digests)
+    kind.ready(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digests * kind._power[:n], dtype=np.uint64)])
+    return mix((sums[first + size] - sums[first]) * kind._inverse[first] + size.astype(np.uint64))
 
 
 def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS, together: bool = False) -> DataFrame:
@@ -100,18 +119,19 @@ def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS,
 
         def combined() -> pa.RecordBatch:
             rows = np.concatenate(held)
-            rows = rows[np.lexsort((rows["place"], rows["row"], rows["digest"]))]
-            later = np.concatenate([[False], rows["digest"][1:] == rows["digest"][:-1]])
+            rows = rows[np.lexsort((rows["place"], rows["row"], rows["second"], rows["digest"]))]
+            later = np.concatenate([[False], (rows["digest"][1:] == rows["digest"][:-1]) & (rows["second"][1:] == rows["second"][:-1])])
             bucket = np.where(later, rows["row"] % n_buckets, (rows["digest"] % np.uint64(n_buckets)).astype(np.int64)) * 2 + later
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((rows["place"], rows["row"], bucket))
             rows, bucket = rows[order], bucket[order]
             begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             columns = [[], [], []]
             for a, b in zip(begin, [*begin[1:], len(rows)], strict=True):
                 part = rows[a:b]
-                for column, name in zip(columns, _CHUNK.names, strict=True):
-                    column.append(part[name].tobytes() if name != "digest" or bucket[a] % 2 == 0 else b"")
-            return pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", *_CHUNK.names])
+                columns[0].append(b"" if bucket[a] % 2 else np.stack([part["digest"], part["second"]], 1).tobytes())
+                columns[1].append(_planes(np.diff(part["row"], prepend=0)))
+                columns[2].append(_planes(part["place"]))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "digest", "row", "place"])
 
         for batch in batches:
             for part in slices(batch):
@@ -119,6 +139,7 @@ def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS,
                 first, n, digest = windows(found, min_words) if together else _NONE
                 made = np.empty(len(found["row"]) + len(first), _CHUNK)
                 made["digest"] = np.concatenate([found["digest"], digest])
+                made["second"] = np.concatenate([found["second"], window_digests(found["second"], first, n, SecondRolling)])
                 made["place"] = np.concatenate([found["place"] * (min_words + 1), found["place"][first] * (min_words + 1) + n])
                 made["row"] = part.column("row").to_numpy()[np.concatenate([found["row"], found["row"][first]])]
                 held.append(made)
@@ -131,11 +152,12 @@ def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS,
 
     def gather(table: pa.Table) -> pa.Table:
         """Bucket 2k + 1 holds chunks known to repeat; bucket 2k one chunk of each digest and task, of which the first stays."""
-        rows, places = (np.concatenate([np.frombuffer(x.as_buffer(), _CHUNK[name]) for x in table.column(name)]) for name in ("row", "place"))
+        rows = np.concatenate([np.cumsum(_from_planes(x.as_buffer(), "<i8")) for x in table.column("row")])
+        places = np.concatenate([_from_planes(x.as_buffer(), "<u4") for x in table.column("place")])
         if table.column("bucket")[0].as_py() % 2 == 0:
-            digests = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("digest")])
-            order = np.lexsort((places, rows, digests))
-            later = np.concatenate([[False], digests[order][1:] == digests[order][:-1]])
+            digests = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("digest")]).reshape(-1, 2)
+            order = np.lexsort((places, rows, digests[:, 1], digests[:, 0]))
+            later = np.concatenate([[False], (digests[order][1:] == digests[order][:-1]).all(1)])
             rows, places = rows[order][later], places[order][later]
         order = np.argsort(rows, kind="stable")
         rows, places = rows[order], places[order].astype(np.int32)
@@ -161,7 +183,10 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS, together: boo
     if unique:
         numbered = documents.withColumn("_row", F.col("doc_id").cast("long"))
     else:
-        numbered = materialise(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        # A total order of all rows: the numbers given to the sorted partitions ascend with it.
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("_row")]
+        rows = documents.withColumn("_row", F.monotonically_increasing_id()).orderBy(*order)
+        numbered = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     places = repeated_chunks(numbered, "_row", min_words, together).select(F.col("row").alias("_of"), F.col("places").alias("_places"))
     joined = numbered.join(places, F.col("_row") == F.col("_of"), "left").drop("_row", "_of")
     columns = documents.columns
@@ -200,15 +225,16 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS, together: boo
                     mine = cut[a:b]
                     spans_out = []
                     if mine.any():
-                        raw, kept, at = data[offsets[i] : offsets[i + 1]].tobytes(), [], 0
+                        mine_bytes = data[offsets[i] : offsets[i + 1]]
+                        raw, kept, at = mine_bytes.tobytes(), [], 0
+                        points = np.concatenate([[0], np.cumsum((mine_bytes & 0xC0) != 0x80)])  # code points before each byte
                         # A chunk ends where the next one starts, the last one at the end of the text.
                         borders = np.append(found["start"][a:b] - offsets[i], len(raw))
                         ends = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(int)))
                         for x, y in ends.reshape(-1, 2):
                             kept.append(raw[at : borders[x]])
-                            before = sum(len(k.decode()) for k in kept) + sum(e["end"] - e["start"] for e in spans_out)
                             at = borders[y]
-                            spans_out.append({"start": before, "end": before + len(raw[borders[x] : at].decode())})
+                            spans_out.append({"start": int(points[borders[x]]), "end": int(points[at])})
                         texts[i] = (b"".join(kept) + raw[at:]).decode()
                     words = found["words"][a:b]
                     reports.append({"n_words": int(words.sum()), "n_chunks": int(b - a), "repeated_chunks": int(repeated[a:b].sum()), "removed_words": int(words[mine].sum()), "removed": spans_out})
