@@ -17,7 +17,7 @@ alike; an empty table gives an empty result; extra columns are kept by `toxic_fi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +30,9 @@ from cairnworks.llm.common import read
 
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
 #: Longer labelled texts don't train.
-MAX_CHARS = 100_000
+MAX_CHARS = 50_000
+#: The chain is fitted to runs of whole texts of about so many tokens, one run after another in each step.
+RUN_TOKENS = 100_000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 #: A feature labels tokens if fewer than FALSE of all features tried would have such contexts by chance, if they come
@@ -42,11 +44,14 @@ RIDGE = 0.1
 LANE = 64
 
 
-def token_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the word and of its first bytes; a prefix that is the whole word or longer is 0."""
+def token_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, kinds: tuple[int, ...] = (0, *PREFIXES)) -> list[np.ndarray]:
+    """Hashes of the word (kind 0) and of its first bytes; a prefix that is the whole word or longer is 0."""
     rolling, size = Rolling(data), end - start
-    out = [rolling.hash(start, end) | np.uint64(1)]
-    for k in PREFIXES:
+    out = []
+    for k in kinds:
+        if not k:
+            out.append(rolling.hash(start, end) | np.uint64(1))
+            continue
         cut = mix(rolling.hash(start, np.minimum(start + k, end)) + np.uint64(k)) | np.uint64(1)
         out.append(np.where(size > k, cut, np.uint64(0)))
     return out
@@ -139,7 +144,13 @@ def odds_along(e: np.ndarray, row: np.ndarray, m: np.ndarray) -> tuple[np.ndarra
 
 def _distinct(feature: np.ndarray, of: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, numbers of different `of` of toxic and of clean rows)."""
-    _, at = np.unique(mix(feature + mix(of)), return_index=True)
+    pair = mix(of)
+    pair += feature
+    pair = mix(pair)
+    at = np.argsort(pair)
+    pair = pair[at]
+    at = at[np.concatenate([[True], pair[1:] != pair[:-1]])]
+    del pair
     names, inverse = np.unique(feature[at], return_inverse=True)
     return names, np.bincount(inverse, toxic[at], len(names)), np.bincount(inverse, ~toxic[at], len(names))
 
@@ -152,17 +163,22 @@ def _log_chance(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray
     return np.where(x > rate, -bound, 0.0)
 
 
-def _evidence(columns: list[np.ndarray], context: np.ndarray, row: np.ndarray, toxic_row: np.ndarray, clean_weight: float = 1.0) -> np.ndarray:
+def _evidence(columns: Iterable[np.ndarray], context: np.ndarray, row: np.ndarray, toxic_row: np.ndarray, clean_weight: float = 1.0) -> np.ndarray:
     """Which tokens of toxic documents have a feature that tells toxic documents from clean ones; clean_weight: of a clean row, a toxic one's being 1."""
     toxic = toxic_row[row]
     label = np.zeros(len(toxic), bool)
     for column in columns:
-        seen = column > 0
-        if not seen.any():
+        # A quarter of the features at a time, which bounds the memory.
+        parts = []
+        for quarter in range(4):
+            some = np.flatnonzero((column > 0) & ((column >> np.uint64(1)) & np.uint64(3) == quarter))
+            feature, is_toxic = column[some], toxic[some]
+            names, by_toxic, by_clean = _distinct(feature, context[some], is_toxic)
+            _, toxic_rows, _ = _distinct(feature, row[some].astype(np.uint64) + np.uint64(1), is_toxic)
+            parts.append((names, by_toxic, by_clean, toxic_rows))
+        names, by_toxic, by_clean, toxic_rows = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(names):
             continue
-        feature, is_toxic = column[seen], toxic[seen]
-        names, by_toxic, by_clean = _distinct(feature, context[seen], is_toxic)
-        _, toxic_rows, _ = _distinct(feature, row[seen].astype(np.uint64) + np.uint64(1), is_toxic)
         rate = np.clip(by_toxic.sum() / (by_toxic.sum() + clean_weight * by_clean.sum()), 1e-6, 1 - 1e-6)
         tried = max(1, int((by_toxic > 1).sum()))
         telling = (toxic_rows > 1) & (by_toxic >= MIN_PRECISION * (by_toxic + clean_weight * by_clean))
@@ -171,30 +187,42 @@ def _evidence(columns: list[np.ndarray], context: np.ndarray, row: np.ndarray, t
     return label
 
 
-def _fit_chain(places: np.ndarray, row: np.ndarray, label: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 80) -> tuple[np.ndarray, float, np.ndarray]:
+def text_runs(row: np.ndarray) -> list[slice]:
+    """Runs of tokens of whole texts, of about RUN_TOKENS."""
+    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    cuts = np.unique(begin[np.searchsorted(begin, np.arange(0, len(row), RUN_TOKENS), "left").clip(max=max(len(begin) - 1, 0))]) if len(row) else begin
+    return [slice(int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True)]
+
+
+def _fit_chain(places: np.ndarray, row: np.ndarray, label: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 50) -> tuple[np.ndarray, float, np.ndarray]:
     """Gradient ascent (Adam) on the likelihood of the labels; places: the features of each token, weight: of its text."""
     theta = np.concatenate([np.zeros(n_features + 1), [-3.0], np.zeros(4)])
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    inside = (row[1:] == row[:-1]) * weight[1:]
-    y = label.astype(float)
-    seen = np.array([[((1 - y[:-1]) * (1 - y[1:]) * inside).sum(), ((1 - y[:-1]) * y[1:] * inside).sum()], [(y[:-1] * (1 - y[1:]) * inside).sum(), (y[:-1] * y[1:] * inside).sum()]])
-    held = np.flatnonzero((places < n_features).any(1))  # most tokens have none of the features
-    own = places[held]
+    runs = []
+    for at in text_runs(row):
+        # Most tokens have none of the features.
+        held = np.flatnonzero((places[at] < n_features).any(1)) + at.start
+        y, inside = label[at].astype(float), (row[at][1:] == row[at][:-1]) * weight[at][1:]
+        seen = np.array([[((1 - y[:-1]) * (1 - y[1:]) * inside).sum(), ((1 - y[:-1]) * y[1:] * inside).sum()], [(y[:-1] * (1 - y[1:]) * inside).sum(), (y[:-1] * y[1:] * inside).sum()]])
+        runs.append((at, held - at.start, places[held], seen))
     for step in range(1, steps + 1):
         weights, bias, moves = theta[: n_features + 1].copy(), theta[n_features + 1], np.exp(theta[-4:].reshape(2, 2))
         weights[n_features] = 0
-        emission = np.full(len(row), bias)
-        emission[held] += weights[own].sum(1)
-        e = np.exp(np.clip(emission, -30, 30))
-        forward, backward = odds_along(e, row, moves)
-        odds = forward * backward
-        p = odds / (1 + odds)
-        ahead, before = e[1:] * backward[1:], forward[:-1]
-        paths = np.stack([np.full(len(ahead), moves[0, 0]), moves[0, 1] * ahead, moves[1, 0] * before, moves[1, 1] * before * ahead])
-        pair = (paths * (inside / paths.sum(0))).sum(1).reshape(2, 2)
-        gap = (y - p) * weight
-        by_feature = np.bincount(own.reshape(-1), np.repeat(gap[held], own.shape[1]), n_features + 1)
-        gradient = np.concatenate([by_feature, [gap.sum()], (seen - pair).reshape(-1)]) - 0.5 * theta
+        gradient = -0.5 * theta
+        for at, held, own, seen in runs:
+            emission = np.full(at.stop - at.start, bias)
+            emission[held] += weights[own].sum(1)
+            e = np.exp(np.clip(emission, -30, 30))
+            forward, backward = odds_along(e, row[at], moves)
+            odds = forward * backward
+            ahead, before = e[1:] * backward[1:], forward[:-1]
+            inside = (row[at][1:] == row[at][:-1]) * weight[at][1:]
+            paths = np.stack([np.full(len(ahead), moves[0, 0]), moves[0, 1] * ahead, moves[1, 0] * before, moves[1, 1] * before * ahead])
+            pair = (paths * (inside / paths.sum(0))).sum(1).reshape(2, 2)
+            gap = (label[at] - odds / (1 + odds)) * weight[at]
+            gradient[: n_features + 1] += np.bincount(own.reshape(-1), np.repeat(gap[held], own.shape[1]), n_features + 1)
+            gradient[n_features + 1] += gap.sum()
+            gradient[-4:] += (seen - pair).reshape(-1)
         m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.99 * m2 + 0.01 * gradient**2
         theta = theta + 0.25 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     weights = theta[: n_features + 1]
@@ -202,7 +230,7 @@ def _fit_chain(places: np.ndarray, row: np.ndarray, label: np.ndarray, weight: n
     return weights, theta[n_features + 1], theta[-4:].reshape(2, 2)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80, shares: tuple[float, float] = (1.0, 1.0), max_windows: int | None = None) -> Field:
+def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 50, shares: tuple[float, float] = (1.0, 1.0), max_windows: int | None = None) -> Field:
     """Fit the field and the document calibration on labelled texts, a bounded sample.
 
     shares: which parts of the clean and of the toxic rows it holds. max_windows: the chain is fitted to at most so many
@@ -210,28 +238,42 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80, shares: tuple[float
     """
     weight = np.where(toxic, 1 / shares[1], 1 / shares[0])
     weight /= weight.mean() if len(weight) else 1  # the priors on the weights are set against as many rows as were drawn
-    rows, parts = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(1 + len(PREFIXES))]
-    before = 0
-    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
-        data, offsets = texts_of(part.column("text"))
-        start, end, row = spans(data, offsets, letters=True)
-        rows.append(row + before)
+    whole = pa.RecordBatch.from_arrays([texts], ["text"])
+    rows, before = [np.zeros(0, np.int64)], 0
+    for part in slices(whole):
+        rows.append(spans(*texts_of(part.column("text")), letters=True)[2] + before)
         before += part.num_rows
-        for held, column in zip(parts, token_features(data, start, end), strict=True):
-            held.append(column)
-    row, columns = np.concatenate(rows), [np.concatenate(p) for p in parts]
-    del parts, rows
+    row = np.concatenate(rows)
+    del rows
+
+    def column(kind: int) -> np.ndarray:
+        """One kind of feature of all tokens; the kinds are made one after another to bound the driver's memory."""
+        out, at = np.zeros(len(row), np.uint64), 0
+        for part in slices(whole):
+            data, offsets = texts_of(part.column("text"))
+            start, end, _ = spans(data, offsets, letters=True)
+            out[at : at + len(start)] = token_features(data, start, end, (kind,))[0]
+            at += len(start)
+        return out
+
     if not len(row) or toxic.all() or not toxic.any():
         rate = np.clip(np.average(toxic, weights=weight) if len(toxic) else 0.02, 0.02, 0.98)
         return Field(calibration=np.array([np.log(rate / (1 - rate)), 0.0, 0.0]))
-    context = np.concatenate([[np.uint64(0)], columns[0][:-1]])
+    kinds = (0, *PREFIXES)
+    context = np.concatenate([[np.uint64(0)], column(0)[:-1]])
     context[1:][row[1:] != row[:-1]] = 0
-    label = _evidence(columns, context, row, toxic, shares[1] / shares[0])
-    known = [np.unique(c[label & (c > 0)], return_counts=True) for c in columns]
-    features = np.unique(np.concatenate([v[n >= 2] for v, n in known]))
+    label = _evidence(map(column, kinds), context, row, toxic, shares[1] / shares[0])
+    del context
+    known = []
+    for kind in kinds:
+        of_labelled = column(kind)[label]
+        names, times = np.unique(of_labelled[of_labelled > 0], return_counts=True)
+        known.append(names[times >= 2])
+    features = np.unique(np.concatenate(known))
     model = Field(features, np.zeros(len(features) + 1))
-    places = np.stack([model.places(c).astype(np.int32) for c in columns], -1)
-    del columns, context, known
+    places = np.empty((len(row), len(kinds)), np.int32)
+    for i, kind in enumerate(kinds):
+        places[:, i] = model.places(column(kind))
     of_text = weight.copy()
     if max_windows is not None:
         marked = np.bincount(row, label, len(toxic)) > 0
@@ -242,9 +284,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 80, shares: tuple[float
             of_text[left_out] = 0
     at = np.flatnonzero(of_text[row] > 0)
     token_weight = of_text[row[at]]
+    if len(at) == len(row):
+        at = slice(None)
     weights, bias, moves = _fit_chain(places[at], row[at], label[at], token_weight / token_weight.mean(), len(features), steps)
     model = Field(features, weights, float(bias), moves)
-    expected, largest = document_sums(model.marginals(model.bias + model.weights[places].sum(-1), row), row, len(toxic))
+    p = np.concatenate([model.marginals(model.bias + model.weights[places[at]].sum(-1), row[at]) for at in text_runs(row)])
+    expected, largest = document_sums(p, row, len(toxic))
     x, target = np.stack([np.ones(len(toxic)), np.log1p(expected), largest], 1), toxic.astype(float)
     theta = np.zeros(3)
     for _ in range(50):
