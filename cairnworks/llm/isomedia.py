@@ -2,9 +2,10 @@
 
 `index_media` never decodes a payload: it reads box headers and sample tables and returns codec, duration,
 sample count and the byte ranges of keyframes. `store_samples` writes bytes as the 8-bit samples of a small
-container, `stored_bytes` reads them back through the sample tables.
+container, `stored_bytes` reads them back through the sample tables. Of a file with several tracks the first video
+track is indexed, or else the first one.
 
-Edge cases: a null value, or bytes that are no container or are cut off, index to nulls (and no ranges);
+Edge cases: a null value, or bytes that are no container, are cut off or are fragmented, index to nulls (and no ranges);
 an empty payload has no samples; unknown boxes are skipped; a 64-bit or open-ended box size is followed;
 repeated rows give repeated results; an empty table an empty result; extra columns are ignored.
 """
@@ -88,13 +89,27 @@ def boxes(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ())
         start = stop
 
 
+def tracks(view: memoryview) -> list[dict[bytes, tuple[int, int]]]:
+    """The first box of each kind of every track, by kind."""
+    found: list[dict[bytes, tuple[int, int]]] = []
+    for path, body, stop in boxes(view, 0, len(view)):
+        if path == (b"moof",):
+            raise ValueError("fragmented files keep their sample tables in fragments, which are not read")
+        if path == (b"moov", b"trak"):
+            found.append({})
+        if path[:2] == (b"moov", b"trak"):
+            found[-1].setdefault(path[-1], (body, stop))
+    return found
+
+
 def sample_tables(data: bytes) -> dict:
-    """Of the first track: codec, timescale, duration, and arrays of each sample's offset, size and whether it is a keyframe."""
+    """Of the first video track, or else of the first one: codec, timescale, duration, and arrays of each sample's offset, size and whether it is a keyframe."""
     view = memoryview(data)
-    found: dict[bytes, tuple[int, int]] = {}
-    for path, body, stop in boxes(view, 0, len(view)):
-        if path[:2] == (b"moov", b"trak") or path[-1] in (b"ftyp", b"mdat"):
-            found.setdefault(path[-1], (body, stop))
+    every = tracks(view)
+    if not every:
+        raise ValueError("no track")
+    video = [t for t in every if b"hdlr" in t and bytes(view[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]) == b"vide"]
+    found = (video or every)[0]
 
     def numbers(kind: bytes, skip: int, dtype: str, count: int) -> np.ndarray:
         body, stop = found[kind]
@@ -139,6 +154,15 @@ def stored_bytes(data: bytes, tables: dict) -> bytes:
     return b"".join(data[offsets[a] : offsets[b - 1] + sizes[b - 1]] for a, b in zip(begin, end, strict=True))
 
 
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+
+
+def keyframes_of(tables: dict) -> list[dict]:
+    """The byte ranges of the keyframes."""
+    at = np.flatnonzero(tables["key"])
+    return [{"start": a, "size": b} for a, b in zip(tables["offsets"][at].tolist(), tables["sizes"][at].tolist(), strict=True)]
+
+
 INDEX_SCHEMA = "codec string, duration_s double, n_samples long, keyframes array<struct<start:long,size:long>>"
 
 
@@ -147,15 +171,13 @@ def index_media(media: DataFrame, key: str, column: str) -> DataFrame:
     kind = media.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())])))])
+        schema = pa.schema([("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", RANGES)])
         for batch in batches:
             rows = []
             for value in batch.column(1):
                 try:
                     t = sample_tables(value.as_buffer().to_pybytes() if value.is_valid else b"")
-                    at = np.flatnonzero(t["key"])
-                    frames = [{"start": int(a), "size": int(b)} for a, b in zip(t["offsets"][at], t["sizes"][at], strict=True)]
-                    rows.append({"codec": t["codec"], "duration_s": t["duration"] / t["timescale"] if t["timescale"] else None, "n_samples": len(t["sizes"]), "keyframes": frames})
+                    rows.append({"codec": t["codec"], "duration_s": t["duration"] / t["timescale"] if t["timescale"] else None, "n_samples": len(t["sizes"]), "keyframes": keyframes_of(t)})
                 except (KeyError, ValueError, struct.error, IndexError):
                     rows.append(dict.fromkeys(schema.names))
             out = pa.RecordBatch.from_pylist(rows, schema)
@@ -172,7 +194,7 @@ def describe(tables: dict, payload: bytes) -> str:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "keyframe_bytes"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "keyframe_bytes", "keyframes"]
     for batch in batches:
         rows = []
         for text in batch.column(1):
@@ -180,14 +202,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = store_samples(raw + b" " * (-len(raw) % UNIT if raw else UNIT))
             tables = sample_tables(media)
             back = stored_bytes(media, tables)
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(tables, back), int(tables["sizes"][tables["key"]].sum())))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(tables, back), int(tables["sizes"][tables["key"]].sum()), keyframes_of(tables)))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), RANGES]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as the samples of a container, read back through its boxes and tables, and digested."""
     return read(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(
-        _digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframe_bytes long"
+        _digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframe_bytes long, keyframes array<struct<start:long,size:long>>"
     )

@@ -6,7 +6,8 @@ the others by weight until none is above its clamp. A document is then taken flo
 whole, and the missing fraction is made of whole documents drawn in a seeded order.
 
 Edge cases: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own and
-comes last; a source without words has target 0; repeated rows are separate documents of equal standing;
+comes last; a source without words has target 0; repeated rows are separate documents of equal standing, and so
+are rows of one doc_id, which are drawn in the order of their texts' hashes;
 an empty table gives an empty result. Extra columns of the input are ignored by `mix_plan` and kept by `mixed_documents`.
 """
 
@@ -64,7 +65,7 @@ def _epochs(frame: DataFrame, weights, budget, max_epochs, seed) -> DataFrame:
         "_start", F.coalesce(F.sum("_words").over(Window.partitionBy("_bsource").orderBy("_bbucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     ).drop("_words")
     per_source = starts.join(targets, F.col("_bsource").eqNullSafe(F.col("_source")))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)).cast("long"))
     rows = rows.join(per_source, F.col("source").eqNullSafe(F.col("_bsource")) & (F.col("_bucket") == F.col("_bbucket")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -78,23 +79,32 @@ def draw_order(doc_id, seed: str = SEED):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
+def _planned(documents: DataFrame, weights, budget, max_epochs, seed) -> DataFrame:
+    """A row for each row of documents, with _size, _tie (a hash of the text), source_size, target and _copies."""
+    rows = documents.select("doc_id", "source", word_count(documents["text"]).alias("_size"), F.xxhash64(documents["text"]).alias("_tie"), draw_order(documents["doc_id"], seed).alias("_order"))
+    return _epochs(materialise(rows, "mix"), weights, budget, max_epochs, seed)
+
+
 def mix_plan(documents: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """documents(doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken (words)."""
-    rows = documents.select("doc_id", "source", word_count(documents["text"]).alias("_size"), draw_order(documents["doc_id"], seed).alias("_order"))
-    rows = _epochs(materialise(rows, "mix"), weights, budget, max_epochs, seed)
-    return rows.select(
+    return _planned(documents, weights, budget, max_epochs, seed).select(
         "doc_id", "source", F.col("_size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target",
         F.col("_copies").cast("long").alias("copies"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"),
     )
 
 
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of documents as often as the plan takes it, with all its columns."""
-    # Rows of one doc_id share their draw order, but sizes decide; their largest number of copies holds for all.
-    plan = mix_plan(documents, **options).groupBy("doc_id").agg(F.max("copies").alias("_mix_copies"))
-    rows = documents.join(plan, documents["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
-    rows = rows.filter("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int"))))
-    return rows.drop("_mix_copy", "_mix_copies")
+def mixed_documents(documents: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: every row of documents as often as the plan takes it, with all its columns.
+
+    Rows are told apart by doc_id, source and text; of those that are alike in these, each takes one of their plan rows.
+    """
+    plan = _planned(documents, weights, budget, max_epochs, seed).select(F.col("doc_id").alias("_of"), F.col("source").alias("_in"), "_tie", F.col("_copies").cast("int").alias("_copies"))
+    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("_of", "_in", "_tie").orderBy(F.col("_copies").desc())))
+    rows = documents.withColumn("_text_hash", F.xxhash64(documents["text"]))
+    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy("doc_id", "source", "_text_hash").orderBy(F.lit(0))))
+    same = rows["doc_id"].eqNullSafe(plan["_of"]) & rows["source"].eqNullSafe(plan["_in"]) & (rows["_text_hash"] == plan["_tie"]) & (rows["_number"] == plan["_nth"])
+    rows = rows.join(plan.filter("_copies > 0"), same)
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[rows[c] for c in documents.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

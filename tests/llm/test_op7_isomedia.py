@@ -60,3 +60,32 @@ def test_query(spark, documents, odd, empty):
             payload = raw + b" " * (-len(raw) % 192 or 192 * (not raw))
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
     assert empty.select("doc_id", "text").mapInArrow(isomedia._digests, columns).count() == 0
+
+
+def test_the_video_track_of_two_is_indexed():
+    """An audio track without a sync table before a video track with one: codec, sizes and keyframes are the video's."""
+    audio, video = isomedia.store_samples(bytes(192 * 3)), isomedia.store_samples(bytes(192 * 40))
+    at = lambda data, kind: next((b - 8, e) for p, b, e in isomedia.boxes(memoryview(data), 0, len(data)) if p == kind)
+    (a, b), (c, d) = at(audio, (b"moov", b"trak")), at(video, (b"moov", b"trak"))
+    sound, picture = audio[a:b].replace(b"stss", b"free"), video[c:d].replace(b"soun", b"vide")
+    moov_start, moov_end = at(video, (b"moov",))
+    body = video[moov_start + 8 : c] + sound + picture
+    shift = len(sound)
+    first = int.from_bytes(picture[picture.index(b"co64") + 12 : picture.index(b"co64") + 20], "big")
+    both = video[:moov_start] + isomedia._box(b"moov", body.replace(picture, picture.replace(first.to_bytes(8, "big"), (first + shift).to_bytes(8, "big")))) + video[moov_end:]
+    tables = isomedia.sample_tables(both)
+    assert len(tables["sizes"]) == 40 and np.flatnonzero(tables["key"]).tolist() == [0, 16, 32] and tables["offsets"][0] == first + shift
+
+
+def test_query_lists_keyframes(spark):
+    rows = isomedia.op7_media(spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        media = isomedia.store_samples(raw + b" " * (-len(raw) % 192 if raw else 192))
+        assert r["media_bytes"] == len(media) and r["media_sha256"] == hashlib.sha256(media).hexdigest()
+        n = r["payload_bytes"] // 192
+        first = len(media) - r["payload_bytes"]
+        assert [(k["start"], k["size"]) for k in r["keyframes"]] == [(first + i * 192, 192) for i in range(0, n, 16)]
+        assert r["feature"].startswith(f"raw /{r['payload_bytes'] / 8000:.6f}s/{n}/{-(-n // 16)}/")
