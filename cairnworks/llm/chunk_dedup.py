@@ -34,7 +34,7 @@ MAX_WORDS = 64
 MIN_WORDS = 16
 WARM = 32  # bytes of a text before the hash is its own
 #: A task combines and sends its chunks whenever it holds so many.
-HOLD = 800_000
+HOLD = 400_000
 _GEAR = np.random.default_rng(31).integers(0, 2**32, 256, dtype=np.uint32)
 _NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 _CHUNK = np.dtype([("digest", "<u8"), ("second", "<u8"), ("row", "<i8"), ("place", "<u4")])

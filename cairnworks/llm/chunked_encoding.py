@@ -25,19 +25,21 @@ class ChunkEncoder:
 
     starts(data): where chunks begin within texts (bool for each byte). encode_chunks(chunks): (ids in a row, number
     of ids of each) of byte strings, asked once for each distinct chunk. whole(data, offsets): the texts, as bool,
-    that must not be cut.
+    that must not be cut. share: of the memory's bounds.
     """
 
-    def __init__(self, starts: Callable, encode_chunks: Callable, whole: Callable | None = None):
+    def __init__(self, starts: Callable, encode_chunks: Callable, whole: Callable | None = None, share: float = 1.0):
         self.starts, self.encode_chunks, self.whole = starts, encode_chunks, whole
-        self.bits = MOST_CHUNKS.bit_length()
+        # What a piece of text can bring always fits into an empty memory.
+        self.most_chunks, self.most_ids = max(int(MOST_CHUNKS * share), PIECE // 2), max(int(MOST_IDS * share), PIECE + BIG)
+        self.bits = self.most_chunks.bit_length()
         self._forget()
 
     def _forget(self) -> None:
         self.table = np.zeros(1 << self.bits, np.int32)
-        self.rows = np.zeros((MOST_CHUNKS + 1, 4), _U)  # word, word, number of bytes, place and number of ids
+        self.rows = np.zeros((self.most_chunks + 1, 4), _U)  # word, word, number of bytes, place and number of ids
         self.rows[0, 2] = _U(255)  # row 0 is no chunk
-        self.pool = np.zeros(MOST_IDS, np.int32)
+        self.pool = np.zeros(self.most_ids, np.int32)
         self.n_rows, self.n_ids, self.long_bytes = 1, 0, 0
         self.long: dict[bytes, int] = {}
 
@@ -98,7 +100,7 @@ class ChunkEncoder:
         if new:
             ids, counts = self.encode_chunks(list(new))
             at = np.fromiter(new.values(), np.int64, len(new))
-            if self.n_rows + len(new) > MOST_CHUNKS or self.n_ids + len(ids) > MOST_IDS or self.long_bytes > MOST_LONG_BYTES:
+            if self.n_rows + len(new) > self.most_chunks or self.n_ids + len(ids) > self.most_ids or self.long_bytes > MOST_LONG_BYTES:
                 self._forget()
                 return self._look_up(data, start, size)
             self.pool[self.n_ids : self.n_ids + len(ids)] = ids

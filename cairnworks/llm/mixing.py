@@ -96,15 +96,16 @@ def mix_plan(documents: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_
 def mixed_documents(documents: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: every row of documents as often as the plan takes it, with all its columns.
 
-    Rows are told apart by doc_id, source and text; of those that are alike in these, each takes one of their plan rows.
+    Rows are told apart by a hash of doc_id, source and text; rows that are alike in these share their plan rows' copies evenly.
     """
-    plan = _planned(documents, weights, budget, max_epochs, seed).select(F.col("doc_id").alias("_of"), F.col("source").alias("_in"), "_tie", F.col("_copies").cast("int").alias("_copies"))
-    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("_of", "_in", "_tie").orderBy(F.col("_copies").desc())))
-    rows = documents.withColumn("_text_hash", F.xxhash64(documents["text"]))
-    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy("doc_id", "source", "_text_hash").orderBy(F.lit(0))))
-    same = rows["doc_id"].eqNullSafe(plan["_of"]) & rows["source"].eqNullSafe(plan["_in"]) & (rows["_text_hash"] == plan["_tie"]) & (rows["_number"] == plan["_nth"])
-    rows = rows.join(plan.filter("_copies > 0"), same)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[rows[c] for c in documents.columns])
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), F.col("_tie"))
+    plan = _planned(documents, weights, budget, max_epochs, seed).groupBy(key.alias("_of")).agg(F.sum("_copies").cast("long").alias("_all"), F.count("*").alias("_alike"))
+    rows = documents.withColumn("_tie", F.xxhash64("text")).withColumn("_key", key).drop("_tie")
+    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    rows = rows.join(plan, F.col("_key") == F.col("_of"))
+    copies = F.floor(F.col("_all") / F.col("_alike")) + (F.col("_number") <= F.col("_all") % F.col("_alike")).cast("long")
+    rows = rows.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[documents[c] for c in documents.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

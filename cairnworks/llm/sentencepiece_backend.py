@@ -156,7 +156,7 @@ class Codec:
 
             self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.cuttable = all(MARK not in p.lstrip(MARK) for p in self.model.pieces)
-        self.chunks = ChunkEncoder(self._starts, self._encode_chunks)
+        self.chunks = ChunkEncoder(self._starts, self._encode_chunks, share=0.25)
         # What is encoded in chunks has been normalised as a whole before.
         self.bare = build_tokenizer(self.model)
         from tokenizers import normalizers

@@ -8,11 +8,12 @@ from cairnworks.llm import kneser_ney
 
 def reference(texts):
     """log probability of a byte string's bytes under the model of `texts`, from dictionaries."""
-    level = {5: collections.Counter()}
+    top = kneser_ney.ORDER
+    level = {top: collections.Counter()}
     for t in texts:
-        b = bytes(4) + t
-        level[5].update(b[i : i + 5] for i in range(len(t)))
-    for order in (4, 3, 2, 1):
+        b = bytes(top - 1) + t
+        level[top].update(b[i : i + top] for i in range(len(t)))
+    for order in range(top - 1, 0, -1):
         level[order] = collections.Counter(g[1:] for g in level[order + 1])
     discount = {o: kneser_ney.discounts_of([sum(v == k for v in level[o].values()) for k in (1, 2, 3, 4)]) for o in level}
     context = {o: collections.defaultdict(lambda: [0, 0.0]) for o in level}
@@ -31,7 +32,7 @@ def reference(texts):
         v = level[order].get(g, 0)
         return (max(v - discount[order][min(v, 3) - 1], 0) if v else 0) / total + saved / total * lower
 
-    return lambda t: sum(math.log(p((bytes(4) + t)[i : i + 5], 5)) for i in range(len(t)))
+    return lambda t: sum(math.log(p((bytes(top - 1) + t)[i : i + top], top)) for i in range(len(t)))
 
 
 def test_equals_dictionaries(spark, documents):
