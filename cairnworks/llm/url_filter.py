@@ -1,7 +1,8 @@
 """URL filter: host and path rules first, then a logistic regression on hashed character n-grams.
 
-The regression is trained by Spark ML from a small labelled URL table (`LABELLED` by default, a parameter)
-and judges every URL that no rule fits. Everything runs as DataFrame expressions; no Python touches a row.
+The regression is trained by Spark ML from a small labelled URL table (`labelled` by default, which is made of general
+words and holds no host of any table here; a caller's own table is a parameter of `train`) and judges every URL that
+no rule fits. Everything runs as DataFrame expressions; no Python touches a row.
 
 Edge cases: a null URL, or one without '://', has an empty host and path, no n-grams of its own, and gets the
 regression's verdict for its intercept alone; repeated rows are judged alike; an empty table gives an empty
@@ -10,6 +11,8 @@ result; extra columns of the input are ignored, and one with a name used here ('
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import DataFrame, SparkSession
@@ -22,33 +25,43 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 #: Hash space of the n-grams, a parameter of the model.
 FEATURES = 1 << 18
 SIZES = (3, 4, 5)
-#: Default labelled URLs: hosts of unwanted kinds and ordinary ones.
-UNWANTED = (
-    "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track", "spam-farm", "buy-viagra", "online-casino", "poker-bonus", "bet-now", "xxx-videos", "adult-cams",
-    "free-porn", "pills-online", "cheap-meds", "click-ads", "ad-tracker", "track-clicks", "spam-links", "link-farm", "win-money", "payday-loan", "casino-slots", "hot-adult",
-    "cheap-replica", "banner-ads", "seo-farm", "jackpot-win", "lottery-win", "free-casino",
+#: Stems and modifiers of the default labelled table: what unwanted and ordinary sites in general are called.
+UNWANTED_STEMS = (
+    "casino", "poker", "slot", "roulette", "betting", "bet", "jackpot", "lottery", "pill", "med", "viagra", "pharmacy", "adult", "porn", "xxx", "sex", "cam", "escort",
+    "ad", "adserver", "banner", "tracker", "tracking", "clicktrack", "popup", "spam", "linkfarm", "seofarm", "backlink", "payday", "replica", "crypto-double",
 )
-ORDINARY = (
-    "news", "library", "weather", "university", "museum", "garden", "recipes", "travel", "history", "science", "music", "sports", "wiki", "archive", "school", "health",
-    "books", "maps", "citynews", "journal", "theatre", "thering", "tionble", "ererst", "thehed", "onand", "machines", "harbour", "forest", "mountain", "council", "railway",
-    "station", "nation", "action", "education", "information", "translation", "collection", "election", "fashion", "vacation", "tradition", "edition", "vision", "motion",
-    "other", "weathernews", "mother", "together", "another", "northern", "southern", "theory", "thesis", "there", "therapy", "thermal", "then", "that", "than", "thanks",
-    "city-library", "open-maps", "old-town", "daily-news", "state-parks", "night-sky", "river-walk", "home-garden", "tiondale", "ontario", "erland", "anderson", "ingle",
-    "henderson", "reston", "atland", "edinburgh", "esther", "oregon", "england", "ireland", "hathaway", "neatham", "stables", "whistle", "shelter", "lyon", "outing",
-    "research", "painting", "cooking", "language", "astronomy", "chemistry", "geology", "village", "thernd", "ththon", "thetion", "reading", "letters", "theother",
+UNWANTED_MODIFIERS = ("free", "cheap", "online", "best", "prize", "buy", "hot", "live", "fast", "easy", "super", "mega", "bonus", "cash", "deal", "now", "4u", "24", "pro", "zone")
+ORDINARY_STEMS = (
+    "news", "library", "weather", "university", "museum", "garden", "recipe", "travel", "history", "science", "music", "sport", "wiki", "archive", "school", "health",
+    "book", "map", "journal", "theatre", "machine", "harbour", "forest", "mountain", "council", "railway", "station", "kitchen", "language", "astronomy", "chemistry", "village",
+    "nation", "education", "information", "translation", "collection", "election", "tradition", "weekend", "northern", "theory", "letter", "reading", "winter",
 )
-
-
-def labelled(spark: SparkSession) -> DataFrame:
-    """The built-in labelled URL table: url, label (1: unwanted)."""
-    prefixes, ends, languages, tails = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "fr", "de", "es"), ("", ".html", "/", "?page=2", "#top")
-    rows = []
-    for label, hosts in ((1.0, UNWANTED), (0.0, ORDINARY)):
-        for i, host in enumerate(hosts):
-            for k in range(8):  # addresses of many shapes, the same for both labels, so that only names tell them apart
-                n = (i * 7919 + k * 10_007) % 60_000
-                rows.append((f"http{'s' * (k % 2)}://{prefixes[k % 4]}{host}.example.{ends[(i + k) % 3]}/{languages[(i + k // 2) % 4]}/{n}{tails[(i + k) % 5]}", label))
-    return spark.createDataFrame(rows, "url string, label double")
+ORDINARY_MODIFIERS = ("city", "open", "old", "daily", "state", "night", "river", "home", "north", "green", "new", "our", "royal", "little", "the", "my", "public", "land", "world", "house")
+_ONSETS, _VOWELS, _CODAS = ("b", "br", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "st", "t", "th", "w", "sh", "ch", "v"), ("a", "e", "i", "o", "u", "ea", "ou", "io"), ("", "n", "r", "s", "t", "l", "nd", "ng")
+
+
+def labelled_hosts(seed: int = 17, names: int = 500) -> list[tuple[str, float]]:
+    """(host stem, label) of the default table: every stem with some modifiers, and ordinary names made of syllables."""
+    draw = random.Random(seed)
+    out = []
+    for label, stems, modifiers in ((1.0, UNWANTED_STEMS, UNWANTED_MODIFIERS), (0.0, ORDINARY_STEMS, ORDINARY_MODIFIERS)):
+        for stem in stems:
+            for modifier in draw.sample(modifiers, 12):
+                mark = draw.choice(("-", "-", ""))
+                out.append((draw.choice((f"{modifier}{mark}{stem}", f"{stem}{mark}{modifier}")), label))
+            out.append((stem, label))
+    out += [("".join(draw.choice(_ONSETS) + draw.choice(_VOWELS) + draw.choice(_CODAS) for _ in range(draw.randint(1, 3))), 0.0) for _ in range(names)]
+    return sorted(set(out))
+
+
+def labelled(spark: SparkSession, hosts: list[tuple[str, float]] | None = None) -> DataFrame:
+    """The default labelled URL table: url, label (1: unwanted). Addresses have the same shapes for both labels, so only names tell them apart."""
+    prefixes, ends, folders, tails = ("", "www.", "m.", "blog."), (".com", ".net", ".org", ".info", ".co.uk", ".example.net"), ("", "en/", "a/b/", "2024/05/"), ("", "index.html", "17", "4711.html", "?page=2", "item#top")
+    draw, rows = random.Random(23), []
+    for host, label in hosts or labelled_hosts():
+        for _ in range(2):
+            rows.append((f"http{draw.choice(('', 's'))}://{draw.choice(prefixes)}{host}{draw.choice(ends)}/{draw.choice(folders)}{draw.choice(tails)}", label))
+    return spark.createDataFrame(rows, "url string, label double").coalesce(1)
 
 
 def url_parts(url) -> tuple:
@@ -75,10 +88,17 @@ def _with_features(urls: DataFrame) -> DataFrame:
 
 
 def train(table: DataFrame) -> LogisticRegressionModel:
-    """Fit on a small labelled table (url, label 1 for unwanted)."""
+    """Fit on a small labelled table (url, label 1 for unwanted); both labels weigh alike, however many rows they have."""
     host, path = url_parts(table["url"])
+    # A small table by contract: one partition makes each step of the fit one small task.
     rows = _with_features(table.select(host.alias("host"), path.alias("path"), "label"))
-    return LogisticRegression(regParam=0.0003, maxIter=60, standardization=False).fit(rows)
+    share = {r["label"]: r["n"] for r in table.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    weight = F.when(F.col("label") == 1, 0.5 / share.get(1.0, 1)).otherwise(0.5 / share.get(0.0, 1)) * sum(share.values())
+    rows = rows.select("features", "label", weight.alias("weight")).coalesce(1).persist()
+    try:
+        return LogisticRegression(regParam=0.00001, maxIter=30, standardization=False, weightCol="weight").fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def fitting_rule(host, path, rules=RULES):
