@@ -193,10 +193,10 @@ def versioned_append(t: Tables) -> DataFrame:
     return ops.versioned(history, c.select("c_custkey", F.col("c_mktsegment").alias("content")), "c_custkey", "content")
 
 
-@query("""SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click')""")
+@query("""SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 3 > 0) AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click')""")
 def set_difference(t: Tables) -> DataFrame:
     of = lambda kind: t.events.filter(F.col("event_type") == kind).select("user_id")
-    return of("view").join(of("purchase"), "user_id", "left_anti").join(of("click"), "user_id", "left_semi").distinct()
+    return of("view").join(of("purchase").filter("user_id % 3 > 0"), "user_id", "left_anti").join(of("click"), "user_id", "left_semi").distinct()
 
 
 @query("""SELECT a.l_orderkey, len(list_intersect(a.s, b.s))::INT AS shared FROM (SELECT l_orderkey, list_distinct(list(l_suppkey)) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a JOIN (SELECT l_orderkey, list_distinct(list(l_suppkey)) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) b USING (l_orderkey)""")

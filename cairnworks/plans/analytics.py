@@ -206,13 +206,13 @@ def roi_scorecard(t: Tables) -> DataFrame:
     return j.groupBy("n_name").agg(F.sum("n").alias("n"), F.sum("decided").alias("decided"), F.when(F.sum("decided") >= 5, F.sum("won") / F.sum("decided")).alias("win_rate"))
 
 
-@query("""SELECT t.conv_id, t.turn FROM conversations t LEFT JOIN conversations p ON p.conv_id = t.conv_id AND p.turn = t.turn - 1 WHERE NOT (coalesce(p.role, 'start') || '>' || t.role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user'))""")
+@query("""SELECT t.conv_id, t.turn FROM conversations t LEFT JOIN conversations p ON p.conv_id = t.conv_id AND p.turn = t.turn - 1 WHERE NOT (coalesce(p.role, 'start') || '>' || t.role IN ('start>system', 'system>user', 'user>assistant', 'assistant>user'))""")
 def illegal_moves(t: Tables) -> DataFrame:
     c = t.conversations
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("was"))
     moves = c.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("was", F.lit("start")).alias("was"), "role")
-    allowed = t.spark.createDataFrame([("start", "system"), ("start", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")], "was string, role string")
-    return moves.join(F.broadcast(allowed), ["was", "role"], "left_anti").select("conv_id", "turn")  # five allowed moves
+    allowed = t.spark.createDataFrame([("start", "system"), ("system", "user"), ("user", "assistant"), ("assistant", "user")], "was string, role string")
+    return moves.join(F.broadcast(allowed), ["was", "role"], "left_anti").select("conv_id", "turn")  # four allowed moves; each conversation has to begin with a system message
 
 
 @query("""WITH m AS (SELECT conv_id, turn, role, text, regexp_extract(text, '^(\\S+)', 1) AS first_word FROM conversations) SELECT role, count(*) AS n, count(DISTINCT first_word) AS openings FROM m GROUP BY 1""")

@@ -114,17 +114,24 @@ def routed_scores(t: Tables) -> DataFrame:
     return s.select("o_custkey", "score", scalars.band(F.col("score"), 75, 55).alias("band"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'excluded' WHEN o_totalprice > 400000 THEN 'too_large' WHEN o_totalprice < 50000 THEN 'too_small' WHEN o_totalprice > 250000 THEN 'stretch' ELSE 'fit' END AS fit,
-CASE WHEN o_orderpriority = '5-LOW' THEN 0.0 WHEN o_totalprice > 400000 THEN 0.4 WHEN o_totalprice < 50000 OR o_totalprice > 250000 THEN 0.6 ELSE 1.0 END::DOUBLE AS factor FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'excluded' WHEN o_orderstatus = 'F' AND o_totalprice > 400000 THEN 'likely_too_large' WHEN o_totalprice < 50000 THEN 'possible_stretch' ELSE 'likely_fit' END AS fit,
+CASE WHEN o_orderpriority = '5-LOW' THEN 0.0 WHEN o_orderstatus = 'F' AND o_totalprice > 400000 THEN 0.4 WHEN o_totalprice < 50000 THEN 0.6 ELSE 1.0 END::DOUBLE AS factor FROM orders""")
 def capacity_fits(t: Tables) -> DataFrame:
-    fit = scalars.capacity_fit(F.col("o_totalprice"), F.lit(50000.0), F.lit(250000.0), F.lit(400000.0), F.col("o_orderpriority") == "5-LOW")
+    """Only accounts of finished orders have set a largest value."""
+    most = F.when(F.col("o_orderstatus") == "F", 400000.0)
+    fit = scalars.capacity_fit(F.col("o_totalprice"), F.lit(50000.0), most, F.col("o_orderpriority") == "5-LOW")
     return t.orders.select("o_orderkey", fit.alias("c")).select("o_orderkey", "c.*")
 
 
-@query("""SELECT o_orderkey, CASE WHEN DATE '2001-08-02' < o_orderdate::DATE + 28 THEN 'upcoming' WHEN DATE '2001-08-02' <= o_orderdate::DATE + 56 THEN 'open' WHEN DATE '2001-08-02' <= o_orderdate::DATE + 70 THEN 'closing' ELSE 'closed' END AS status, o_orderdate::DATE + 28 AS opens_on, o_orderdate::DATE + 56 AS closes_on FROM orders WHERE o_orderdate >= TIMESTAMP '2001-05-01'""")
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS issued, CASE o_orderkey % 5 WHEN 0 THEN 'permit_issued' WHEN 1 THEN 'construction' WHEN 2 THEN 'bidding_confirmed' WHEN 3 THEN 'approved' ELSE 'complete' END AS stage, o_orderpriority IN ('1-URGENT', '2-HIGH') AS commercial FROM orders WHERE o_orderdate >= TIMESTAMP '2001-05-01'),
+w AS (SELECT *, (DATE '2001-08-02' - issued) // 7 AS weeks, NOT commercial AND stage IN ('permit_issued', 'construction') AS dated FROM o)
+SELECT o_orderkey, CASE WHEN stage = 'bidding_confirmed' THEN 'confirmed_open' WHEN commercial AND stage = 'approved' THEN 'open' WHEN commercial OR stage = 'complete' THEN 'likely_closed' WHEN NOT dated THEN 'watch' WHEN weeks < 4 THEN 'opens_soon' WHEN weeks <= 10 THEN 'open' ELSE 'likely_closed' END AS status,
+CASE WHEN dated THEN issued + 28 END AS opens_on, CASE WHEN dated THEN issued + 56 END AS closes_on FROM w""")
 def bid_windows(t: Tables) -> DataFrame:
     o = t.orders.filter("o_orderdate >= timestamp_ntz'2001-05-01'")
-    w = scalars.bid_window(F.lit("permit_issued"), F.col("o_orderdate").cast("date"), F.lit("2001-08-02").cast("date"), 4, 8, 10)
+    stage = F.element_at(F.array(*map(F.lit, ("permit_issued", "construction", "bidding_confirmed", "approved", "complete"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    track = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "commercial").otherwise("residential")
+    w = scalars.bid_window(stage, track, F.col("o_orderdate").cast("date"), F.lit("2001-08-02").cast("date"), 4, 8, 10)
     return o.select("o_orderkey", w.alias("w")).select("o_orderkey", "w.*")
 
 
@@ -152,7 +159,7 @@ def name_similarity(t: Tables) -> DataFrame:
     return v.select("a", "b", names.name_similarity(F.col("a"), F.col("b")).alias("similarity"), F.array_join(F.array_sort(names.name_tokens(F.col("a"))), " ").alias("tokens"))
 
 
-@query(f"""SELECT a, CASE WHEN trim(a) = '' OR regexp_matches(a, '(?i)^(NO |NOT |N/A|NA$|UNKNOWN|NONE|OWNER$|SAME AS|TBD|SEE |APPLICANT$|PER PLANS)') OR regexp_matches(a, '[0-9]{{3,}}') THEN 'junk' WHEN regexp_matches(a, '(?i)(LLC|INC|CORP|COMPANY|CO\\.|LP|LLP|PLLC|LTD|GROUP|CONSTRUCTION|BUILDERS|HOMES|DEVELOPMENT|ELECTRIC|PLUMBING|MECHANICAL|ROOFING|SERVICES|ENTERPRISES|ASSOCIATES|PARTNERS|CITY OF|COUNTY|DISTRICT|AUTHOR)') THEN 'business' ELSE 'person_or_unknown' END AS quality
+@query(f"""SELECT a, CASE WHEN trim(a) = '' OR regexp_matches(a, '(?i)^(NO |NOT |N/A|NA$|UNKNOWN|NONE|OWNER$|SAME AS|TBD|SEE |APPLICANT$|PER PLANS)') OR regexp_matches(a, '[0-9]{{3,}}') THEN 'junk' WHEN regexp_matches(a, '(?i)(LLC|INC|CORP|COMPANY|CO\\.|LP|LLP|PLLC|LTD|GROUP|CONSTRUCTION|BUILDERS|HOMES|DEVELOPMENT|ELECTRIC|PLUMBING|MECHANICAL|ROOFING|SERVICES|ENTERPRISES|ASSOCIATES|PARTNERS|CITY OF|COUNTY|DISTRICT|AUTHORITY|CHURCH|SCHOOL)') THEN 'business' ELSE 'person_or_unknown' END AS quality
 FROM (SELECT a FROM (VALUES {_VALUES}) x(a, b) UNION ALL SELECT b FROM (VALUES {_VALUES}) x(a, b))""")
 def name_quality(t: Tables) -> DataFrame:
     v = t.spark.createDataFrame([(x,) for pair in zip(*NAME_CASES, strict=True) for x in pair], "a string")

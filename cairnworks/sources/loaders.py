@@ -125,9 +125,17 @@ def payload(df: DataFrame, generated_at: str) -> DataFrame:
 
 
 def ingest(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(appended or changed records, outcome counts) by fingerprint of the whole record: old(sourceKey, externalId, fingerprint)."""
+    """(appended or changed records, outcome counts) by fingerprint of the whole record: old(sourceKey, externalId, fingerprint[, version]).
+
+    A record is compared with its latest stored version; without a version column, with any of those stored.
+    """
     marked = new.withColumn("fingerprint", scalars.fingerprint(*(F.col(c) for c in sorted(new.columns))))
-    known = old.select("sourceKey", "externalId", F.col("fingerprint").alias("_was"))
-    judged = marked.dropDuplicates(["sourceKey", "externalId", "fingerprint"]).join(known, ["sourceKey", "externalId"], "left")
-    judged = judged.withColumn("outcome", F.when(F.col("_was").isNull(), "new").when(F.col("_was") == F.col("fingerprint"), "duplicate").otherwise("changed"))
-    return judged.filter("outcome <> 'duplicate'").drop("_was"), judged.groupBy("outcome").agg(F.count("*").alias("n"))
+    keys = ["sourceKey", "externalId"]
+    if "version" in old.columns:
+        known = old.groupBy(*keys).agg(F.max_by("fingerprint", "version").alias("fingerprint"))
+    else:
+        known = old.select(*keys, "fingerprint").distinct()
+    judged = marked.dropDuplicates([*keys, "fingerprint"])
+    judged = judged.join(known.withColumn("_same", F.lit(True)), [*keys, "fingerprint"], "left").join(known.select(*keys).distinct().withColumn("_seen", F.lit(True)), keys, "left")
+    judged = judged.withColumn("outcome", F.when(F.col("_same"), "duplicate").when(F.col("_seen"), "changed").otherwise("new")).drop("_same", "_seen")
+    return judged.filter("outcome <> 'duplicate'"), judged.groupBy("outcome").agg(F.count("*").alias("n"))

@@ -78,3 +78,39 @@ def test_distance(spark):
     assert abs(value(spark, scalars.distance_m(F.lit(0.0), F.lit(0.0), F.lit(0.001), F.lit(0.0))) - 111.19) < 0.01
     # The textbook form of the inverse projection, on the sphere of the WGS 84 equator.
     assert abs(value(spark, scalars.mercator_lat(F.lit(5_000_000.0))) - math.degrees(math.atan(math.sinh(5_000_000 / 6_378_137)))) < 1e-9
+
+
+def test_name_agreement_by_loose_keys(spark):
+    cases = [
+        ("LIMITLESS HEATING COOLING LL", "Limitless Heating Cooling LLC", "exact"), ("", "Acme", "none"), (None, "Acme", "none"), ("KOALA T POOL SPA SERVS", "Koala T Pool Spa", "exact"),
+        ("Acme Glass", "Acme Glass and Mirror of Tacoma", "contained"), ("Glass Acme", "Acme Glass and Mirror of Tacoma", "none"), ("Acme", "Acme Glass", "none"), ("I 5 Glass", "I 5 Glass Inc", "exact"),
+    ]
+    for a, b, want in cases:
+        assert value(spark, names.name_agreement(F.lit(a).cast("string"), F.lit(b))) == want, (a, b)
+    assert value(spark, names.name_quality(F.lit("St Mark Church"))) == value(spark, names.name_quality(F.lit("Lakes High School"))) == "business"
+    assert value(spark, names.name_quality(F.lit("Ann Author"))) == "person_or_unknown"
+
+
+def test_bid_windows_and_capacity(spark):
+    def status(stage, track, weeks):
+        issued = F.date_sub(F.lit("2026-07-17").cast("date"), 7 * weeks) if weeks is not None else F.lit(None).cast("date")
+        return value(spark, scalars.bid_window(F.lit(stage), F.lit(track), issued, F.lit("2026-07-17").cast("date"), 4, 8, 10)["status"])
+
+    for stage, track, weeks, want in (
+        ("permit_issued", "residential", 2, "opens_soon"), ("permit_issued", "residential", 5, "open"), ("permit_issued", "residential", 10, "open"), ("permit_issued", "residential", 11, "likely_closed"),
+        ("construction", "residential", 6, "open"), ("permit_issued", "residential", None, "watch"), ("concept", "residential", None, "watch"), ("complete", "residential", 1, "likely_closed"),
+        ("bidding_confirmed", "commercial", None, "confirmed_open"), ("withdrawn", "commercial", None, "likely_closed"), ("approved", "commercial", None, "open"), ("concept", "commercial", None, "watch"),
+        ("permit_issued", "commercial", 1, "likely_closed"),
+    ):
+        assert status(stage, track, weeks) == want, (stage, track, weeks)
+    null = F.lit(None).cast("double")
+    fit = lambda v, least, most, out=False: value(spark, scalars.capacity_fit(v, least, most, F.lit(out))["fit"])
+    assert fit(F.lit(10.0), F.lit(50.0), null) == "possible_stretch" and fit(F.lit(99.0), null, null) == "likely_fit"
+    assert fit(F.lit(99.0), F.lit(1.0), F.lit(50.0)) == "likely_too_large" and fit(null, F.lit(1.0), F.lit(50.0)) == "unknown" and fit(null, null, null, True) == "excluded"
+
+
+def test_glazing_rules_and_events(spark):
+    for text, units, want in (("demolition of shed", 0, 0.2), ("athletic field", 0, 0.2), ("rezone", 0, 0.4), ("new storefront windows, office", 0, 1.0), ("office, no exterior change, glass door", 0, 0.7), ("apartment", 0, 0.4), ("plain", 3, 0.4), ("plain", 0, 0.2)):
+        assert value(spark, scalars.glazing_fit(F.lit(text), F.lit(units))) == want, text
+    assert value(spark, scalars.event_type(F.lit("issued_permit"), F.lit("2026-01-01").cast("date"))) == "permit_issued"
+    assert value(spark, scalars.event_type(F.lit("other"), F.lit(None).cast("date"))) == "project_first_seen"
