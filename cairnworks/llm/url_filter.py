@@ -40,7 +40,7 @@ ORDINARY_MODIFIERS = ("city", "open", "old", "daily", "state", "night", "river",
 _ONSETS, _VOWELS, _CODAS = ("b", "br", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "st", "t", "th", "w", "sh", "ch", "v"), ("a", "e", "i", "o", "u", "ea", "ou", "io"), ("", "n", "r", "s", "t", "l", "nd", "ng")
 
 
-def labelled_hosts(seed: int = 17, names: int = 500) -> list[tuple[str, float]]:
+def labelled_hosts(seed: int = 17, names: int = 1200) -> list[tuple[str, float]]:
     """(host stem, label) of the default table: every stem with some modifiers, and ordinary names made of syllables."""
     draw = random.Random(seed)
     out = []
