@@ -1,8 +1,8 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of byte 6-grams, trained on trusted text.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of byte 5-grams, trained on trusted text.
 
 1. Every task cuts its documents into blocks of about BLOCK_BYTES and emits each block's texts (compressed) and its
    distinct grams with their counts in trusted documents, dealt to shards by the two bytes before the last. All that
-   the model needs of orders 6 to 3 for a gram lies in the gram's shard: its suffixes and all their contexts
+   the model needs of orders 5 to 3 for a gram lies in the gram's shard: its suffixes and all their contexts
    hold these two bytes at the same place.
 2. The counts of a shard are merged (in two steps, so that no task gathers a common shard of all blocks), which
    also gives the discounts and the orders 2 and 1: at most 65,536 byte pairs, whatever the input's size.
@@ -10,7 +10,7 @@
    blocks, where documents are scored. Documents are kept between two quantiles of their language's trusted ones.
 
 All trusted documents are counted and all documents scored, whole. Nothing is pruned, so what is gathered grows
-with the corpus: ten times the trusted text (sf0.01 to sf0.1) has 2.5 times the 6-grams (1.8 times the 5-grams).
+with the corpus, if less than in proportion: ten times the trusted text (sf0.01 to sf0.1) has 1.8 times the 5-grams.
 Edge cases: a null or empty text has null perplexity and is not kept; a language without trusted documents (or a
 null one) takes the quantiles of all trusted ones; without any trusted document all texts with bytes are kept; rows
 of one doc_id are scored one by one and share their label; an empty table gives an empty result; extra columns
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cairnworks.llm.bytetext import slices, texts_of
 from cairnworks.llm.common import materialise, materialise_by, pieces, read
 
-ORDER = 6
+ORDER = 5
 BLOCK_BYTES = 12 << 20
 LOW, HIGH = 0.005, 0.995
 #: How far beyond the quantiles a document may lie, as a share of log perplexity.
