@@ -101,3 +101,10 @@ def test_fold_keeps_bits(n):
     bits = sigtree.bitmap(s)
     small = sigtree.fold(bits, 64)
     assert all(small >> int(x % 64) & 1 for x in s)
+
+
+def test_rows_of_one_id_keep_one_of_each_component(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "z"), (2, b, "u"), (3, a, "v"), (4, "", "w"), (4, None, "w")]
+    kept = sigtree.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, a), (1, b), (4, ""), (4, "")]

@@ -107,3 +107,16 @@ def test_held_out_hosts(spark):
 def test_no_python_in_the_plan(spark):
     plan = url_filter.op10_url_filter(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_of_one_id_take_their_own_copies(spark):
+    """Rows that share a doc_id in sources of different ratios: each is in the mix as often as its own source's plan says."""
+    rows = [(1, "w " * 50, "a"), (1, "v " * 400, "b"), (2, "u " * 50, "a"), (3, "t " * 400, "b"), (3, "t " * 400, "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {}
+    for r in mixing.mix_plan(frame).collect():
+        plan[r["doc_id"], r["source"]] = plan.get((r["doc_id"], r["source"]), 0) + r["copies"]
+    got = {k: 0 for k in plan}
+    for r in mixing.mixed_documents(frame).collect():
+        got[r["doc_id"], r["source"]] += 1
+    assert got == plan
