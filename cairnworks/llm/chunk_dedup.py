@@ -10,7 +10,7 @@ query and the pipeline (`together`); the older one cuts any run of repeated chun
 Scale: each task first combines its own chunks and windows (the first of each digest goes to the digest's bucket,
 the rest is known to repeat), so a passage in a third of all documents costs a bucket one entry a task. They travel packed.
 
-Digests have 128 bits, for a false match would delete text.
+Digests have 96 bits, for a false match would delete text.
 
 Edge cases: null and empty texts, and texts without words, pass unchanged; rows that share a doc_id come in the order
 of their texts' hashes, and rows without one last; of equal rows any comes first; a text that repeats as a whole is
@@ -37,7 +37,8 @@ WARM = 32  # bytes of a text before the hash is its own
 HOLD = 400_000
 _GEAR = np.random.default_rng(31).integers(0, 2**32, 256, dtype=np.uint32)
 _NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-_CHUNK = np.dtype([("digest", "<u8"), ("second", "<u8"), ("row", "<i8"), ("place", "<u4")])
+_DIGEST = np.dtype([("digest", "<u8"), ("second", "<u4")])
+_CHUNK = np.dtype([("digest", "<u8"), ("second", "<u4"), ("row", "<i8"), ("place", "<u4")])
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -128,7 +129,7 @@ def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS,
             columns = [[], [], []]
             for a, b in zip(begin, [*begin[1:], len(rows)], strict=True):
                 part = rows[a:b]
-                columns[0].append(b"" if bucket[a] % 2 else np.stack([part["digest"], part["second"]], 1).tobytes())
+                columns[0].append(b"" if bucket[a] % 2 else part[["digest", "second"]].astype(_DIGEST).tobytes())
                 columns[1].append(_planes(np.diff(part["row"], prepend=0)))
                 columns[2].append(_planes(part["place"]))
             return pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "digest", "row", "place"])
@@ -139,7 +140,7 @@ def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS,
                 first, n, digest = windows(found, min_words) if together else _NONE
                 made = np.empty(len(found["row"]) + len(first), _CHUNK)
                 made["digest"] = np.concatenate([found["digest"], digest])
-                made["second"] = np.concatenate([found["second"], window_digests(found["second"], first, n, SecondRolling)])
+                made["second"] = np.concatenate([found["second"], window_digests(found["second"], first, n, SecondRolling)]) >> np.uint64(32)
                 made["place"] = np.concatenate([found["place"] * (min_words + 1), found["place"][first] * (min_words + 1) + n])
                 made["row"] = part.column("row").to_numpy()[np.concatenate([found["row"], found["row"][first]])]
                 held.append(made)
@@ -155,9 +156,9 @@ def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS,
         rows = np.concatenate([np.cumsum(_from_planes(x.as_buffer(), "<i8")) for x in table.column("row")])
         places = np.concatenate([_from_planes(x.as_buffer(), "<u4") for x in table.column("place")])
         if table.column("bucket")[0].as_py() % 2 == 0:
-            digests = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("digest")]).reshape(-1, 2)
-            order = np.lexsort((places, rows, digests[:, 1], digests[:, 0]))
-            later = np.concatenate([[False], (digests[order][1:] == digests[order][:-1]).all(1)])
+            digests = np.concatenate([np.frombuffer(x.as_buffer(), _DIGEST) for x in table.column("digest")])
+            order = np.lexsort((places, rows, digests["second"], digests["digest"]))
+            later = np.concatenate([[False], digests[order][1:] == digests[order][:-1]])
             rows, places = rows[order][later], places[order][later]
         order = np.argsort(rows, kind="stable")
         rows, places = rows[order], places[order].astype(np.int32)
