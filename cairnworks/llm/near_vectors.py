@@ -209,12 +209,14 @@ def _block_links(left: pa.Table, right: pa.Table, least: float) -> pa.Table:
 def component_links(members: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(vec, n_links) for all members(vec, component, m, unit): how many vectors each of a class's m vectors is linked to."""
     rows = materialise(members.mapInArrow(_as_arrays, "vec long, component long, m long, unit array<double>"), "near-members")
-    mean = rows.groupBy("component").agg(vector_to_array(Summarizer.mean(array_to_vector("unit"))).alias("mean"))
+    # Written tables, so that the joins below are between plain exchanges, which Spark can split where a component is large.
+    mean = materialise(rows.groupBy("component").agg(vector_to_array(Summarizer.mean(array_to_vector("unit"))).alias("mean")), "near-means")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     angle = F.acos(F.greatest(F.least(dot("unit", "mean") / F.sqrt(dot("mean", "mean")), F.lit(1.0)), F.lit(-1.0)))
     core = F.coalesce(angle <= F.lit(math.acos(least) / 2 - SLACK), F.lit(False))
     rows = materialise(rows.join(mean, "component").select(*rows.columns, core.alias("core")), "near-cores")
     total = rows.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("m")).otherwise(0)).alias("n_core"), F.count("*").alias("n"), F.count_if(~F.col("core")).alias("n_outer"))
+    total = materialise(total, "near-totals")
     sized = rows.join(total, "component")
     base = sized.select("vec", F.when(F.col("core"), F.col("n_core")).otherwise(F.col("m")).alias("links"))
     mixed = sized.filter("n_outer > 0").withColumns({"i_all": F.ceil(F.col("n_outer") / block).cast("int"), "j_all": F.ceil(F.col("n") / block).cast("int"), "deal": F.xxhash64("vec")})
