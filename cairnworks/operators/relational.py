@@ -7,6 +7,7 @@ takes the caller's full order, which should end in a unique column.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -132,9 +133,21 @@ def contradictions(values: DataFrame, key: str, ratio: float = 1.25) -> DataFram
 
 
 def set_checkpoint_dir(spark) -> None:
-    """Keep the cluster's checkpoint folder; name one of our own only where none is set, as in tests."""
+    """Keep the cluster's checkpoint folder; name one of our own only in local mode, where none is set, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairnworks-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairnworks-"))
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a table in the shared folder, read back: cuts the lineage, survives lost executors, and its size is known to the planner, which then broadcasts only what is small."""
+    spark = df.sparkSession
+    set_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected(edges: DataFrame) -> DataFrame:
