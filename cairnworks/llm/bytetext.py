@@ -6,6 +6,7 @@ that a task does a handful of numpy passes over a few megabytes instead of a Pyt
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +79,9 @@ def spans(data: np.ndarray, offsets: np.ndarray, letters: bool = False) -> tuple
 
 
 class Rolling:
-    """Hashes of any byte ranges of `data` (A-Z lower-cased unless `exact`) in constant time each, from one prefix sum."""
+    """Hashes of any byte ranges of `data` (A-Z lower-cased unless `exact`) in constant time each, from one prefix sum.
+
+    Modulo 2^64, so texts can be made to collide: for features only, never for what decides that texts are equal (see Digests)."""
 
     _power = _inverse = None
     _base, _bytes = _ODD, _BYTE
@@ -101,20 +104,93 @@ class Rolling:
         return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
 
 
-class SecondRolling(Rolling):
-    """An independent hash of the same kind, where 64 bits are not enough."""
-
-    _power = _inverse = None
-    _base, _bytes = np.uint64(0xD1342543DE82EF95), mix(_BYTE) | np.uint64(1)
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
-    """Each text's sorted distinct hashes of `width` words in a row; a shorter text is one shingle; no words, none."""
+#: A prime; 2^61 leaves 1.
+PRIME = (1 << 61) - 1
+_P, _31, _30, _61 = np.uint64(PRIME), np.uint64(31), np.uint64(30), np.uint64(61)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _mod_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a b modulo PRIME for values below it, by halves of 31 bits."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = ah * bl + al * bh
+    return _reduce(((ah * bh) << np.uint64(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + _reduce(al * bl))
+
+
+def _join(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """high 2^31 + low modulo PRIME for any 64-bit values."""
+    high, low = _reduce(high), _reduce(low)
+    return _reduce(((high & _LOW30) << _31) + (high >> _30) + low)
+
+
+class Digests:
+    """Digests of ranges of bytes, or of rows of other digests, as polynomials modulo a prime at a secret point.
+
+    The point follows from `key`, which a run draws for itself (see common.digest_key): two different ranges of n items agree at n of
+    2^61 points at most, so no text can be made to collide on purpose. Any range takes constant time, from two prefix sums.
+    """
+
+    def __init__(self, key: int):
+        draw = np.random.default_rng(key)
+        self._point = int(draw.integers(1 << 32, PRIME))
+        self._powers = np.ones(1, np.uint64)
+        self._inverses = np.ones(1, np.uint64)
+
+    def _ready(self, n: int) -> None:
+        if len(self._powers) < n:
+            n = max(n, SLICE_BYTES + 1)
+            for name, point in (("_powers", self._point), ("_inverses", pow(self._point, -1, PRIME))):
+                table = np.ones(n, np.uint64)
+                done = 1
+                while done < n:
+                    more = min(done, n - done)
+                    table[done : done + more] = _mod_product(table[:more], np.uint64(pow(point, done, PRIME)))
+                    done += more
+                setattr(self, name, table)
+
+    def _ranges(self, high: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        total = _join(high[end] - high[start], low[end] - low[start])
+        return mix(_mod_product(total, self._inverses[start]) ^ ((end - start).astype(np.uint64) << _61))
+
+    def of_bytes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, exact: bool = False) -> np.ndarray:
+        """Of byte ranges (A-Z lower-cased unless `exact`)."""
+        n = len(data)
+        self._ready(n + 1)
+        values = (data if exact else _LOWER[data]).astype(np.uint64) + np.uint64(1)
+        high, low = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum((self._powers[:n] >> _31) * values, out=high[1:])
+        np.cumsum((self._powers[:n] & _LOW31) * values, out=low[1:])
+        return self._ranges(high, low, start, end)
+
+    def of_rows(self, digests: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of rows of 64-bit digests."""
+        n = len(digests)
+        self._ready(n + 1)
+        terms = _mod_product(_reduce(digests), self._powers[:n])
+        high, low = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(terms >> _31, out=high[1:])
+        np.cumsum(terms & _LOW31, out=low[1:])
+        return self._ranges(high, low, first, first + size)
+
+
+@functools.lru_cache(maxsize=4)
+def digests_of(key: int) -> Digests:
+    """The tables of a key, kept while a worker needs them."""
+    return Digests(key)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5, key: int = 0) -> list[np.ndarray]:
+    """Each text's sorted distinct hashes of `width` words in a row; a shorter text is one shingle; no words, none. `key` is that of Digests."""
     start, end, row = spans(data, offsets)
     n_texts = len(offsets) - 1
     if not len(start):
         return [np.zeros(0, np.uint64)] * n_texts
-    word = Rolling(data).hash(start, end)
+    word = digests_of(key).of_bytes(data, start, end)
     count = np.bincount(row, minlength=n_texts)
     begin = np.concatenate([[0], np.cumsum(count)])
     out: list[np.ndarray] = []

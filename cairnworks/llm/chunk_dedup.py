@@ -10,7 +10,7 @@ query and the pipeline (`together`); the older one cuts any run of repeated chun
 Scale: each task first combines its own chunks and windows (the first of each digest goes to the digest's bucket,
 the rest is known to repeat), so a passage in a third of all documents costs a bucket one entry a task. They travel packed.
 
-Digests have 96 bits, for a false match would delete text.
+Digests have 96 bits, for a false match would delete text, and a point that each session draws, so that no text can be made to match.
 
 Edge cases: null and empty texts, and texts without words, pass unchanged; rows that share a doc_id come in the order
 of their texts' hashes, and rows without one last; of equal rows any comes first; a text that repeats as a whole is
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnworks.llm.bytetext import Rolling, SecondRolling, mix, slices, spans, texts_of
-from cairnworks.llm.common import materialise, pieces, read
+from cairnworks.llm.bytetext import digests_of, slices, spans, texts_of
+from cairnworks.llm.common import digest_key, free_names, materialise, pieces, read
 
 CUT_BITS, CUT_SHIFT = 2, 13
 MAX_WORDS = 64
@@ -59,8 +59,8 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Of every chunk: row, place in its text, byte range, both halves of its digest and number of words."""
+def chunks(data: np.ndarray, offsets: np.ndarray, key: int | None = None) -> dict[str, np.ndarray]:
+    """Of every chunk: row, place in its text, byte range, number of words and, with a key, both halves of its digest."""
     start, end, row = spans(data, offsets)
     if not len(start):
         return {k: np.zeros(0, np.uint64 if k in ("digest", "second") else np.int64) for k in ("row", "place", "start", "end", "digest", "second", "words")}
@@ -75,11 +75,11 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     new_text = np.concatenate([[True], row[first][1:] != row[first][:-1]])
     number = np.arange(len(first))
     place = number - np.maximum.accumulate(np.where(new_text, number, 0))
-    digest, second = (kind(data, exact=True).hash(start[first], end[last]) for kind in (Rolling, SecondRolling))
+    digest, second = (digests_of(k).of_bytes(data, start[first], end[last], exact=True) for k in (key, key + 1)) if key is not None else (None, None)
     return {"row": row[first], "place": place, "start": start[first], "end": end[last], "digest": digest, "second": second, "words": last - first + 1}
 
 
-def windows(found: dict[str, np.ndarray], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(found: dict[str, np.ndarray], min_words: int, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first chunk, number of chunks, digest) of each chunk's shortest windows of min_words words that start or end with it.
 
     These do for all: a chunk of a longer repeated window lies in one of them inside that window.
@@ -96,15 +96,7 @@ def windows(found: dict[str, np.ndarray], min_words: int) -> tuple[np.ndarray, n
     ending &= stop[np.maximum(start, 0)] != order + 1  # else it is a window that starts with its first chunk
     first = np.concatenate([order[starting], start[ending]])
     size = np.concatenate([stop[starting] - order[starting], order[ending] + 1 - start[ending]])
-    return first, size, window_digests(found["digest"], first, size, Rolling)
-
-
-def window_digests(digests: np.ndarray, first: np.ndarray, size: np.ndarray, kind: type[Rolling]) -> np.ndarray:
-    """Of rows of chunks, over the digests of their chunks as `kind` does it over bytes."""
-    n = len(digests)
-    kind.ready(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digests * kind._power[:n], dtype=np.uint64)])
-    return mix((sums[first + size] - sums[first]) * kind._inverse[first] + size.astype(np.uint64))
+    return first, size, digests_of(key).of_rows(found["digest"], first, size)
 
 
 def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS, together: bool = False) -> DataFrame:
@@ -113,6 +105,7 @@ def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS,
     A place is the first chunk's times min_words + 1, plus a window's number of chunks (at most min_words), or 0 for a chunk.
     """
     n_buckets = 8 * pieces(documents.sparkSession)
+    key = digest_key(documents.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -136,11 +129,11 @@ def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS,
 
         for batch in batches:
             for part in slices(batch):
-                found = chunks(*texts_of(part.column("text")))
-                first, n, digest = windows(found, min_words) if together else _NONE
+                found = chunks(*texts_of(part.column("text")), key)
+                first, n, digest = windows(found, min_words, key) if together else _NONE
                 made = np.empty(len(found["row"]) + len(first), _CHUNK)
                 made["digest"] = np.concatenate([found["digest"], digest])
-                made["second"] = np.concatenate([found["second"], window_digests(found["second"], first, n, SecondRolling)]) >> np.uint64(32)
+                made["second"] = np.concatenate([found["second"], digests_of(key + 1).of_rows(found["second"], first, n)]) >> np.uint64(32)
                 made["place"] = np.concatenate([found["place"] * (min_words + 1), found["place"][first] * (min_words + 1) + n])
                 made["row"] = part.column("row").to_numpy()[np.concatenate([found["row"], found["row"][first]])]
                 held.append(made)
@@ -174,22 +167,24 @@ def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS,
 REPORT = "struct<n_words:long,n_chunks:long,repeated_chunks:long,removed_words:long,removed:array<struct<start:int,end:int>>>"
 
 
-def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS, together: bool = False) -> DataFrame:
-    """documents with repeated passages cut out of `text`, all other columns kept, and a struct column `_cut` (REPORT).
+def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS, together: bool = False, report: str = "_cut") -> DataFrame:
+    """documents with repeated passages cut out of `text`, all other columns kept, and a struct column `report` (REPORT), in place of one of that name.
 
     together: what is cut stood before as min_words words in a row, not as chunks in different places. `removed` lists code point ranges of the original text.
     """
     min_words = max(1, min_words)
+    documents = documents.drop(report)
+    row, of, listed_in = free_names(documents, "_row", "_of", "_places")
     unique = documents.agg((F.count("*") == F.count_distinct("doc_id"))).first()[0]
     if unique:
-        numbered = documents.withColumn("_row", F.col("doc_id").cast("long"))
+        numbered = documents.withColumn(row, F.col("doc_id").cast("long"))
     else:
         # A total order of all rows: the numbers given to the sorted partitions ascend with it.
-        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("_row")]
-        rows = documents.withColumn("_row", F.monotonically_increasing_id()).orderBy(*order)
-        numbered = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    places = repeated_chunks(numbered, "_row", min_words, together).select(F.col("row").alias("_of"), F.col("places").alias("_places"))
-    joined = numbered.join(places, F.col("_row") == F.col("_of"), "left").drop("_row", "_of")
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col(row)]
+        rows = documents.withColumn(row, F.monotonically_increasing_id()).orderBy(*order)
+        numbered = materialise(rows.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    places = repeated_chunks(numbered, row, min_words, together).select(F.col("row").alias(of), F.col("places").alias(listed_in))
+    joined = numbered.join(places, F.col(row) == F.col(of), "left").drop(row, of)
     columns = documents.columns
     wide = min_words + 1
     spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -203,7 +198,7 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS, together: boo
                 repeated = np.zeros(len(found["row"]), bool)
                 edges = np.zeros(len(repeated) + 1, np.int64)
                 begin = np.searchsorted(found["row"], np.arange(part.num_rows + 1))
-                listed = part.column("_places")
+                listed = part.column(listed_in)
                 for i in np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False)):
                     place = np.asarray(listed[i].values).view(np.uint32).astype(np.int64)
                     first, n = begin[i] + place // wide, place % wide
@@ -240,9 +235,9 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS, together: boo
                     words = found["words"][a:b]
                     reports.append({"n_words": int(words.sum()), "n_chunks": int(b - a), "repeated_chunks": int(repeated[a:b].sum()), "removed_words": int(words[mine].sum()), "removed": spans_out})
                 arrays = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(reports, kind)], [*columns, "_cut"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(reports, kind)], [*columns, report])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + f", _cut {REPORT}"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + f", `{report}` {REPORT}"
     return joined.mapInArrow(work, schema)
 
 

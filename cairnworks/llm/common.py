@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -67,6 +68,25 @@ def materialise_by(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
     return spark.table(table)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns: the given ones, with underscores added where df has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def digest_key(spark: SparkSession) -> int:
+    """The key of this session's digests, drawn once: the driver hands it to tasks, so a task that runs again makes the same digests."""
+    name = "cairnworks.digest.key"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(secrets.randbits(63)))
+    return int(spark.conf.get(name))
+
+
 def pieces(spark: SparkSession) -> int:
     """How many shuffle partitions the session asks for; explicit repartitions follow it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnworks.llm.common import WORD, materialise
+from cairnworks.llm.common import WORD, free_names, materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -96,16 +96,21 @@ def mix_plan(documents: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_
 def mixed_documents(documents: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: every row of documents as often as the plan takes it, with all its columns.
 
-    Rows are told apart by a hash of doc_id, source and text; rows that are alike in these share their plan rows' copies evenly.
+    Rows are told apart by a hash of doc_id, source and text; rows that are alike in these share their plan rows' copies evenly, the
+    rest going to those of least hash over all columns, and only they are numbered.
     """
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), F.col("_tie"))
-    plan = _planned(documents, weights, budget, max_epochs, seed).groupBy(key.alias("_of")).agg(F.sum("_copies").cast("long").alias("_all"), F.count("*").alias("_alike"))
-    rows = documents.withColumn("_tie", F.xxhash64("text")).withColumn("_key", key).drop("_tie")
-    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    rows = rows.join(plan, F.col("_key") == F.col("_of"))
-    copies = F.floor(F.col("_all") / F.col("_alike")) + (F.col("_number") <= F.col("_all") % F.col("_alike")).cast("long")
-    rows = rows.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[documents[c] for c in documents.columns])
+    names = ("key", "of", "all", "alike", "number", "copies", "copy")
+    key, of, all_, alike, number, copies, copy = free_names(documents, *(f"_{n}" for n in names))
+    digest = lambda tie: F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), tie)
+    plan = _planned(documents, weights, budget, max_epochs, seed).groupBy(digest(F.col("_tie")).alias(of)).agg(F.sum("_copies").cast("long").alias(all_), F.count("*").alias(alike))
+    rows = documents.withColumn(key, digest(F.xxhash64("text"))).join(plan.filter(F.col(all_) > 0), F.col(key) == F.col(of))
+    single = rows.filter(F.col(alike) == 1).withColumn(number, F.lit(1))
+    order = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in documents.columns))
+    several = rows.filter(F.col(alike) > 1).withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    rows = single.unionByName(several)
+    share = F.floor(F.col(all_) / F.col(alike)) + (F.col(number) <= F.col(all_) % F.col(alike)).cast("long")
+    rows = rows.withColumn(copies, share.cast("int")).filter(F.col(copies) > 0)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

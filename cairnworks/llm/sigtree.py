@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnworks.llm.bytetext import mix, shingle_sets, slices, texts_of
-from cairnworks.llm.common import materialise, pieces, read
+from cairnworks.llm.common import digest_key, free_names, materialise, pieces, read
 from cairnworks.llm.components import components
 
 WIDTH = 5
@@ -71,12 +71,14 @@ def _slot(s: np.ndarray) -> np.ndarray:
 def document_sets(documents: DataFrame) -> DataFrame:
     """A row for each document (doc_id, n, key), and rows (chunk, counts) with slot counts of distinct sets."""
 
+    digests = digest_key(documents.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "key", "chunk", "counts"]
         counts, seen = np.zeros(1 << SLOT_BITS, np.int64), set()
         for batch in batches:
             for part in slices(batch):
-                sets = shingle_sets(*texts_of(part.column("text")), WIDTH)
+                sets = shingle_sets(*texts_of(part.column("text")), WIDTH, digests)
                 keys = [_key(s) for s in sets]
                 new = []
                 for key, s in zip(keys, sets, strict=True):
@@ -130,6 +132,8 @@ def candidate_groups(documents: DataFrame, counts: np.ndarray) -> DataFrame:
     held = spark.sparkContext.broadcast(counts.astype(np.uint32))  # a fixed 1 MB
     heavy = max(HEAVY, 8 * int(counts.mean()))
 
+    digests = digest_key(documents.sparkSession)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         rows: list[np.ndarray] = []
@@ -146,7 +150,7 @@ def candidate_groups(documents: DataFrame, counts: np.ndarray) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch):
-                for s in shingle_sets(*texts_of(part.column("text")), WIDTH):
+                for s in shingle_sets(*texts_of(part.column("text")), WIDTH, digests):
                     n = len(s)
                     key = _key(s)
                     if not n or key in seen:
@@ -272,10 +276,12 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
     centre = places.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), F.lit(False).alias("member"))
     routes = member.union(centre).groupBy("key").agg(F.collect_list(F.struct("a", "salt", "member")).alias("routes"))
 
+    digests = digest_key(documents.sparkSession)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = shingle_sets(*texts_of(part.column("text")), WIDTH)
+                sets = shingle_sets(*texts_of(part.column("text")), WIDTH, digests)
                 rows = [(r["a"], r["salt"], r["member"], k, packed_set(s)) for s, k, routed in zip(sets, part.column("key").to_pylist(), part.column("routes").to_pylist(), strict=True) if _key(s) == k for r in routed]
                 for i in range(0, len(rows), 200):
                     a, salt, is_member, key, held = zip(*rows[i : i + 200], strict=True)
@@ -481,11 +487,13 @@ def tree_links(rows: DataFrame, classes: DataFrame, documents: DataFrame) -> Dat
     """(a, b) links between different components of the families of rows(family, i, j, key, label)."""
     places = rows.groupBy("key").agg(F.collect_list(F.struct("family", "i", "j", "label")).alias("routes"))
 
+    digests = digest_key(documents.sparkSession)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"family": pa.int64(), "i": pa.int32(), "j": pa.int32(), "key": pa.int64(), "label": pa.int64(), "held": pa.binary()}
         for batch in batches:
             for part in slices(batch):
-                sets = shingle_sets(*texts_of(part.column("text")), WIDTH)
+                sets = shingle_sets(*texts_of(part.column("text")), WIDTH, digests)
                 for s, key, routes in zip(sets, part.column("key").to_pylist(), part.column("routes").to_pylist(), strict=True):
                     if _key(s) != key:
                         continue
@@ -561,23 +569,26 @@ def keep_one(documents: DataFrame) -> DataFrame:
     Where rows share a doc_id, each component that they belong to keeps one of them (of least set key, then of least
     hash of the row), and rows with an empty set all stay, as do rows without a doc_id.
     """
-    kept = materialise(classed_rows(documents).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "root"), "kept")
-    shared = kept.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id")
-    rows = documents.join(kept.select("_id"), documents["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    id_, key, root, own, place = free_names(documents, "_id", "_key", "_root", "_own", "_place")
+    kept = classed_rows(documents).filter("doc_id = component_id or doc_id is null")
+    kept = materialise(kept.select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("root").alias(root)), "kept")
+    shared = kept.filter(F.col(id_).isNotNull()).groupBy(id_).agg(F.count("*").alias(place)).filter(F.col(place) > 1).select(id_)
+    rows = documents.join(kept.select(id_), documents["doc_id"].eqNullSafe(F.col(id_)), "left_semi")
     if shared.isEmpty():
         return rows
     shared = materialise(shared, "shared")
-    alone = rows.join(shared, F.col("doc_id") == F.col("_id"), "left_anti")
+    alone = rows.join(shared, F.col("doc_id") == F.col(id_), "left_anti")
     columns, schema = documents.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    digests = digest_key(documents.sparkSession)
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                keys = [_key(s) for s in shingle_sets(*texts_of(part.column("text")), WIDTH)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], [*part.schema.names, "_own"])
-
-    several = rows.join(shared, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(with_key, f"{schema}, _own long")
-    several = several.join(kept.distinct(), (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_key")))
-    first = Window.partitionBy("doc_id", "root").orderBy("_own", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
-    several = several.withColumn("_place", F.when(F.col("root").isNull(), 1).otherwise(F.row_number().over(first)))
-    return alone.unionByName(several.filter("_place = 1").select(*[F.col(f"`{c}`") for c in columns]))
+                keys = [_key(s) for s in shingle_sets(*texts_of(part.column("text")), WIDTH, digests)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], [*part.schema.names, own])
+
+    several = rows.join(shared, F.col("doc_id") == F.col(id_), "left_semi").mapInArrow(with_key, f"{schema}, `{own}` long")
+    several = several.join(kept.distinct(), (F.col("doc_id") == F.col(id_)) & (F.col(own) == F.col(key)))
+    first = Window.partitionBy("doc_id", root).orderBy(own, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
+    several = several.withColumn(place, F.when(F.col(root).isNull(), 1).otherwise(F.row_number().over(first)))
+    return alone.unionByName(several.filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in columns]))

@@ -108,3 +108,9 @@ def test_rows_of_one_id_keep_one_of_each_component(spark):
     rows = [(1, a, "x"), (1, b, "y"), (1, a, "z"), (2, b, "u"), (3, a, "v"), (4, "", "w"), (4, None, "w")]
     kept = sigtree.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, a), (1, b), (4, ""), (4, "")]
+
+
+def test_words_in_thue_morse_order_do_not_link(spark):
+    words = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(n)) for n in (1024, 2048) for flip in (0, 1)]
+    rows = sigtree.jaccard_components(spark.createDataFrame(list(enumerate([*words, words[0]])), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}

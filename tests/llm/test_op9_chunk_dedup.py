@@ -1,3 +1,5 @@
+import pytest
+
 from cairnworks.llm import chunk_dedup
 from tests.llm.brute import cut_passages
 
@@ -70,7 +72,6 @@ def test_every_chunk_of_a_repeated_passage_goes():
     for _ in range(300):
         words = rng.choice([1, 2, 5, 15, 20], rng.integers(1, 12))
         found = {"row": np.zeros(len(words), np.int64), "words": words, "digest": rng.integers(1, 2**63, len(words), dtype=np.uint64)}
-        chunk_dedup.Rolling(np.zeros(100, np.uint8))
         first, size, digest = chunk_dedup.windows(found, 16)
         assert all(words[a : a + n].sum() >= 16 and n <= 16 for a, n in zip(first, size, strict=True))
         assert len(set(zip(first, size, strict=True))) == len(first) == len(set(digest))
@@ -106,3 +107,34 @@ def test_odd_rows_together(odd, empty):
     rows = chunk_dedup.deduplicated(odd, together=True).collect()
     assert len(rows) == odd.count() and sorted(len(r["text"]) > 0 for r in rows if r["doc_id"] == 9) == [False, True]
     assert chunk_dedup.deduplicated(empty, together=True).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_words_in_thue_morse_order_stay(spark):
+    """Words that agree under any polynomial modulo 2^64: nothing of two texts without a common word goes."""
+    lines = [" ".join(thue_morse(n, *pair) for n in range(1024, 1044)) for pair in ("ab", "ba")]
+    rows = chunk_dedup.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), together=True).collect()
+    assert all(r["text"] == lines[r["doc_id"]] and r["_cut"]["removed_words"] == 0 for r in rows)
+    again = chunk_dedup.deduplicated(spark.createDataFrame(list(enumerate([*lines, lines[0]])), "doc_id long, text string"), together=True).collect()
+    assert [r["text"] == "" for r in sorted(again, key=lambda r: r["doc_id"])] == [False, False, True]
+
+
+@pytest.mark.parametrize("key", [0, 5])
+def test_digests_equal_plain_arithmetic(key):
+    import numpy as np
+
+    from cairnworks.llm.bytetext import PRIME, Digests, mix
+
+    d = Digests(key)
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 5000, dtype=np.uint8)
+    start = rng.integers(0, 4000, 200)
+    end = start + rng.integers(1, 900, 200)
+    value = lambda items: sum(int(v) * pow(d._point, i, PRIME) for i, v in enumerate(items)) % PRIME
+    mixed = lambda v, n: int(mix(np.array([v ^ (n << 61) & (1 << 64) - 1], np.uint64))[0])
+    assert d.of_bytes(data, start, end, exact=True).tolist() == [mixed(value(data[a:b].astype(int) + 1), int(b - a)) for a, b in zip(start, end, strict=True)]
+    rows = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    assert d.of_rows(rows, start, end - start).tolist() == [mixed(value(int(x) % PRIME for x in rows[a:b]), int(b - a)) for a, b in zip(start, end, strict=True)]

@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from cairnworks.llm import mixing, sigtree
 from cairnworks.llm.common import materialise
@@ -37,3 +39,21 @@ def test_empty_table(spark, empty):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SMALL), f"empty-{name}")
     assert docs.count() == 0
+
+
+HELPERS = "_row _of _places _cut _copies _key _number _tie _all _alike _copy _id _own _root root _place _bucket row places key text_ size a b".split()
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_helper_names_as_extra_columns(spark, repeat):
+    """Each stage keeps columns of any name, also where rows share a doc_id."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    rows = [(1, text, "en", "s", 1), (1 if repeat else 2, text + " more words here", "en", "s", 1), (3, "alpha beta", "en", None, 1), (4, None, None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"'{n}' as `{n}`" for n in HELPERS))
+    held = [r["doc_id"] for r in docs.collect()]
+    for stage in (corpus_pipeline.one_of_each_group, corpus_pipeline.without_repeated_passages, corpus_pipeline.mixed):
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and {r["doc_id"] for r in found} <= set(held)
+        assert all(r[n] == n for r in found for n in HELPERS)
