@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnworks.llm import chunk_dedup, mixing, sentencepiece_backend, sigtree, toxicity
-from cairnworks.llm.common import WORD, materialise, read
+from cairnworks.llm.common import WORD, free_names, materialise, read
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages that stand in an earlier one; those left without words go."""
-    cut = chunk_dedup.deduplicated(docs, together=True)
-    rows = cut.filter((F.col("_cut.removed_words") == 0) | F.col("text").rlike(WORD))
-    return rows.withColumn("n_chars", F.when(F.col("_cut.removed_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).drop("_cut")
+    (report,) = free_names(docs, "_cut")
+    cut = chunk_dedup.deduplicated(docs, together=True, report=report)
+    removed = F.col(f"{report}.removed_words")
+    rows = cut.filter((removed == 0) | F.col("text").rlike(WORD))
+    return rows.withColumn("n_chars", F.when(removed > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).drop(report)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
