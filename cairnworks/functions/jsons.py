@@ -15,8 +15,11 @@ def variant(text: Column) -> Column:
 
 
 def _at(value: Column, key: str) -> Column:
-    escaped = key.replace("\\", "\\\\").replace("'", "\\'")
-    return F.variant_get(value, f"$['{escaped}']", "variant")
+    # A path has no escapes: a key with both quotes is looked up in a map.
+    for quote in "'\"":
+        if quote not in key:
+            return F.try_variant_get(value, f"$[{quote}{key}{quote}]", "variant")
+    return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(key))
 
 
 def _kind(value: Column) -> Column:
@@ -49,15 +52,15 @@ def contains(value: Column, wanted) -> Column:
 
 
 def _contains(value: Column, wanted, top: bool) -> Column:
-    true = F.lit(True)
     if isinstance(wanted, dict):
         parts = [F.coalesce(_contains(_at(value, k), w, False), F.lit(False)) for k, w in wanted.items()]
         return functools.reduce(Column.__and__, parts, _kind(value).startswith("OBJECT"))
     if isinstance(wanted, list):
         elements = F.try_variant_get(value, "$", "array<variant>")
-        parts = [F.coalesce(F.exists(elements, lambda e, w=w: _contains(e, w, False)), F.lit(False)) for w in wanted]
+        some = lambda w: F.exists(elements, lambda e: _contains(e, w, False))
+        parts = [F.coalesce(some(w), F.lit(False)) for w in wanted]
         return functools.reduce(Column.__and__, parts, _kind(value).startswith("ARRAY"))
     if not top:
         return _equals(value, wanted)
     inside = F.exists(F.try_variant_get(value, "$", "array<variant>"), lambda e: _equals(e, wanted))
-    return _equals(value, wanted) | F.coalesce(F.when(_kind(value).startswith("ARRAY"), inside), ~true)
+    return _equals(value, wanted) | F.coalesce(F.when(_kind(value).startswith("ARRAY"), inside), F.lit(False))

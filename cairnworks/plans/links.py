@@ -25,7 +25,7 @@ def customer_projects(t: Tables) -> DataFrame:
     """A project for each customer: named after a ridge of its segment and balance, with a phase for some."""
     c = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
     k, kind = F.col("c_custkey"), F.col("c_custkey") % 5
-    base = F.concat("c_mktsegment", F.lit(" Ridge "), F.floor(F.col("c_acctbal") / 5000).cast("string"))
+    base = F.concat(F.replace("c_mktsegment", F.lit("BUILDING"), F.lit("TIMBER")), F.lit(" Ridge "), F.floor(F.col("c_acctbal") / 5000).cast("string"))
     name = F.when(kind == 0, base).when(kind == 1, F.concat(F.lit("Plat of "), base)).when(kind == 2, F.concat(F.lit("X-1 – "), base, F.lit(", Phase #"), (k % 9).cast("string"))).when(kind == 3, F.concat(base, F.lit(" Lot 7"))).otherwise("Tenant Improvement")
     return c.select(
         k.alias("project"), name.alias("name"), F.col("r_name").alias("county"), F.when(k % 3 == 0, F.array(F.concat(F.lit("P"), (k % 401).cast("string")))).alias("parcels"), F.when(k % 4 == 0, F.array((k % 53).cast("string"))).alias("org_ids"),
@@ -34,7 +34,7 @@ def customer_projects(t: Tables) -> DataFrame:
     )
 
 
-@query(f"""WITH p AS (SELECT c_custkey AS project, r_name AS county, c_mktsegment || ' RIDGE ' || floor(c_acctbal / 5000)::BIGINT AS raw, c_custkey % 5 AS kind, CASE WHEN c_custkey % 3 = 0 THEN 'P' || c_custkey % 401 END AS parcel, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 53 END AS org,
+@query(f"""WITH p AS (SELECT c_custkey AS project, r_name AS county, replace(c_mktsegment, 'BUILDING', 'TIMBER') || ' RIDGE ' || floor(c_acctbal / 5000)::BIGINT AS raw, c_custkey % 5 AS kind, CASE WHEN c_custkey % 3 = 0 THEN 'P' || c_custkey % 401 END AS parcel, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 53 END AS org,
 CASE WHEN c_custkey % 7 > 0 THEN -122.0 + (c_custkey * 37 % 40) * 0.002 END::DOUBLE AS lon, CASE WHEN c_custkey % 7 > 0 THEN 47.0 + (c_custkey * 91 % 25) * 0.002 END::DOUBLE AS lat, CASE WHEN c_custkey % 31 = 0 THEN 'D' || c_custkey END AS had, CASE WHEN c_custkey % 37 = 0 THEN -1 END AS own_parent
 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey), m AS (SELECT *, replace(raw, '-', ' ') AS b0 FROM p WHERE kind < 4), n AS (SELECT *, trim(regexp_replace(b0, ' +', ' ', 'g')) AS base, kind <= 1 AS is_base FROM m),
 g AS (SELECT county, base, count(*) AS members, min(had) AS had, min(project) AS first_seen, max(project) + 5 AS last_seen, count(*) FILTER (is_base) AS n_base, max(project) FILTER (is_base) AS top FROM n GROUP BY 1, 2 HAVING count(*) > 1),
@@ -110,7 +110,7 @@ def person_matches(t: Tables) -> DataFrame:
 
 @query("""WITH o AS (SELECT s_suppkey AS owner, (s_suppkey % 80) || ' MAIN ST ' || (98000 + s_suppkey % 80 % 3) AS k FROM supplier), u AS (SELECT k, min(owner) AS owner FROM o GROUP BY 1 HAVING min(owner) = max(owner)),
 w AS (SELECT c_custkey AS key, (c_custkey % 120) || ' MAIN ST' AS street, ' ' || (98000 + c_custkey % 120 % 3) AS zip, c_custkey % 5 AS kind FROM customer),
-l AS (SELECT key, 0 AS rank, street || CASE kind WHEN 0 THEN '' WHEN 1 THEN ' OLYMPIA' WHEN 2 THEN ' E BAY' WHEN 3 THEN ' 210' ELSE ' OLYMPIA' END || zip AS k FROM w WHERE kind <> 4 UNION ALL SELECT key, 1, street || zip FROM w WHERE kind IN (1, 3) UNION ALL SELECT key, 1, street || ' E' || zip FROM w WHERE kind = 2
+l AS (SELECT key, 0 AS rank, street || CASE kind WHEN 0 THEN '' WHEN 1 THEN ' OLYMPIA' WHEN 2 THEN ' E BAY' WHEN 3 THEN ' 210' ELSE ' OLYMPIA' END || zip AS k FROM w WHERE kind <> 4 UNION ALL SELECT key, 1, street || zip FROM w WHERE kind IN (1, 3) UNION ALL SELECT key, 1, street || ' E' || zip FROM w WHERE kind = 2 UNION ALL SELECT key, 2, street || zip FROM w WHERE kind = 2
 UNION ALL SELECT key, 0, street || zip FROM w WHERE kind = 4)
 SELECT key, arg_min(owner, rank) AS owner, min(rank)::INT AS rank, arg_min(k, rank) AS address_key FROM l JOIN u USING (k) GROUP BY 1""")
 def address_bindings(t: Tables) -> DataFrame:
