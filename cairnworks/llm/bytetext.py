@@ -50,12 +50,12 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data, ends - ends[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLICE_BYTES of text; a longer text comes alone."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `size` bytes of text; a longer text comes alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     begin = held = 0
     for i, n in enumerate(sizes):
-        if i > begin and held + n > SLICE_BYTES:
+        if i > begin and held + n > size:
             yield batch.slice(begin, i - begin)
             begin, held = i, 0
         held += n
@@ -143,7 +143,7 @@ class Digests:
 
     def _ready(self, n: int) -> None:
         if len(self._powers) < n:
-            n = max(n, SLICE_BYTES + 1)
+            n = 1 << (n - 1).bit_length()
             for name, point in (("_powers", self._point), ("_inverses", pow(self._point, -1, PRIME))):
                 table = np.ones(n, np.uint64)
                 done = 1
@@ -161,10 +161,14 @@ class Digests:
         """Of byte ranges (A-Z lower-cased unless `exact`)."""
         n = len(data)
         self._ready(n + 1)
-        values = (data if exact else _LOWER[data]).astype(np.uint64) + np.uint64(1)
+        values = (data if exact else _LOWER[data]).astype(np.uint16) + np.uint16(1)
         high, low = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
-        np.cumsum((self._powers[:n] >> _31) * values, out=high[1:])
-        np.cumsum((self._powers[:n] & _LOW31) * values, out=low[1:])
+        # In place: these are the largest arrays of a task.
+        np.right_shift(self._powers[:n], _31, out=high[1:])
+        np.bitwise_and(self._powers[:n], _LOW31, out=low[1:])
+        for half in (high[1:], low[1:]):
+            half *= values
+            np.cumsum(half, out=half)
         return self._ranges(high, low, start, end)
 
     def of_rows(self, digests: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:

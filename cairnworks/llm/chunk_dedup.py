@@ -33,6 +33,8 @@ CUT_BITS, CUT_SHIFT = 2, 13
 MAX_WORDS = 64
 MIN_WORDS = 16
 WARM = 32  # bytes of a text before the hash is its own
+#: Bytes of text that are worked on at once: chunks take several numbers for each byte.
+SLICE = 1 << 18
 #: A task combines and sends its chunks whenever it holds so many.
 HOLD = 400_000
 _GEAR = np.random.default_rng(31).integers(0, 2**32, 256, dtype=np.uint32)
@@ -128,7 +130,7 @@ def repeated_chunks(documents: DataFrame, row: str, min_words: int = MIN_WORDS,
             return pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "digest", "row", "place"])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 found = chunks(*texts_of(part.column("text")), key)
                 first, n, digest = windows(found, min_words, key) if together else _NONE
                 made = np.empty(len(found["row"]) + len(first), _CHUNK)
@@ -192,7 +194,7 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS, together: boo
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 data, offsets = texts_of(part.column("text"))
                 found = chunks(data, offsets)
                 repeated = np.zeros(len(found["row"]), bool)
