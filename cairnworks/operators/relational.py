@@ -36,32 +36,52 @@ def page(df: DataFrame, order: Sequence[Column], size: int, number: int = 0) ->
 def effective_at(facts: DataFrame, versions: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
     """Each fact with the version in force at its time: start <= at < end (open if null), the latest start winning.
 
-    `facts` needs no unique key: the version is chosen for each distinct (key, at) and joined back.
+    Facts and versions of a key are put in one order of time, and a fact looks at the last version before it: n log n for a key, whatever it
+    holds of both. That is the version in force unless it has ended while an older one goes on; keys with such nested versions are
+    found by a running maximum of the ends and joined by range. `facts` needs no unique key: the version is chosen for each distinct (key, at).
     """
-    points = facts.select(key, at).distinct()
-    held = points.join(versions, key).filter((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(end) > F.col(at))))
     columns = [c for c in versions.columns if c != key]
-    chosen = held.groupBy(key, at).agg(F.max_by(F.struct(*columns), F.struct(F.col(start), F.to_json(F.struct(*columns)))).alias("_version"))
-    return facts.join(chosen, [key, at], "left").select(*facts.columns, *(F.col("_version")[c].alias(c) for c in columns if c not in facts.columns))
+    points = facts.select(F.col(key).alias("_k"), F.col(at).alias("_at")).filter("_k is not null and _at is not null").distinct()
+    held = versions.filter(F.col(key).isNotNull() & F.col(start).isNotNull())
+    ended = F.struct(F.col(end).isNull().alias("open"), F.col(end).alias("end"))  # an open end comes after all others
+    held = held.select(F.col(key).alias("_k"), F.col(start).alias("_at"), F.struct(*columns).alias("_version"), F.to_json(F.struct(*columns)).alias("_tie"), ended.alias("_ended"))
+    before = Window.partitionBy("_k").orderBy("_at", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    nested = held.withColumn("_longest", F.max("_ended").over(before)).filter(F.col("_longest") > F.col("_ended")).select("_k").distinct()
+    alive = lambda e, t: F.col(e)["open"] | (F.col(e)["end"] > F.col(t))
+
+    flat, flat_points = held.join(nested, "_k", "left_anti"), points.join(nested, "_k", "left_anti")
+    either = flat.withColumn("_fact", F.lit(0)).unionByName(flat_points.withColumn("_fact", F.lit(1)), allowMissingColumns=True)
+    so_far = Window.partitionBy("_k").orderBy("_at", "_fact", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    seen = either.withColumn("_last", F.last(F.when(F.col("_fact") == 0, F.struct("_version", "_ended")), ignorenulls=True).over(so_far)).filter("_fact = 1")
+    chosen = seen.filter(alive("_last._ended", "_at")).select("_k", "_at", F.col("_last._version").alias("_version"))
+
+    met = points.join(nested, "_k", "left_semi").join(held.withColumnRenamed("_at", "_start"), "_k").filter((F.col("_start") <= F.col("_at")) & alive("_ended", "_at"))
+    chosen = chosen.union(met.groupBy("_k", "_at").agg(F.max_by("_version", F.struct("_start", "_tie"))))
+    joined = facts.join(chosen.withColumnRenamed("_at", "_t"), (F.col(key) == F.col("_k")) & (F.col(at) == F.col("_t")), "left")
+    return joined.select(*(facts[c] for c in facts.columns), *(F.col("_version")[c].alias(c) for c in columns if c not in facts.columns))
 
 
 def within_distance(left: DataFrame, right: DataFrame, metres: float, distance, same: Sequence[str] = ()) -> DataFrame:
     """Pairs of rows (columns lon, lat on both sides, suffixed by the caller) at most `metres` apart.
 
     Rows meet by grid cell: the cell height is the distance in latitude, and a left row looks into the 3 x 3 cells
-    around its own, whose width fits the band's latitude; so the join is an equi-join, however many rows there are.
-    left has l_lon, l_lat, right r_lon, r_lat; `same` lists columns that both share and that must be equal.
+    around its own, whose width fits the band's latitude; the columns of a band run around the globe. So the join is
+    an equi-join, however many rows there are. left has l_lon, l_lat, right r_lon, r_lat; `same` lists columns that both share and that must be equal.
     """
     step = metres / 111_194.0
 
-    def column(lon: Column, row: Column) -> Column:
+    def columns(row: Column) -> Column:
         # One width for each latitude band; neighbouring bands may have others, so a left row asks for each band's own.
         widest = F.greatest(F.cos(F.radians(F.least(F.abs(row) + 1, F.lit(89.9) / step) * step)), F.lit(0.01))
-        return F.floor(lon / (F.lit(step) / widest)).cast("long")
+        return F.greatest(F.floor(F.lit(360.0) * widest / step).cast("long"), F.lit(1))
+
+    def column(lon: Column, row: Column) -> Column:
+        return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * columns(row)).cast("long"), columns(row) - 1)
 
     band = lambda lat: F.floor(lat / step).cast("long")
     a = left.withColumn("_row", F.explode(F.array(*(band(F.col("l_lat")) + d for d in (-1, 0, 1)))))
-    a = a.withColumn("_cell", F.explode(F.array(*(column(F.col("l_lon"), F.col("_row")) + d for d in (-1, 0, 1)))))
+    around = F.array_distinct(F.array(*(F.pmod(column(F.col("l_lon"), F.col("_row")) + d, columns(F.col("_row"))) for d in (-1, 0, 1))))
+    a = a.withColumn("_cell", F.explode(around))
     b = right.withColumn("_row", band(F.col("r_lat"))).withColumn("_cell", column(F.col("r_lon"), F.col("_row")))
     met = a.join(b, ["_row", "_cell", *same]).withColumn("metres", distance(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat")))
     return met.filter(F.col("metres") <= metres).drop("_row", "_cell")
@@ -114,11 +134,89 @@ def versioned(history: DataFrame, new: DataFrame, key: str, content: str) -> Dat
 
 
 def coverage(groups: DataFrame, size: str, tie: str, shares: Sequence[float]) -> DataFrame:
-    """(share, groups_needed): how many of the largest groups cover each share of all. groups is a small aggregate."""
-    w = Window.orderBy(F.col(size).desc(), tie)
-    run = groups.select(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"), F.row_number().over(w).alias("_place"), F.sum(size).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
-    wanted = run.select("_run", "_place", "_all", F.explode(F.array(*map(F.lit, shares))).alias("share"))
-    return wanted.filter(F.col("_run") >= F.col("share") * F.col("_all")).groupBy("share").agg(F.min("_place").cast("long").alias("groups_needed"))
+    """(share, groups_needed): how many of the largest groups cover each share of all.
+
+    Groups of one size are counted together; sizes are summed in ranges between powers of two, of which there are 64 at most, and within
+    a range in their order, so nothing sorts all groups and no range is larger than the sizes in it. Ties of size change nothing.
+    """
+    sizes = groups.filter(F.col(size).isNotNull()).groupBy(F.col(size).alias("s")).agg(F.count("*").alias("m")).withColumn("range", F.floor(F.log2(F.greatest(F.col("s").cast("double"), F.lit(1.0)))).cast("int"))
+    ranges = sizes.groupBy("range").agg(F.sum(F.col("s") * F.col("m")).alias("mass"), F.sum("m").alias("count"))
+    above = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)  # 64 rows at most
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    ranges = ranges.select("range", zero(F.sum("mass").over(above)).alias("mass_above"), zero(F.sum("count").over(above)).alias("count_above"), F.sum("mass").over(every).alias("_all"))
+    inside = Window.partitionBy("range").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    run = sizes.withColumns({"mass_inside": zero(F.sum(F.col("s") * F.col("m")).over(inside)), "count_inside": zero(F.sum("m").over(inside))}).join(F.broadcast(ranges), "range")
+    run = run.select("s", "m", "_all", (F.col("mass_above") + F.col("mass_inside")).alias("before"), (F.col("count_above") + F.col("count_inside")).alias("places"))
+    wanted = run.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("target", F.col("share") * F.col("_all"))
+    # The first k groups of this size that reach the target, corrected for rounding.
+    k = F.ceil((F.col("target") - F.col("before")) / F.nullif(F.col("s"), F.lit(0)))
+    reach = lambda n: F.col("before") + n * F.col("s") >= F.col("target")
+    k = F.greatest(F.coalesce(F.when(reach(k - 1), k - 1).when(reach(k), k).otherwise(k + 1), F.lit(1)), F.lit(1))
+    met = wanted.filter(reach(F.col("m"))).select("share", (F.col("places") + k).cast("long").alias("n"))
+    return met.groupBy("share").agg(F.min("n").alias("groups_needed"))
+
+
+#: Rank error of a percentile sketch is 1 in this; groups of fewer rows than SMALL are ranked whole.
+ACCURACY, SMALL = 2000, 20_000
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: Column, shares: Sequence[float], names: Sequence[str] | None = None, small: int = SMALL) -> DataFrame:
+    """(keys, n, one column a share): interpolated percentiles of the values that are not null, exact, by selection.
+
+    A sketch brackets each wanted rank; what lies below a bracket is counted, and only distinct values inside are ranked. So no
+    buffer holds the values of a group: of a large one, a few in ACCURACY come together in one place for each share. Keys compare with nulls equal.
+    """
+    names = names or [f"p{round(p * 100)}" for p in shares]
+    whole = list(keys) or ["_one"]
+    rows = df.select(*(F.col(k) for k in keys), value.cast("double").alias("_v")).filter("_v is not null")
+    rows = rows if keys else rows.withColumn("_one", F.lit(1))
+    slack = 3 / ACCURACY
+    edges = [x for p in shares for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    stats = rows.groupBy(*whole).agg(F.count("*").alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_edges"))
+    stats = stats.select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(whole)), "_n", "_edges")
+    on = F.lit(True)
+    for i, k in enumerate(whole):
+        on = on & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    both = rows.join(stats, on)
+    low = lambda j: F.when((F.col("_n") > small) & F.lit(edges[2 * j] > 0), F.get("_edges", F.lit(2 * j)))
+    high = lambda j: F.when((F.col("_n") > small) & F.lit(edges[2 * j + 1] < 1), F.get("_edges", F.lit(2 * j + 1)))
+    marks = F.array(*(F.struct(F.lit(j).alias("j"), F.when(F.col("_v") < low(j), "below").when(F.col("_v") > high(j), "above").otherwise("in").alias("side")) for j in range(len(shares))))
+    placed = both.select(*whole, "_n", "_v", F.explode(F.filter(marks, lambda x: x["side"] != "above")).alias("m")).select(*whole, "_n", "m.j", F.when(F.col("m.side") == "in", F.col("_v")).alias("_v"))
+    counted = placed.groupBy(*whole, "_n", "j", "_v").agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*whole, "j").orderBy(F.col("_v").asc_nulls_first())  # what lies below a bracket is one row, the first
+    run = counted.withColumn("_run", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("_v is not null")
+    place = F.element_at(F.array(*map(F.lit, shares)), F.col("j") + 1) * (F.col("_n") - 1)
+    reach = lambda rank: F.min(F.when(F.col("_run") > rank, F.col("_v")))
+    found = run.groupBy(*whole, "_n", "j").agg(reach(F.floor(place)).alias("a"), reach(F.ceil(place)).alias("b"))
+    between = F.col("a") * (F.ceil(place) - place) + F.col("b") * (place - F.floor(place))
+    found = found.select(*whole, "_n", "j", F.when(F.ceil(place) == F.floor(place), F.col("a")).otherwise(between).alias("p"))
+    return found.groupBy(*whole).agg(F.max("_n").alias("n"), *(F.max(F.when(F.col("j") == j, F.col("p"))).alias(name) for j, name in enumerate(names))).select(*keys, "n", *names)
+
+
+def similar_pairs(df: DataFrame, key: str, tokens: str, least: float, same: Sequence[str] = ()) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of equal `same` columns whose distinct tokens have a Jaccard of `least` or more.
+
+    Two sets of that likeness share one of the first n - ceil(least n) + 1 tokens of each in any one order, rare tokens first; they meet by
+    these, never as all pairs of a group.
+    """
+    rows = df.select(F.col(key).alias("id"), *same, F.array_distinct(tokens).alias("t")).withColumn("n", F.size("t")).filter("n > 0")
+    each = rows.select("id", *same, "n", F.explode("t").alias("token"))
+    rare = each.groupBy(*same, "token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    first = each.join(rare, [*same, "token"]).withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    left, right = (first.select(*same, "token", F.col("id").alias(x), F.col("n").alias(f"{x}_n")) for x in "ab")
+    met = left.join(right, [*same, "token"]).filter((F.col("a") < F.col("b")) & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(least) - 1e-9)).select("a", "b").distinct()
+    sets = lambda x: rows.select(F.col("id").alias(x), F.col("t").alias(f"{x}_t"))
+    common = F.size(F.array_intersect("a_t", "b_t"))
+    pairs = met.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", (common / (F.size("a_t") + F.size("b_t") - common)).alias("similarity"))
+    return pairs.filter(F.col("similarity") >= least)
+
+
+def least_of(df: DataFrame, keys: Sequence[str], column: str, k: int, name: str) -> DataFrame:
+    """(keys, name): the k least values of a column in each group, as a sorted array; each task passes on k rows of a group at most."""
+    ranked = df.select(*keys, column).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(column))).filter(F.col("_place") <= k)
+    return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(column)).alias(name))
 
 
 def unpivot_numbers(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -128,8 +226,10 @@ def unpivot_numbers(df: DataFrame, key: str, columns: Sequence[str]) -> DataFram
 
 def contradictions(values: DataFrame, key: str, ratio: float = 1.25) -> DataFrame:
     """(key, field) whose numbers differ by more than the ratio: values(key, field, number)."""
-    found = values.groupBy(key, "field").agg(F.count_distinct("number").alias("n_values"), F.min("number").alias("least"), F.max("number").alias("most"))
-    return found.filter((F.col("n_values") > 1) & (F.col("most") > F.col("least") * ratio))
+    # Distinct values are counted for the fields that differ only.
+    apart = values.groupBy(key, "field").agg(F.min("number").alias("least"), F.max("number").alias("most")).filter((F.col("most") > F.col("least")) & (F.col("most") > F.col("least") * ratio))
+    counted = values.join(apart, [key, "field"]).groupBy(key, "field", "least", "most").agg(F.count_distinct("number").alias("n_values"))
+    return counted.select(key, "field", "n_values", "least", "most")
 
 
 def set_checkpoint_dir(spark) -> None:
@@ -153,18 +253,17 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of edges(a, b): least node reachable, by minimum labels and pointer jumping until nothing changes.
 
-    Lineage is cut with checkpoint() each round, in the folder of spark.checkpoint.dir.
+    Edges and labels of each round are written tables in the folder of spark.checkpoint.dir.
     """
-    set_checkpoint_dir(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    both = written(both, "connected-edges")
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
     before = None
     while True:
         near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, "a").select("a", F.least("label", "near").alias("label"))
         jump = step.alias("x").join(step.alias("y"), F.col("x.label") == F.col("y.a"), "left")
-        labels = jump.select(F.col("x.a").alias("a"), F.least(F.col("x.label"), F.col("y.label")).alias("label"))
-        labels = labels.checkpoint()
+        labels = written(jump.select(F.col("x.a").alias("a"), F.least(F.col("x.label"), F.col("y.label")).alias("label")), "connected-labels")
         now = labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first()
         if now == before:
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))

@@ -38,7 +38,8 @@ def having_threshold(t: Tables) -> DataFrame:
 
 @query("""SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.75), 4) AS p75 FROM orders GROUP BY 1""")
 def exact_percentiles(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderpriority").agg(*(F.round(F.percentile("o_totalprice", p), 4).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)))
+    p = ops.percentiles(t.orders, ["o_orderpriority"], F.col("o_totalprice"), (0.25, 0.5, 0.75))
+    return p.select("o_orderpriority", *(F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")))
 
 
 @query("""SELECT o_custkey, string_agg(o_orderpriority, ' ' ORDER BY o_orderkey) AS kinds FROM orders GROUP BY 1""")
@@ -193,10 +194,11 @@ def versioned_append(t: Tables) -> DataFrame:
     return ops.versioned(history, c.select("c_custkey", F.col("c_mktsegment").alias("content")), "c_custkey", "content")
 
 
-@query("""SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 3 > 0) AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click')""")
+@query("""SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
 def set_difference(t: Tables) -> DataFrame:
-    of = lambda kind: t.events.filter(F.col("event_type") == kind).select("user_id")
-    return of("view").join(of("purchase").filter("user_id % 3 > 0"), "user_id", "left_anti").join(of("click"), "user_id", "left_semi").distinct()
+    """Customers with open orders and finished ones, less those with any in progress."""
+    of = lambda status: t.orders.filter(F.col("o_orderstatus") == status).select("o_custkey")
+    return of("O").join(of("P"), "o_custkey", "left_anti").join(of("F"), "o_custkey", "left_semi").distinct()
 
 
 @query("""SELECT a.l_orderkey, len(list_intersect(a.s, b.s))::INT AS shared FROM (SELECT l_orderkey, list_distinct(list(l_suppkey)) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a JOIN (SELECT l_orderkey, list_distinct(list(l_suppkey)) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) b USING (l_orderkey)""")

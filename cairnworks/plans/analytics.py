@@ -20,7 +20,8 @@ def speed_by_region(t: Tables, min_samples: int) -> DataFrame:
     both = first("signup", "applied").join(first("purchase", "issued"), "user_id").filter("issued > applied")
     days = both.select("user_id", scalars.days_between(F.col("issued"), F.col("applied")).alias("days"))
     where = days.join(t.customer, F.col("user_id") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return where.groupBy("r_name").agg(F.count("*").alias("samples"), F.round(F.percentile("days", 0.5), 6).alias("median_days")).filter(F.col("samples") >= min_samples)
+    found = ops.percentiles(where, ["r_name"], F.col("days"), (0.5,), ["median_days"])
+    return found.select("r_name", F.col("n").alias("samples"), F.round("median_days", 6).alias("median_days")).filter(F.col("samples") >= min_samples)
 
 
 @query("""WITH a AS (SELECT user_id, min(ts) AS applied FROM events WHERE event_type = 'signup' GROUP BY 1), i AS (SELECT user_id, min(ts) AS issued FROM events WHERE event_type = 'purchase' GROUP BY 1)
@@ -37,14 +38,20 @@ def lead_time_percentiles(t: Tables) -> DataFrame:
     e = t.events.groupBy("user_id").agg(F.min(F.when(F.col("event_type") != "purchase", F.col("ts"))).alias("seen"), F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("issued"))
     d = e.filter("issued is not null").select(F.greatest(scalars.days_between(F.col("issued"), F.col("seen")), F.lit(0.0)).alias("d"))
     share = lambda n: F.round(F.avg((F.col("d") >= n).cast("int")), 6)
-    return d.agg(F.count("*").alias("n"), F.round(F.percentile("d", 0.5), 6).alias("median"), share(1).alias("ge1"), share(5).alias("ge5"), F.count_if(F.col("d") == 0).alias("no_warning"))
+    counts = d.agg(F.count("*").alias("n"), share(1).alias("ge1"), share(5).alias("ge5"), F.count_if(F.col("d") == 0).alias("no_warning"))
+    median = ops.percentiles(d, [], F.col("d"), (0.5,), ["median"]).select(F.round("median", 6).alias("median"))
+    return counts.join(F.broadcast(median), F.lit(True), "left").select("n", "median", "ge1", "ge5", "no_warning")  # one row each
 
 
 @query(f"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1)
 SELECT event_type, count(*) AS first_looks, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.5) FILTER (WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 31 DAY), 6) AS recent FROM f GROUP BY 1""")
 def first_look(t: Tables) -> DataFrame:
     f = ops.pick(t.events, ["user_id"], F.struct("ts", "event_id"), ["event_type", "value", "ts"], latest=False)
-    return f.groupBy("event_type").agg(F.count("*").alias("first_looks"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile(F.when(_since("ts", EVENTS_AS_OF, 31), F.col("value")), 0.5), 6).alias("recent"))
+    counts = f.groupBy("event_type").agg(F.count("*").alias("first_looks"))
+    every = ops.percentiles(f, ["event_type"], F.col("value"), (0.5,), ["median"]).drop("n")
+    recent = ops.percentiles(f, ["event_type"], F.when(_since("ts", EVENTS_AS_OF, 31), F.col("value")), (0.5,), ["recent"]).drop("n")
+    joined = counts.join(every, "event_type", "left").join(recent, "event_type", "left")
+    return joined.select("event_type", "first_looks", F.round("median", 6).alias("median"), F.round("recent", 6).alias("recent"))
 
 
 @query(f"""WITH l AS (SELECT o_orderpriority AS source, o_orderdate, date_diff('day', o_orderdate::DATE, min(l_shipdate)::DATE) AS lag_days FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, 1, 2)
@@ -206,13 +213,13 @@ def roi_scorecard(t: Tables) -> DataFrame:
     return j.groupBy("n_name").agg(F.sum("n").alias("n"), F.sum("decided").alias("decided"), F.when(F.sum("decided") >= 5, F.sum("won") / F.sum("decided")).alias("win_rate"))
 
 
-@query("""SELECT t.conv_id, t.turn FROM conversations t LEFT JOIN conversations p ON p.conv_id = t.conv_id AND p.turn = t.turn - 1 WHERE NOT (coalesce(p.role, 'start') || '>' || t.role IN ('start>system', 'system>user', 'user>assistant', 'assistant>user'))""")
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus AS now, coalesce(lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 'start') AS was FROM orders) SELECT o_custkey, o_orderkey, was, now FROM o WHERE was || '>' || now NOT IN ('start>O', 'start>P', 'O>P', 'O>F', 'P>F', 'F>O')""")
 def illegal_moves(t: Tables) -> DataFrame:
-    c = t.conversations
-    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("was"))
-    moves = c.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("was", F.lit("start")).alias("was"), "role")
-    allowed = t.spark.createDataFrame([("start", "system"), ("system", "user"), ("user", "assistant"), ("assistant", "user")], "was string, role string")
-    return moves.join(F.broadcast(allowed), ["was", "role"], "left_anti").select("conv_id", "turn")  # four allowed moves; each conversation has to begin with a system message
+    """Orders whose status can't follow that of the customer's order before: from open to in progress or finished, on to finished, and anew."""
+    before = F.lag("o_orderstatus").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    moves = t.orders.select("o_custkey", "o_orderkey", F.coalesce(before, F.lit("start")).alias("was"), F.col("o_orderstatus").alias("now"))
+    allowed = t.spark.createDataFrame([("start", "O"), ("start", "P"), ("O", "P"), ("O", "F"), ("P", "F"), ("F", "O")], "was string, now string")
+    return moves.join(F.broadcast(allowed), ["was", "now"], "left_anti").select("o_custkey", "o_orderkey", "was", "now")  # six allowed moves
 
 
 @query("""WITH m AS (SELECT conv_id, turn, role, text, regexp_extract(text, '^(\\S+)', 1) AS first_word FROM conversations) SELECT role, count(*) AS n, count(DISTINCT first_word) AS openings FROM m GROUP BY 1""")

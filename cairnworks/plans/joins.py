@@ -129,10 +129,8 @@ SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.w, b.w)) / (len(
 FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
 WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE >= 0.6""")
 def jaccard_pairs(t: Tables) -> DataFrame:
-    p = t.part.select("p_partkey", "p_brand", F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")), " ")).alias("w"))
-    pairs = p.alias("x").join(p.alias("y"), (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
-    s = names.token_similarity(F.col("x.w"), F.col("y.w"))
-    return pairs.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), s.alias("similarity")).filter("similarity >= 0.6")
+    p = t.part.select("p_partkey", "p_brand", F.split(F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")), " ").alias("w"))
+    return ops.similar_pairs(p, "p_partkey", "w", 0.6, ["p_brand"])
 
 
 @query("""WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w, p_size FROM part), q AS (SELECT p_partkey AS r_id, list_distinct(string_split(p_name || ' ' || p_brand, ' ')) AS w FROM part),
@@ -152,15 +150,21 @@ FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS place, lead(score) OVER (PARTITION BY id ORDER BY score DESC, other) AS runner_up FROM s)
 SELECT id, other FROM r WHERE place = 1 AND ((runner_up IS NULL AND score >= 3) OR (score >= 5 AND score - runner_up >= 2))""")
 def dominant_match(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    a, b = t.part.alias("a"), t.part.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
-    score = F.when(F.col("a.p_name") == F.col("b.p_name"), 7).otherwise(2) + F.when(F.col("a.p_type") == F.col("b.p_type"), 3).otherwise(0)
-    s = pairs.select(F.col("a.p_partkey").alias("id"), F.col("b.p_partkey").alias("other"), score.alias("score"))
-    w = Window.partitionBy("id").orderBy(F.col("score").desc(), "other")
-    r = s.withColumn("place", F.row_number().over(w)).withColumn("runner_up", F.lead("score").over(w))
-    return r.filter("place = 1 AND ((runner_up IS NULL AND score >= 3) OR (score >= 5 AND score - runner_up >= 2))").select("id", "other")
+    """The best other part of the same brand and size, if it stands out. A part needs its two best others only, and these are among the
+    four least keys of its group by name and type, by name, by type and by neither: of each one may be the part itself and one of a better group."""
+    p = t.part.select("p_partkey", "p_brand", "p_size", "p_name", "p_type")
+    rows = p
+    for i, extra in enumerate((["p_name", "p_type"], ["p_name"], ["p_type"], [])):
+        keys = ["p_brand", "p_size", *extra]
+        rows = rows.join(ops.least_of(p, keys, "p_partkey", 4, f"least{i}"), keys)
+    scored = lambda column, score: F.transform(column, lambda o: F.struct(F.lit(score).alias("score"), o.alias("other")))
+    every = F.concat(*(scored(f"least{i}", score) for i, score in enumerate((10, 7, 5, 2))))
+    # An other part stands in every group that it shares; its highest score counts.
+    each = rows.select(F.col("p_partkey").alias("id"), F.explode(every).alias("c")).filter("c.other <> id").groupBy("id", "c.other").agg(F.max("c.score").alias("score"))
+    best = each.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("worth"), "other"))), 1, 2).alias("b"))  # 16 rows at most
+    first, second = -F.col("b")[0]["worth"], -F.get("b", F.lit(1))["worth"]
+    stands_out = (second.isNull() & (first >= 3)) | ((first >= 5) & (first - second >= 2))
+    return best.filter(stands_out).select("id", F.col("b")[0]["other"].alias("other"))
 
 
 @query("""WITH k AS (SELECT p_name AS alias, min(p_partkey) AS part, count(*) AS n FROM part WHERE p_size = 3 GROUP BY 1),
@@ -175,13 +179,19 @@ def alias_join(t: Tables) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY CASE WHEN agrees THEN 0 ELSE 1 END, entity) AS place FROM m WHERE n > 1)
 SELECT org, entity, place, 1.0::DOUBLE / n AS share FROM r WHERE place <= 10""")
 def ambiguous_fanout(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    a, b = t.part.alias("a"), t.part.alias("b")
-    m = a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
-    m = m.select(F.col("a.p_partkey").alias("org"), F.col("b.p_partkey").alias("entity"), (F.col("a.p_type") == F.col("b.p_type")).alias("agrees"))
-    m = m.withColumn("n", F.count("*").over(Window.partitionBy("org"))).filter("n > 1")
-    return ops.top_per_group(m, ["org"], [F.when(F.col("agrees"), 0).otherwise(1), F.col("entity")], 10, "place").select("org", "entity", "place", (1.0 / F.col("n")).alias("share"))
+    """Up to ten other parts of the same name and brand, those of the same type first: the eleven least keys of a type's group, and of the
+    whole group the least twenty-one, of which at most eleven are of one type where its ten places are not filled already."""
+    p = t.part.select("p_partkey", "p_name", "p_brand", "p_type")
+    group = ["p_name", "p_brand"]
+    sizes = p.groupBy(*group).agg((F.count("*") - 1).alias("n")).filter("n > 1")
+    typed = p.groupBy(*group, "p_type").agg(F.count("*").alias("of_type"))
+    held = p.join(sizes, group).join(typed, [*group, "p_type"]).join(ops.least_of(p, [*group, "p_type"], "p_partkey", 11, "alike"), [*group, "p_type"]).join(ops.least_of(p, group, "p_partkey", 21, "all"), group)
+    me = F.col("p_partkey")
+    agreeing = F.slice(F.array_remove("alike", me), 1, 10)
+    # Members of the same type are all in `alike` if they leave any place.
+    others = F.slice(F.array_except("all", "alike"), F.lit(1), F.lit(10) - F.size(agreeing))
+    listed = held.select(me.alias("org"), "n", F.posexplode(F.concat(agreeing, others)).alias("at", "entity"))
+    return listed.select("org", "entity", (F.col("at") + 1).alias("place"), (1.0 / F.col("n")).alias("share"))
 
 
 @query("""SELECT o_orderkey, coalesce(greatest_line, o_totalprice) AS price FROM orders LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS greatest_line FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) ON l_orderkey = o_orderkey""")
