@@ -140,11 +140,6 @@ def sheet_totals(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(scalars.round_half_up(F.sum(F.col("l_quantity") * F.col("l_extendedprice")), 2).alias("subtotal"), F.count("*").alias("lines"))
 
 
-NAME_CASES = [
-    ("CHARLES", "K C Charles Inc"), ("HOUSE", "A-Z House LLC"), ("Next Level Roofing", "NEXT LEVEL ROOFING & CONSTRUCTION LLC"), ("Pro Heating", "G & G HEATING"),
-    ("ACME Builders LLC", "Acme Builders, Inc."), ("The City of Lakewood", "CITY OF LAKEWOOD"), ("TBD", "N/A"), ("Smith, John Q", "John Smith"), ("", "Permit 20260190"),
-]
-_VALUES = ", ".join("('" + a.replace("'", "''") + "', '" + b.replace("'", "''") + "')" for a, b in NAME_CASES)
 _LEGAL = "['LLC','L.L.C','INC','INCORPORATED','CORP','CORPORATION','CO','COMPANY','LP','LLP','PLLC','PC','PS','LTD','THE','OF','AND','&']"
 
 
@@ -152,18 +147,23 @@ def _tokens(c: str) -> str:
     return f"list_distinct(list_filter(string_split(regexp_replace(regexp_replace(upper({c}), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains({_LEGAL}, w)))"
 
 
-@query(f"""WITH v AS (SELECT * FROM (VALUES {_VALUES}) x(a, b)), t AS (SELECT a, b, {_tokens('a')} AS x, {_tokens('b')} AS y FROM v)
-SELECT a, b, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE END AS similarity, array_to_string(list_sort(x), ' ') AS tokens FROM t""")
+@query(f"""WITH v AS (SELECT p_partkey, 'The ' || p_name || ' LLC' AS a, CASE p_size % 4 WHEN 0 THEN upper(p_name) || ', Inc.' WHEN 1 THEN p_name || ' & ' || p_type WHEN 2 THEN p_type || ' of ' || p_brand ELSE 'Company' END AS b FROM part), t AS (SELECT p_partkey, {_tokens('a')} AS x, {_tokens('b')} AS y FROM v)
+SELECT p_partkey, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE END AS similarity, array_to_string(list_sort(y), ' ') AS tokens FROM t""")
 def name_similarity(t: Tables) -> DataFrame:
-    v = t.spark.createDataFrame(NAME_CASES, "a string, b string")
-    return v.select("a", "b", names.name_similarity(F.col("a"), F.col("b")).alias("similarity"), F.array_join(F.array_sort(names.name_tokens(F.col("a"))), " ").alias("tokens"))
+    """Two spellings of each part's name: with a legal form, with more words, another name, and nothing but a legal form."""
+    k = F.col("p_size") % 4
+    b = F.when(k == 0, F.concat(F.upper("p_name"), F.lit(", Inc."))).when(k == 1, F.concat("p_name", F.lit(" & "), "p_type")).when(k == 2, F.concat("p_type", F.lit(" of "), "p_brand")).otherwise("Company")
+    v = t.part.select("p_partkey", F.concat(F.lit("The "), "p_name", F.lit(" LLC")).alias("a"), b.alias("b"))
+    return v.select("p_partkey", names.name_similarity(F.col("a"), F.col("b")).alias("similarity"), F.array_join(F.array_sort(names.name_tokens(F.col("b"))), " ").alias("tokens"))
 
 
-@query(f"""SELECT a, CASE WHEN trim(a) = '' OR regexp_matches(a, '(?i)^(NO |NOT |N/A|NA$|UNKNOWN|NONE|OWNER$|SAME AS|TBD|SEE |APPLICANT$|PER PLANS)') OR regexp_matches(a, '[0-9]{{3,}}') THEN 'junk' WHEN regexp_matches(a, '(?i)(LLC|INC|CORP|COMPANY|CO\\.|LP|LLP|PLLC|LTD|GROUP|CONSTRUCTION|BUILDERS|HOMES|DEVELOPMENT|ELECTRIC|PLUMBING|MECHANICAL|ROOFING|SERVICES|ENTERPRISES|ASSOCIATES|PARTNERS|CITY OF|COUNTY|DISTRICT|AUTHORITY|CHURCH|SCHOOL)') THEN 'business' ELSE 'person_or_unknown' END AS quality
-FROM (SELECT a FROM (VALUES {_VALUES}) x(a, b) UNION ALL SELECT b FROM (VALUES {_VALUES}) x(a, b))""")
+_RAW_NAME = "CASE c_custkey % 8 WHEN 0 THEN 'TBD' WHEN 1 THEN 'Smith, John Q' WHEN 2 THEN c_mktsegment || ' Builders LLC' WHEN 3 THEN c_name WHEN 4 THEN '  ' WHEN 5 THEN 'Jane ' || c_mktsegment WHEN 6 THEN 'see ' || c_name ELSE 'City of ' || c_mktsegment END"
+
+
+@query(f"""WITH v AS (SELECT c_custkey, {_RAW_NAME} AS a FROM customer)
+SELECT c_custkey, CASE WHEN trim(a) = '' OR regexp_matches(a, '{names.PLACEHOLDER_NAME}') OR regexp_matches(a, '[0-9]{{3,}}') THEN 'junk' WHEN regexp_matches(a, '{names.ENTITY_WORD}') THEN 'business' ELSE 'person_or_unknown' END AS quality FROM v""")
 def name_quality(t: Tables) -> DataFrame:
-    v = t.spark.createDataFrame([(x,) for pair in zip(*NAME_CASES, strict=True) for x in pair], "a string")
-    return v.select("a", names.name_quality(F.col("a")).alias("quality"))
+    return t.customer.select("c_custkey", names.name_quality(F.expr(_RAW_NAME)).alias("quality"))
 
 
 @query()
@@ -175,14 +175,24 @@ def name_views(t: Tables) -> DataFrame:
     return s.select("s_suppkey", names.address_parts(c).alias("address"), names.split_name_address(c).alias("split"), names.org_parts(c).alias("org"), names.cross_name_key(c).alias("key"), names.address_match_key(c).alias("address_key"), names.development_name(c).alias("development"), names.is_government_name(c).alias("government"))
 
 
-@query()
+_SCOPES = {k: v for k, v in scalars.SCOPES.items() if k not in ("specialist", "restoration", "remodel", "other_trade")}
+
+
+def _says(column: str, scope: str) -> str:
+    return f"regexp_matches({column}, '{scalars.SCOPES[scope]}')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s FROM d),
+g AS (SELECT doc_id, max(CASE WHEN {_says('s', 'demolition')} AND NOT {_says('s', 'building')} OR {_says('s', 'field_work')} AND NOT ({_says('s', 'glazing')} AND NOT {_says('s', 'no_envelope')}) THEN 0.2 WHEN {_says('s', 'entitlement_only')} AND NOT {_says('s', 'building')} THEN 0.4
+WHEN {_says('s', 'glazing')} AND NOT {_says('s', 'no_envelope')} THEN 1 WHEN {_says('s', 'commercial')} THEN 0.7 WHEN {_says('s', 'multifamily')} THEN 0.4 ELSE 0.2 END)::DOUBLE AS glazing_fit FROM l GROUP BY 1)
+SELECT d.doc_id, {', '.join(f"{_says('t', k)} AS {k}" for k in _SCOPES)}, (SELECT max(u::INT) FROM (SELECT unnest(regexp_extract_all(t, '{scalars.UNITS}', 1)) AS u) WHERE u::INT BETWEEN 1 AND 5000) AS units, glazing_fit FROM d LEFT JOIN g ON g.doc_id = d.doc_id""")
 def scope_features(t: Tables) -> DataFrame:
     """Scope features of every document, and the best glazing fit of its lines, each judged by itself."""
     text = F.lower("text")
-    return t.documents.select("doc_id", *(scalars.scope(text, k).alias(k) for k in scalars.SCOPES), scalars.units_from_text(text).alias("units"), scalars.best_glazing_fit(F.split(text, "\n"), F.lit(0)).alias("glazing_fit"))
+    return t.documents.select("doc_id", *(scalars.scope(text, k).alias(k) for k in _SCOPES), scalars.units_from_text(text).alias("units"), scalars.best_glazing_fit(F.split(text, "\n"), F.lit(0)).alias("glazing_fit"))
 
 
-@query()
+@query("""SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.000","o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || o_totalprice || '}') AS fingerprint FROM orders""")
 def record_fingerprints(t: Tables) -> DataFrame:
     """SHA-256 of each order's canonical JSON."""
     o = t.orders
