@@ -27,8 +27,6 @@ ANCHORS = (
     "el", "los", "las", "y", "por", "con", "para", "una", "su", "lo", "del", "en", "de", "no",
 )
 CHAIN = 2
-#: How many anchors a chain may pass while it looks for content words.
-REACH = 4
 #: At least this Jaccard for near_pairs.
 NEAR = 0.75
 
@@ -43,9 +41,9 @@ def signatures(text: Column) -> Column:
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
     def of_words(words: Column) -> Column:
-        # Anchors open a segment, content words fill it: "\1the house \1of \1a stone wall ".
-        marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*ANCHORS), F.concat(F.lit("\x01"), w, F.lit(" "))).otherwise(F.concat(w, F.lit(" ")))), "")
-        return let(F.split(marked, "\x01"), lambda segments: F.when(F.size(segments) > 1, _anchored(segments)).otherwise(_unanchored(text, words)))
+        anchors = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda w: w["word"].isin(*ANCHORS))
+        content = F.filter(words, lambda w: ~w.isin(*ANCHORS))
+        return let(F.struct(anchors.alias("anchors"), content.alias("content")), lambda s: F.when(F.size(s["anchors"]) > 0, _anchored(s)).otherwise(_unanchored(text, words)))
 
     return _hashes(let(words, of_words))
 
@@ -54,16 +52,14 @@ def _hashes(strings: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(strings, lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))))
 
 
-def _anchored(segments: Column) -> Column:
-    def chains(tails: Column) -> Column:
-        def chain(segment: Column, i: Column) -> Column:
-            after = F.array_join(F.slice(tails, i + 1, REACH), "")
-            return F.concat(F.substring_index(segment, " ", 1), F.lit(":"), F.substring_index(after, " ", CHAIN))
+def _anchored(s: Column) -> Column:
+    """The chain of each anchor: of the words before the k-th anchor (from 0) k are anchors, so its content words begin at its place less k."""
 
-        return F.transform(segments, chain)
+    def chain(anchor: Column, k: Column) -> Column:
+        follow = F.slice(s["content"], anchor["at"] - k + 1, F.lit(CHAIN))
+        return F.concat(anchor["word"], F.lit(":"), F.array_join(follow, " "))
 
-    made = let(F.transform(segments, lambda s: F.substr(s, F.instr(s, " ") + 1)), chains)
-    return F.slice(made, F.lit(2), F.size(segments) - 1)
+    return F.transform(s["anchors"], chain)
 
 
 def _unanchored(text: Column, words: Column) -> Column:

@@ -10,9 +10,8 @@ def signatures(text):
     words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
     at = [i for i, w in enumerate(words) if w in spotsigs.ANCHORS]
     out = set()
-    for k, i in enumerate(at):
-        end = at[k + spotsigs.REACH] if k + spotsigs.REACH < len(at) else len(words)
-        out.add(words[i] + ":" + " ".join([w for w in words[i + 1 : end] if w not in spotsigs.ANCHORS][: spotsigs.CHAIN]))
+    for i in at:
+        out.add(words[i] + ":" + " ".join([w for w in words[i + 1 :] if w not in spotsigs.ANCHORS][: spotsigs.CHAIN]))
     return out or {"*" + " ".join(words[i : i + spotsigs.CHAIN + 1]) for i in range(len(words))} or {"!" + text}
 
 
