@@ -103,6 +103,13 @@ def token_shortlist(left: DataFrame, right: DataFrame, most: int = 400) -> DataF
     return pairs.join(left, "l_id").join(right, "r_id")
 
 
+def contained_match(left: DataFrame, right: DataFrame, most: int = 400) -> DataFrame:
+    """(l_id, r_id) where exactly one right row that shares a token holds all tokens of the left one and more: left(l_id, l_tokens), right(r_id, r_tokens)."""
+    inside = (F.size("l_tokens") > 0) & (F.size(F.array_except("l_tokens", "r_tokens")) == 0) & (F.size(F.array_distinct("r_tokens")) > F.size(F.array_distinct("l_tokens")))
+    found = token_shortlist(left, right, most).filter(inside)
+    return found.groupBy("l_id").agg(F.min("r_id").alias("r_id"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], sticky: dict[str, Sequence[str]] | None = None, keep_first: Sequence[str] = ()) -> DataFrame:
     """old with new's rows put in by key. A row whose `sticky` column holds one of the given values keeps it, and
     the `keep_first` columns keep their first value that is not null. Keys compare with nulls equal."""

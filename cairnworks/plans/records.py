@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnworks.functions import jsons
-from cairnworks.operators import reviews
+from cairnworks.functions import jsons, scalars
+from cairnworks.operators import observations, reviews
+from cairnworks.operators import relational as ops
 from cairnworks.plans.registry import Tables, query
 from cairnworks.sources import html_tables as html
 from cairnworks.sources import loaders
@@ -72,12 +73,63 @@ last AS (SELECT k, arg_max(c, r) AS c FROM v WHERE r <= 3 GROUP BY k), seen AS (
 SELECT CASE WHEN last.c IS NULL THEN 'new' WHEN last.c = seen.c THEN 'duplicate' ELSE 'changed' END AS outcome, count(*) AS n FROM seen LEFT JOIN last USING (k) GROUP BY 1""")
 def ingest_outcomes(t: Tables) -> DataFrame:
     """Versions of records in two slices: one that goes back to older content is changed, only the latest counts."""
-    from pyspark.sql import Window
-
-    from cairnworks.functions import scalars
-
     c = F.concat("o_orderstatus", F.lit("/"), "o_orderpriority")
     o = t.orders.select(F.lit("orders").alias("sourceKey"), (F.col("o_orderkey") % 100).cast("string").alias("externalId"), c.alias("content"), F.row_number().over(Window.partitionBy(F.col("o_orderkey") % 100).orderBy("o_orderkey")).alias("version"))
     mark = scalars.fingerprint(F.col("content"), F.col("externalId"), F.col("sourceKey"))
     old = o.filter("version <= 3").select("sourceKey", "externalId", mark.alias("fingerprint"), "version")
     return loaders.ingest(old, o.filter("version between 4 and 9").drop("version"))[1]
+
+
+_FOUND = """f AS (SELECT o_orderkey AS key, CASE o_orderkey % 3 WHEN 0 THEN 'binding_name_match' WHEN 1 THEN 'alias_export' ELSE 'trade_export' END AS kind, 'r' || o_custkey % 7 AS rule, o_totalprice / 500000 AS trust, o_orderkey % 5 = 0 AS strict FROM orders WHERE o_orderkey % 4 < 3),
+h AS (SELECT 'r' || o_custkey % 7 AS rule, count(*) AS decisions, count(*) FILTER (o_custkey % 7 < 3 OR o_orderkey % 2 = 0) AS accepts FROM orders WHERE o_custkey % 7 <> 2 OR o_orderkey < 50 GROUP BY 1),
+o AS (SELECT o_orderkey AS key, 'binding_name_match' AS kind, 'old' AS rule, 0.6::DOUBLE AS trust, CASE o_orderkey % 12 WHEN 0 THEN 'pending' WHEN 4 THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN o_orderkey % 12 > 0 THEN 'person' END AS decided_by FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 3 < 2 OR o_orderkey % 24 = 3),
+c AS (SELECT coalesce(o.key, f.key) AS key, f.key IS NOT NULL AS here, o.key IS NOT NULL AS was, coalesce(o.status = 'pending', true) AS waits, o.status AS os, o.decided_by AS od, o.kind AS ok, o.rule AS orule, o.trust AS ot, f.kind AS fk, f.rule AS fr, f.trust AS ft, coalesce(fk = 'binding_name_match' AND strict, false) AS sb,
+coalesce(f.kind <> 'binding_name_match' AND decisions >= 10 AND accepts / decisions::DOUBLE >= 0.95, false) AS pv FROM o FULL JOIN (SELECT f.*, decisions, accepts FROM f LEFT JOIN h USING (rule) WHERE trust >= 0.55) f ON f.key = o.key)"""
+
+
+def _queue(t: Tables) -> tuple[DataFrame, DataFrame]:
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 7
+    rule = F.concat(F.lit("r"), c)
+    kind = F.when(k % 3 == 0, observations.BINDING).when(k % 3 == 1, "alias_export").otherwise("trade_export")
+    found = t.orders.filter(k % 4 < 3).select(k.alias("key"), kind.alias("kind"), rule.alias("rule"), (F.col("o_totalprice") / 500000).alias("trust"), (k % 5 == 0).alias("strict"))
+    history = t.orders.filter((c != 2) | (k < 50)).groupBy(rule.alias("rule")).agg(F.count("*").alias("decisions"), F.count_if((c < 3) | (k % 2 == 0)).alias("accepts"))
+    status = F.when(k % 12 == 0, "pending").when(k % 12 == 4, "rejected").otherwise("accepted")
+    stored = t.orders.filter(((k % 4 == 0) & (k % 3 < 2)) | (k % 24 == 3)).select(k.alias("key"), F.lit(observations.BINDING).alias("kind"), F.lit("old").alias("rule"), F.lit(0.6).alias("trust"), status.alias("status"), F.when(k % 12 > 0, "person").alias("decided_by"))
+    return observations.queued(stored, found, history)
+
+
+@query(f"""WITH {_FOUND} SELECT key, CASE WHEN here AND waits THEN fk ELSE ok END AS kind, CASE WHEN here AND waits THEN fr ELSE orule END AS rule, CASE WHEN here AND waits THEN ft ELSE ot END AS trust, CASE WHEN here AND sb AND waits OR here AND NOT was AND pv THEN 'accepted' WHEN was THEN os ELSE 'pending' END AS status,
+CASE WHEN here AND sb AND waits THEN 'auto:strict-bind' WHEN here AND NOT was AND pv THEN 'auto:rule-history' ELSE od END AS decided_by FROM c""")
+def observation_queue(t: Tables) -> DataFrame:
+    return _queue(t)[0]
+
+
+@query(f"""WITH {_FOUND} SELECT CASE WHEN here AND sb AND waits THEN 'bound' WHEN here AND NOT was AND pv THEN 'accepted' WHEN here AND NOT was THEN 'queued' WHEN here AND waits THEN 'rescored' WHEN here THEN 'kept' ELSE 'not_found' END AS outcome, count(*) AS n FROM c GROUP BY 1
+UNION ALL SELECT 'below_floor', count(*) FROM f WHERE trust < 0.55""")
+def observation_summary(t: Tables) -> DataFrame:
+    return _queue(t)[1]
+
+
+@query("""WITH i AS (SELECT l_suppkey % 10 AS account, l_shipdate AS period_end, l_partkey AS opportunity, l_orderkey AS project, l_returnflag = 'N' AS is_new FROM lineitem), e AS (SELECT o_orderkey AS project, o_orderdate AS at_ FROM orders WHERE o_orderkey % 50 > 0),
+c AS (SELECT account, count(*) AS items, count(*) FILTER (at_ IS NULL OR epoch(period_end - at_) / 86400 > 180) AS expired FROM i LEFT JOIN e USING (project) GROUP BY 1), n AS (SELECT account, sum(k - 1)::BIGINT AS duplicate_new FROM (SELECT account, opportunity, count(*) AS k FROM i WHERE is_new GROUP BY 1, 2) GROUP BY 1)
+SELECT account, items, expired, coalesce(duplicate_new, 0) AS duplicate_new, coalesce(duplicate_new, 0) / items::DOUBLE AS duplicate_rate, expired / items::DOUBLE AS expired_rate, coalesce(duplicate_new, 0) / items::DOUBLE < 0.03 AS duplicate_pass, expired / items::DOUBLE < 0.02 AS expired_pass FROM c LEFT JOIN n USING (account)""")
+def delivery_quality(t: Tables) -> DataFrame:
+    li = t.lineitem
+    items = li.select((F.col("l_suppkey") % 10).alias("account"), F.lit(1).alias("delivery"), F.col("l_shipdate").alias("period_end"), F.col("l_partkey").alias("opportunity"), F.col("l_orderkey").alias("project"), (F.col("l_returnflag") == "N").alias("is_new"))
+    events = t.orders.filter("o_orderkey % 50 > 0").select(F.col("o_orderkey").alias("project"), F.col("o_orderdate").alias("at"))
+    return observations.delivery_quality(items, events)
+
+
+@query("""WITH q AS (SELECT p_partkey AS r_id, list_distinct(string_split(p_name || ' ' || p_brand || ' ' || p_type, ' ')) AS w FROM part), l AS (SELECT p_partkey AS l_id, list_distinct(string_split(p_name || ' ' || p_brand, ' ')) AS w FROM part WHERE p_size < 10),
+t AS (SELECT r_id, unnest(w) AS tok FROM q), rare AS (SELECT tok FROM t GROUP BY tok HAVING count(*) <= 400), m AS (SELECT DISTINCT l_id, r_id FROM (SELECT l_id, unnest(w) AS tok FROM l) JOIN rare USING (tok) JOIN t USING (tok))
+SELECT l_id, min(r_id) AS r_id FROM m JOIN l USING (l_id) JOIN q USING (r_id) WHERE len(list_intersect(l.w, q.w)) = len(l.w) AND len(q.w) > len(l.w) GROUP BY 1 HAVING count(*) = 1""")
+def containment_match(t: Tables) -> DataFrame:
+    left = t.part.filter("p_size < 10").select(F.col("p_partkey").alias("l_id"), F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_brand"), " ")).alias("l_tokens"))
+    right = t.part.select(F.col("p_partkey").alias("r_id"), F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type"), " ")).alias("r_tokens"))
+    return ops.contained_match(left, right)
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN replace(url, '#', '') || '?a=1&token=%5Bredacted%5D&b=2' WHEN 1 THEN 'x?key=1' ELSE url END AS url FROM pages WHERE NOT contains(url, '?')""")
+def redacted_urls(t: Tables) -> DataFrame:
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.replace("url", F.lit("#"), F.lit("")), F.lit("?a=1&token=s3cret&b=2"))).when(F.col("page_id") % 3 == 1, "x?key=1").otherwise(F.col("url"))
+    return t.pages.filter(~F.col("url").contains("?")).select("page_id", scalars.redact_url(url).alias("url"))
