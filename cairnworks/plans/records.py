@@ -133,3 +133,40 @@ def containment_match(t: Tables) -> DataFrame:
 def redacted_urls(t: Tables) -> DataFrame:
     url = F.when(F.col("page_id") % 3 == 0, F.concat(F.replace("url", F.lit("#"), F.lit("")), F.lit("?a=1&token=s3cret&b=2"))).when(F.col("page_id") % 3 == 1, "x?key=1").otherwise(F.col("url"))
     return t.pages.filter(~F.col("url").contains("?")).select("page_id", scalars.redact_url(url).alias("url"))
+
+
+_REVIEWS = """rv AS (SELECT o_orderkey AS review, CASE o_orderkey % 3 WHEN 0 THEN 'official_id' WHEN 1 THEN 'parcel_overlap' ELSE 'address_name' END AS rule, CASE o_orderkey % 3 WHEN 0 THEN 'same_permit_pending_review' WHEN 1 THEN '' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'generic_name' ELSE 'same_address_name_mismatch' END END AS reason,
+CASE WHEN o_orderkey % 5 > 0 THEN o_custkey % 20 END AS candidate, o_orderdate AS at_ FROM orders WHERE o_orderstatus = 'P')"""
+
+
+def _reviews(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    named = F.when(k % 2 == 0, "generic_name").otherwise("same_address_name_mismatch")
+    reasons = F.when(k % 3 == 0, F.array(F.lit("same_permit_pending_review"))).when(k % 3 == 2, F.array(named, F.lit("same_address")))
+    rule = F.when(k % 3 == 0, "official_id").when(k % 3 == 1, "parcel_overlap").otherwise("address_name")
+    return t.orders.filter("o_orderstatus = 'P'").select(k.alias("review"), k.alias("record"), rule.alias("rule"), reasons.alias("reasons"), F.when(k % 5 > 0, F.col("o_custkey") % 20).alias("candidate"), F.col("o_orderdate").alias("at"))
+
+
+@query(f"""WITH {_REVIEWS}, p AS (SELECT *, row_number() OVER (PARTITION BY rule, reason, candidate ORDER BY at_, review) AS place FROM rv)
+SELECT rule, reason, candidate, count(*) AS n, min(at_)::DATE AS oldest, string_agg(review::VARCHAR, ',' ORDER BY place) FILTER (place <= 3) AS samples, CASE WHEN reason = 'same_permit_pending_review' THEN 'awaiting' ELSE 'actionable' END AS state FROM p GROUP BY 1, 2, 3""")
+def review_triage(t: Tables) -> DataFrame:
+    rows = reviews.triage(_reviews(t))
+    return rows.withColumns({"oldest": F.col("oldest").cast("date"), "samples": F.array_join(F.transform("samples", lambda s: s.cast("string")), ",")})
+
+
+@query(f"""WITH {_REVIEWS}, pv AS (SELECT l_orderkey AS record, min(CASE l_returnflag WHEN 'R' THEN 'merged' ELSE 'review' END) AS now, max(CASE l_linenumber % 2 WHEN 0 THEN 'official_id' ELSE 'parcel_overlap' END) AS rule, min(l_suppkey % 20) AS project FROM lineitem GROUP BY 1)
+SELECT review, CASE WHEN now = 'merged' AND pv.rule = 'official_id' AND (candidate IS NULL OR candidate = project) THEN 'clears' WHEN now = 'merged' AND pv.rule = 'official_id' THEN 'mismatch' ELSE 'stays' END AS verdict FROM rv LEFT JOIN pv ON pv.record = rv.review""")
+def review_looks(t: Tables) -> DataFrame:
+    """What a new look clears, without a person, of the reviews that wait."""
+    now = F.when(F.col("l_returnflag") == "R", "merged").otherwise("review")
+    rule = F.when(F.col("l_linenumber") % 2 == 0, "official_id").otherwise("parcel_overlap")
+    previews = t.lineitem.groupBy(F.col("l_orderkey").alias("record")).agg(F.min(now).alias("now"), F.max(rule).alias("rule"), F.min(F.col("l_suppkey") % 20).alias("project"))
+    return reviews.reevaluated(_reviews(t).select("review", "record", "candidate"), previews)
+
+
+@query(f"""WITH {_LOG}, last AS (SELECT subject, max(at_) FILTER (action = 'undo') AS undo FROM log GROUP BY 1), d AS (SELECT subject, arg_min(action, at_) AS action FROM log JOIN last USING (subject) WHERE action IN ('merge', 'reject') AND (undo IS NULL OR at_ > undo) GROUP BY 1),
+o AS (SELECT DISTINCT user_id * 100 + day(ts) AS subject FROM events WHERE value > 30 UNION SELECT -1)
+SELECT subject, CASE action WHEN 'merge' THEN 'merged' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS state FROM o LEFT JOIN d USING (subject)""")
+def review_overlay(t: Tables) -> DataFrame:
+    seen = t.events.filter("value > 30").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("subject")).distinct().union(t.spark.createDataFrame([(-1,)], "subject long"))
+    return reviews.overlaid(seen, _log(t)).select("subject", "state")
