@@ -53,7 +53,7 @@ def firms(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     return t.customer.select(
         k.alias("entity"), F.when(k % 11 == 0, "merged").when(k % 2 == 0, "active").alias("status"), F.array_compact(F.array(person(group), F.when((k % 4 == 0) | (k % 5 == 0), person(group + 1)), F.when(k % 7 == 0, agent))).alias("principals"),
-        F.when(F.col("c_nationkey") % 2 == 0, "WA").otherwise("OR").alias("state"), F.concat(F.lit("(206) 555-"), F.lpad(F.floor(k / 6).cast("string"), 4, "0")).alias("phone"), none.alias("google_phone"), none.alias("address"), none.alias("postcode"),
+        F.when(F.col("c_nationkey") % 2 == 0, "WA").otherwise("OR").alias("state"), F.concat(F.lit("(206) 555-"), F.lpad(F.floor(k / 6).cast("string"), 12, "0")).alias("phone"), none.alias("google_phone"), none.alias("address"), none.alias("postcode"),
         F.col("c_mktsegment").alias("city"), F.concat(F.lit("d"), F.floor(k / 9).cast("string"), F.lit(".com")).alias("domain"), none.alias("ubi"), F.array(F.concat(F.lit("T"), (F.col("c_nationkey") % 4).cast("string"))).alias("trade_codes"),
     )
 
