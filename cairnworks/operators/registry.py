@@ -93,19 +93,29 @@ def matched_people(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     candidates(candidate, person_name, bound_entity, jurisdictions, role); registry(entity, name, city, status, principals). The name is read in both
     orders and must have a surname that the registry knows. Signals are nullable booleans: middle_initial, unique_name, surname_echo, city, role.
     """
-    index = person_index(registry).join(registry.select("entity", F.col("name").alias("entity_name"), "city"), "entity")
-    read = candidates.withColumn("core", people.person_core_key(F.col("person_name"))).filter("core is not null")
-    met = read.join(index, "core")
     surname = F.substring_index("core", "|", 1)
-    own, filed = people.person_parts(F.col("person_name"))["middle"], people.key_initial(F.col("principal_key"))
     none = F.array().cast("array<string>")
+    # What a signal asks of either side is read once a row; rows of a name that answer alike are a class, and signals are of two classes.
+    index = person_index(registry).join(registry.select("entity", F.col("name").alias("entity_name"), F.upper("city").alias("city")), "entity")
+    index = index.select("core", "entity", "namesakes", people.key_initial(F.col("principal_key")).alias("filed"), F.when(F.upper("entity_name").contains(surname), F.lit(True)).alias("surname_echo"), "city")
+    index = ops.written(ops.blocks(index, ["core", "namesakes", "filed", "surname_echo", "city"], "entity", "entities"), "people-index").drop("block")
+    read = candidates.withColumns({"core": people.person_core_key(F.col("person_name")), "own": people.person_parts(F.col("person_name"))["middle"]}).filter("core is not null")
+    read = read.select(
+        "core", F.struct("candidate", "bound_entity").alias("c"), "own", F.transform(F.coalesce("jurisdictions", none), lambda j: F.upper(j)).alias("places"), F.when(F.col("role") == "primary_contractor", F.lit(True)).alias("role")
+    )
+    read = ops.written(ops.blocks(read, ["core", "own", "places", "role"], "c", "candidates"), "people-read").drop("block")
+    met = read.join(index, "core")
     signals = {
-        "middle_initial": own == filed, "unique_name": F.when(F.col("namesakes") == 1, F.lit(True)).when(F.col("namesakes") >= 3, F.lit(False)), "surname_echo": F.when(F.upper("entity_name").contains(surname), F.lit(True)),
-        "city": F.when((F.col("city") != "") & F.exists(F.coalesce("jurisdictions", none), lambda j: F.upper(j).contains(F.upper(F.col("city")))), F.lit(True)), "role": F.when(F.col("role") == "primary_contractor", F.lit(True)),
+        "middle_initial": F.col("own") == F.col("filed"), "unique_name": F.when(F.col("namesakes") == 1, F.lit(True)).when(F.col("namesakes") >= 3, F.lit(False)), "surname_echo": F.col("surname_echo"),
+        "city": F.when((F.col("city") != "") & F.exists("places", lambda j: j.contains(F.col("city"))), F.lit(True)), "role": F.col("role"),
     }
-    rows = met.select("candidate", "core", "entity", "namesakes", F.col("bound_entity").eqNullSafe(F.col("entity")).alias("already_bound"), *(s.alias(n) for n, s in signals.items()))
+    rows = met.select("core", "namesakes", "candidates", "entities", *(s.alias(n) for n, s in signals.items()))
     points = sum((F.coalesce(F.col(n).cast("int"), F.lit(0)) for n in signals), F.lit(0))
-    return rows.withColumn("points", points).withColumn("verdict", verdict(F.col("points"), F.coalesce(~F.col("middle_initial"), F.lit(False))))
+    rows = rows.withColumn("points", points).withColumn("verdict", verdict(F.col("points"), F.coalesce(~F.col("middle_initial"), F.lit(False))))
+    told = ["core", "namesakes", *signals, "points", "verdict"]
+    rows = ops.scattered(rows, F.xxhash64("candidates", "entities"))
+    rows = rows.select(*told, "candidates", F.explode("entities").alias("entity")).select(*told, "entity", F.explode("candidates").alias("c"))
+    return rows.select("c.candidate", "core", "entity", "namesakes", F.col("c.bound_entity").eqNullSafe(F.col("entity")).alias("already_bound"), *signals, "points", "verdict")
 
 
 def bound_by_address(wanted: DataFrame, owners: DataFrame) -> DataFrame:

@@ -58,6 +58,17 @@ def test_blocks_split_large_groups_and_keep_null_keys(spark):
     assert len([r for r in held if r["key"] == "k"]) > 3 and {i for r in held if r["key"] is None for i in r["ids"]} == set(range(90, 100))
 
 
+def test_names_are_read_before_they_meet(spark):
+    registry = spark.range(300).select(F.col("id").alias("entity"), F.lit("Doe Homes").alias("name"), F.lit("Lacey").alias("city"), F.lit(None).cast("string").alias("status"), F.array(F.struct(F.lit("Doe, Jo").alias("name"), F.lit("DOE, JO Q").alias("key"))).alias("principals"))
+    candidates = spark.range(400).select(F.col("id").alias("candidate"), F.lit("Jo Doe").alias("person_name"), F.lit(7).cast("long").alias("bound_entity"), F.array(F.lit("LACEY, WA")).alias("jurisdictions"), F.lit("owner").alias("role"))
+    found = reg.matched_people(candidates, registry)
+    plan = plan_of(found)
+    assert "regexp" not in plan and plan.index("Generate") < plan.index("Repartition") < plan.index("Join")
+    assert found.count() == 300 * 400 == found.select("candidate", "entity").distinct().count()
+    assert found.filter("already_bound").count() == 400 == found.filter("entity = 7 and already_bound").count()
+    assert {tuple(r) for r in found.select("middle_initial", "unique_name", "surname_echo", "city", "role", "points", "verdict").distinct().collect()} == {(None, True, True, True, None, 3, "strong")}
+
+
 def test_phones_of_many_firms_differ(spark):
     """Beyond 60,000 customers a number of four digits was cut, and different firms agreed."""
     few = SimpleNamespace(customer=spark.createDataFrame([(66_000, 1, "X"), (66_006, 1, "X"), (66_007, 1, "X")], "c_custkey long, c_nationkey int, c_mktsegment string"))
