@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from cairnworks.operators import registry as reg
 from cairnworks.operators import relational as ops
-from cairnworks.plans import joins, links
+from cairnworks.plans import joins, links, views
+from cairnworks.plans.registry import Tables
+from tests.conftest import SMALL
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +76,14 @@ def test_phones_of_many_firms_differ(spark):
     few = SimpleNamespace(customer=spark.createDataFrame([(66_000, 1, "X"), (66_006, 1, "X"), (66_007, 1, "X")], "c_custkey long, c_nationkey int, c_mktsegment string"))
     a, b, c = (r["phone"] for r in links.firms(few).orderBy("entity").collect())
     assert a != b and b == c
+
+
+def test_the_league_reads_its_lines_once(spark):
+    """Distinct counts would send each line four times, and the league asks for its firms twice: they are written once."""
+    rows = views._league(Tables(spark, SMALL))
+    assert "l_orderkey" not in plan_of(rows)
+    few = SimpleNamespace(spark=spark, supplier=spark.createDataFrame([(1, 5)], "s_suppkey long, s_nationkey int"), lineitem=spark.createDataFrame(
+        [(7, 1, "R", 5.0, "2001-06-01"), (7, 1, "A", 9.0, "2001-01-01"), (8, 1, None, 2.0, None), (None, 1, "R", 1.0, "2001-07-01")], "l_orderkey long, l_suppkey long, l_returnflag string, l_extendedprice double, d string",
+    ).withColumn("l_shipdate", F.col("d").cast("timestamp_ntz")))
+    (row,) = views._league(few).collect()
+    assert (row["projects"], row["recent"], row["relevant"], row["value_max"], str(row["latest"])) == (2, 1, 1, 9.0, "2001-07-01 00:00:00")
