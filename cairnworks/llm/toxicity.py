@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnworks.llm.bytetext import Rolling, mix, slices, spans, texts_of
-from cairnworks.llm.common import read
+from cairnworks.llm.common import read, release_memory
 
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
 #: Longer labelled texts don't train.
@@ -315,7 +315,12 @@ def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, m
     drawn = rows.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # The drawn rows are bounded by the two parameters, so they may be broadcast and brought to the driver.
     sample = documents.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    return fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy() == 1, shares=(share[0], share[1]), max_windows=max_windows)
+    texts, toxic = sample.column("text").combine_chunks(), sample.column("toxic").to_numpy() == 1
+    del sample
+    model = fit(texts, toxic, shares=(share[0], share[1]), max_windows=max_windows)
+    del texts, toxic
+    release_memory()
+    return model
 
 
 def held_out(doc_id):
