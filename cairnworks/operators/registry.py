@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from cairnworks.functions import people
 from cairnworks.operators import relational as ops
 
-#: A family of more firms than this hangs on a name that is no one person's: it is dropped and reported.
+#: A cap for callers that hold a family of more firms for one that hangs on no one person's name.
 MAX_FAMILY = 25
+#: Classes of firms in a block of a family.
+BLOCK = 500
 STRONG = 3
 #: Fields of a registry row that corroborate() compares, besides the lists.
 FIELDS = ("state", "phone", "google_phone", "address", "postcode", "city", "domain", "ubi")
@@ -19,21 +21,30 @@ def verdict(points: Column, contradicted: Column) -> Column:
     return F.when(contradicted, "contradicted").when(points == 0, "name_only").when(points >= STRONG, "strong").otherwise("corroborated")
 
 
+def _comparable(row: Column, key: Column) -> dict[str, Column]:
+    """What corroborate() compares of a registry row and the key of its person, by name."""
+    text = lambda c: F.nullif(F.upper(F.trim(row[c])), F.lit(""))
+    digits = lambda c: F.when(F.length(F.regexp_replace(row[c], r"\D", "")) >= 7, F.regexp_replace(row[c], r"\D", ""))
+    trades = F.array_distinct(F.transform(F.coalesce(row["trade_codes"], F.array().cast("array<string>")), F.lower))
+    return {c: digits(c) if c in ("phone", "google_phone") else text(c) for c in FIELDS} | {"trades": F.array_sort(trades), "initial": people.key_initial(key)}
+
+
+def _agreeing(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> dict[str, Column]:
+    """Whether two comparable rows agree, by field; null where that is not known."""
+    google = a["google_phone"]
+    return {
+        "middle_initial": a["initial"] == b["initial"], "phone": a["phone"] == b["phone"], "google_phone": (google == b["google_phone"]) & ~google.eqNullSafe(a["phone"]),
+        "address": a["address"] == b["address"], "postal_code": a["postcode"] == b["postcode"], "city": a["city"] == b["city"],
+        "root_domain": a["domain"] == b["domain"], "ubi": a["ubi"] == b["ubi"], "trade": F.arrays_overlap(a["trades"], b["trades"]),
+    }
+
+
 def corroborate(a: Column, b: Column, key_a: Column, key_b: Column) -> Column:
     """struct(points, agreeing, against, verdict) of two registry rows (structs of FIELDS and trade_codes) and the keys of the person they share."""
-    text = lambda row, c: F.nullif(F.upper(F.trim(row[c])), F.lit(""))
-    digits = lambda row, c: F.when(F.length(F.regexp_replace(row[c], r"\D", "")) >= 7, F.regexp_replace(row[c], r"\D", ""))
-    first, second = people.key_initial(key_a), people.key_initial(key_b)
-    trades = lambda row: F.transform(F.coalesce(row["trade_codes"], F.array().cast("array<string>")), F.lower)
-    google = digits(a, "google_phone")
-    agree = {
-        "middle_initial": first == second, "phone": digits(a, "phone") == digits(b, "phone"), "google_phone": (google == digits(b, "google_phone")) & ~google.eqNullSafe(digits(a, "phone")),
-        "address": text(a, "address") == text(b, "address"), "postal_code": text(a, "postcode") == text(b, "postcode"), "city": text(a, "city") == text(b, "city"),
-        "root_domain": text(a, "domain") == text(b, "domain"), "ubi": text(a, "ubi") == text(b, "ubi"), "trade": F.arrays_overlap(trades(a), trades(b)),
-    }
-    conflict = {"middle_initial": first != second, "state": text(a, "state") != text(b, "state")}
+    first, second = _comparable(a, key_a), _comparable(b, key_b)
+    conflict = {"middle_initial": first["initial"] != second["initial"], "state": first["state"] != second["state"]}
     listed = lambda flags: F.array_compact(F.array(*(F.when(flag, name) for name, flag in flags.items())))
-    made = F.struct(listed(agree).alias("agreeing"), listed(conflict).alias("against"))
+    made = F.struct(listed(_agreeing(first, second)).alias("agreeing"), listed(conflict).alias("against"))
     return F.element_at(F.transform(F.array(made), lambda s: F.struct(F.size(s["agreeing"]).alias("points"), s["agreeing"], s["against"], verdict(F.size(s["agreeing"]), F.array_contains(s["against"], "middle_initial")).alias("verdict"))), 1)
 
 
@@ -44,12 +55,12 @@ def _filed(registry: DataFrame) -> DataFrame:
     return filed.filter("key is not null")
 
 
-def families(registry: DataFrame, cap: int = MAX_FAMILY) -> tuple[DataFrame, DataFrame]:
+def families(registry: DataFrame, cap: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(members, dropped) of the groups of firms that share persons, directly or through others, by their full keys.
 
     registry(entity long, status, principals, FIELDS, trade_codes). members: (family, entity, size, min_points), family being its least key and
-    min_points the fewest fields that agree between two of its firms; its pairs are at most cap^2 / 2. dropped: (family, size)
-    of the groups of more than `cap` firms, which are not cut but left out whole.
+    min_points the fewest fields that agree between two of its firms. Groups of more than `cap` firms, if one is given, are left out
+    whole and told as dropped: (family, size); without one every group is a family, whatever its size.
     """
     filed = ops.written(_filed(registry).select("entity", "key").distinct(), "families-filed")
     # Each firm of a person is joined to the first one of that person: the components are those of all pairs.
@@ -58,15 +69,29 @@ def families(registry: DataFrame, cap: int = MAX_FAMILY) -> tuple[DataFrame, Dat
     groups = ops.written(ops.connected(edges), "families-groups")
     named = filed.join(groups, filed["entity"] == groups["node"]).groupBy("component").agg(F.min("key").alias("family"))
     sized = groups.groupBy("component").agg(F.count("*").alias("size")).join(named, "component")
-    dropped = sized.filter(F.col("size") > cap).select("family", "size")
-    held = groups.join(sized.filter(F.col("size") <= cap), "component").select("component", "family", "size", F.col("node").alias("entity"))
+    beyond = F.lit(False) if cap is None else F.col("size") > cap
+    dropped = sized.filter(beyond).select("family", "size")
+    held = groups.join(sized.filter(~beyond), "component").select("component", "family", "size", F.col("node").alias("entity"))
     keys = filed.groupBy("entity").agg(F.min("key").alias("key"))
     rows = held.join(registry.select("entity", F.struct(*FIELDS, "trade_codes").alias("row")), "entity").join(keys, "entity")
     rows = ops.written(rows, "families-rows")
-    side = lambda x: rows.select("component", F.col("entity").alias(x), F.col("row").alias(f"{x}_row"), F.col("key").alias(f"{x}_key"))
-    pairs = side("a").join(side("b"), "component").filter("a < b")  # within groups of `cap` at most
-    weakest = pairs.select("component", corroborate(F.col("a_row"), F.col("b_row"), F.col("a_key"), F.col("b_key"))["points"].alias("points")).groupBy("component").agg(F.min("points").alias("min_points"))
-    return rows.join(weakest, "component").select("family", "entity", "size", "min_points"), dropped
+    return rows.join(_weakest(rows, block), "component").select("family", "entity", "size", "min_points"), dropped
+
+
+def _weakest(rows: DataFrame, block: int) -> DataFrame:
+    """(component, min_points): the fewest fields that agree between two of rows(component, entity, row, key), of all pairs of a component.
+
+    Rows of a component that compare alike are a class, and classes meet by pairs of blocks of `block` classes, dealt over all tasks. The first row of
+    a pair is the one of the lesser entity, as it is read for one field more: two classes are compared the ways round that their entities allow.
+    """
+    read = rows.select("component", "entity", F.struct(*(v.alias(c) for c, v in _comparable(F.col("row"), F.col("key")).items())).alias("row"))
+    classes = read.groupBy("component", "row").agg(F.min("entity").alias("least"), F.max("entity").alias("most"))
+    blocks = ops.written(ops.blocks(classes.select("component", F.struct("least", "most", "row").alias("c")), ["component"], "c", "classes", block), "families-blocks")
+    side = lambda x: blocks.select("component", F.col("block").alias(f"{x}_block"), F.col("classes").alias(x))
+    met = ops.scattered(side("a").join(side("b"), "component"), "component", "a_block", "b_block")
+    pairs = met.select("component", F.explode("a").alias("a"), "b").select("component", "a", F.explode("b").alias("b")).filter("a.least < b.most")
+    points = sum((F.coalesce(flag.cast("int"), F.lit(0)) for flag in _agreeing(F.col("a.row"), F.col("b.row")).values()), F.lit(0))
+    return pairs.groupBy("component").agg(F.min(points).alias("min_points"))
 
 
 def family_rollup(members: DataFrame, bound: DataFrame, on_projects: DataFrame) -> DataFrame:

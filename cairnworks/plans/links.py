@@ -69,14 +69,14 @@ n AS (SELECT component, min('F' || {_sql_letters('person')} || ', ANN') AS famil
 
 @query(f"""WITH RECURSIVE {_FAMILIES}, w AS (SELECT x.component, min((a.phone = b.phone)::INT + (a.city = b.city)::INT + (a.domain = b.domain)::INT + (a.trade = b.trade)::INT) AS min_points
 FROM c x JOIN c y ON x.component = y.component AND x.entity < y.entity JOIN f a ON a.entity = x.entity JOIN f b ON b.entity = y.entity GROUP BY 1)
-SELECT family, entity, size, min_points FROM c JOIN s USING (component) JOIN n USING (component) JOIN w USING (component) WHERE size <= 25""")
+SELECT family, entity, size, min_points FROM c JOIN s USING (component) JOIN n USING (component) JOIN w USING (component)""")
 def corporate_families(t: Tables) -> DataFrame:
     return reg.families(firms(t))[0]
 
 
 @query(f"WITH RECURSIVE {_FAMILIES} SELECT family, size FROM s JOIN n USING (component) WHERE size > 25")
 def families_dropped(t: Tables) -> DataFrame:
-    return reg.families(firms(t))[1]
+    return reg.families(firms(t), reg.MAX_FAMILY)[1]
 
 
 @query(f"""WITH RECURSIVE {_FAMILIES}, b AS (SELECT s_suppkey AS org, s_suppkey * 13 % (SELECT count(*) FROM customer) AS entity FROM supplier), w AS (SELECT DISTINCT l_suppkey AS org, l_orderkey AS project FROM lineitem),
@@ -85,7 +85,7 @@ SELECT family, count(DISTINCT m.entity) AS entities, count(DISTINCT CASE WHEN m.
 def family_rollup(t: Tables) -> DataFrame:
     n = t.customer.agg(F.count("*").alias("n"))  # one row
     bound = t.supplier.crossJoin(F.broadcast(n)).select(F.col("s_suppkey").alias("org"), (F.col("s_suppkey") * 13 % F.col("n")).alias("entity"))
-    return reg.family_rollup(reg.families(firms(t))[0], bound, t.lineitem.select(F.col("l_suppkey").alias("org"), F.col("l_orderkey").alias("project")))
+    return reg.family_rollup(reg.families(firms(t), reg.MAX_FAMILY)[0], bound, t.lineitem.select(F.col("l_suppkey").alias("org"), F.col("l_orderkey").alias("project")))
 
 
 @query(f"""WITH r AS (SELECT s_suppkey AS entity, 'S' || {_sql_letters('s_suppkey % 40')} AS sur, 'G' || {_sql_letters('s_suppkey % 3')} AS given, CASE s_suppkey % 4 WHEN 1 THEN 'Q' WHEN 2 THEN 'R' END AS mid, 'TOWN' || s_nationkey AS city, CASE WHEN s_suppkey % 6 = 0 THEN 'S' || {_sql_letters('s_suppkey % 40')} || ' Homes' ELSE 'Acme' END AS name FROM supplier WHERE s_suppkey % 9 <> 0),

@@ -73,6 +73,32 @@ def test_a_family_beyond_the_cap_is_dropped_whole(spark):
     assert set(got) == {"OK, AL"} and dropped == {("S, SNEAKY", 8)}
 
 
+def points_of(a, b):
+    """The fields that agree between two rows, a's entity being the lesser."""
+    digits = lambda r, c: (lambda d: d if len(d) >= 7 else None)("".join(filter(str.isdigit, r[c] or "")))
+    text = lambda r, c: (r[c] or "").strip().upper() or None
+    same = lambda x, y: x is not None and x == y
+    google = same(digits(a, "google_phone"), digits(b, "google_phone")) and digits(a, "google_phone") != digits(a, "phone")
+    plain = sum(same(text(a, c), text(b, c)) for c in ("address", "postcode", "city", "domain", "ubi"))
+    return plain + google + same(digits(a, "phone"), digits(b, "phone")) + bool({t.lower() for t in a["trade_codes"]} & {t.lower() for t in b["trade_codes"]})
+
+
+@pytest.mark.parametrize(("seed", "kinds", "block"), [(1, 2, 500), (2, 3, 4), (3, 1, 2)])
+def test_a_family_of_any_size_is_whole(spark, seed, kinds, block):
+    """Far more firms than MAX_FAMILY behind one person, some of them alike: none is left out, and the weakest pair is that of all pairs."""
+    draw = random.Random(seed)
+    pick = lambda *of: draw.choice(of[:kinds])
+    rows = [
+        firm(i, ["S, SNEAKY"], phone=pick("(253) 555-0100", "2535550100", "2065550100"), google_phone=pick("2535550100", "206-555-0100", None), city=pick("Renton", "renton ", "Yelm"), postcode=pick("98501", "98501", "98502"), domain=pick("a.com", "a.com", None), trade_codes=pick(["A", "b"], ["B"], ["c"]))
+        for i in range(60)
+    ] + [firm(100, ["OK, AL"]), firm(101, ["OK, AL"])]
+    held, dropped = registry.families(spark.createDataFrame(rows, FIRM), block=block)
+    named = [dict(zip((f.split()[0] for f in FIRM.split(", ")), r, strict=True)) for r in rows[:60]]
+    least = min(points_of(a, b) for k, b in enumerate(named) for a in named[:k])
+    assert {tuple(r) for r in held.select("family", "entity", "size", "min_points").collect()} == {("S, SNEAKY", i, 60, least) for i in range(60)} | {("OK, AL", i, 2, 0) for i in (100, 101)}
+    assert dropped.collect() == []
+
+
 def test_chains_are_one_family(spark):
     rows = [firm(i, [f"K{chr(65 + i)}, X", f"K{chr(66 + i)}, X"]) for i in range(20)]
     random.Random(1).shuffle(rows)
